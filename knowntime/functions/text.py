@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Latin letters with marks and their plain letters, position by position.
-MARKED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿăąāćčċďđēĕėęěğģīįıķļłńņňōőŕřśşšţťūůűųźżžșțǎğ"
-          "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸĂĄĀĆČĊĎĒĔĖĘĚĞĢĪĮİĶĻŃŅŇŌŐŔŘŚŞŠŢŤŪŮŰŲŹŻŽȘȚ")
-PLAIN = ("aaaaaaceeeeiiiinooooouuuuyyaaacccd eeeeeggii kl nnnoorrsssttuuuuzzzstag"
-         "AAAAAACEEEEIIIINOOOOOUUUUYYAAACCCDEEEEEGGIIIKLNNNOORRSSSTTUUUUZZZST")
-# Letters without a decomposition are dropped by accent folding, as are all other non-ASCII.
-UNDECOMPOSED = "đıł"
+
+
+def _plain_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility decompositions that leave ASCII: one letter each, and longer ones."""
+    single, longer = {}, {}
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        plain = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single[ch] = plain
+        elif plain and unicodedata.category(ch).startswith("L"):
+            longer[ch] = plain
+    return single, longer
+
+
+SINGLE, LONGER = _plain_letters()
 
 
 def zero_fill(column: str | Column, width: int) -> Column:
@@ -35,8 +46,10 @@ def squash_name(column: str | Column) -> Column:
 def fold_accents(column: str | Column) -> Column:
     """Latin letters without their marks; anything else outside ASCII is dropped."""
     c = F.col(column) if isinstance(column, str) else column
-    pairs = [(m, p) for m, p in zip(MARKED, PLAIN) if m not in UNDECOMPOSED and p != " "]
-    plain = F.translate(c, "".join(m for m, _ in pairs), "".join(p for _, p in pairs))
+    plain = F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
+    for ch, letters in LONGER.items():
+        if ord(ch) < 0x250 or 0xFB00 <= ord(ch) <= 0xFB06:  # Latin letters and ligatures
+            plain = F.replace(plain, F.lit(ch), F.lit(letters))
     return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
 
 
