@@ -125,35 +125,60 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
 
 
 def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,
-                    probe_time: str, sums: Mapping[str, Column], strict: bool = True,
+                    probe_time: str, sums: Mapping[str, Column] | None = None,
+                    maxima: Mapping[str, Column] | None = None, strict: bool = True,
                     chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
-    """Attach running totals over every visible fact (0 when there is none)."""
+    """Attach running totals (0 without facts) and running maxima (NULL) of all visible facts.
+
+    A maximum may be a struct, which makes it "the greatest so far, with its attributes".
+    """
     width = _width(chunk_days)
+    exprs = {**(sums or {}), **(maxima or {})}
+    how = {n: (F.sum if n in (sums or {}) else F.max) for n in exprs}
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       F.lit(1 if strict else 0).alias("_kind"),
-                      *[e.alias(n) for n, e in sums.items()])
+                      *[e.alias(n) for n, e in exprs.items()])
          .withColumn("_chunk", _chunk(width)))
     p = _stack_probes(probes, keys, probe_time, strict, width)
     stack = f
     if width:
-        ends = f.groupBy(*keys, "_chunk").agg(*[F.sum(n).alias(n) for n in sums])
-        marks = _probe_chunks(p, keys)
+        ends = f.groupBy(*keys, "_chunk").agg(*[how[n](n).alias(n) for n in exprs])
         w = (Window.partitionBy(*keys).orderBy("_chunk", "_kind")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        both = marks.withColumn("_kind", F.lit(0)).unionByName(
+        both = _probe_chunks(p, keys).withColumn("_kind", F.lit(0)).unionByName(
             ends.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-        carry = (both.select(*keys, "_chunk", "_kind",
-                             *[F.sum(n).over(w).alias(n) for n in sums])
+        carry = (both.select(*keys, "_chunk", "_kind", *[how[n](n).over(w).alias(n) for n in exprs])
                  .where("_kind = 0")
                  .select(*keys, (F.col("_chunk") * F.lit(width)).alias("_t"),
-                         F.lit(-1).alias("_kind"), *sums, "_chunk"))
+                         F.lit(-1).alias("_kind"), *exprs, "_chunk"))
         stack = f.unionByName(carry)
     stack = stack.unionByName(p, allowMissingColumns=True)
     w = (Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = stack.select("_probe", *[F.sum(n).over(w).alias(n) for n in sums])
-    return (out.where(F.col("_probe").isNotNull())
-            .select("_probe.*", *[F.coalesce(n, F.lit(0)).alias(n) for n in sums]))
+    out = stack.select("_probe", *[how[n](n).over(w).alias(n) for n in exprs])
+    return out.where(F.col("_probe").isNotNull()).select(
+        "_probe.*", *[F.coalesce(n, F.lit(0)).alias(n) if n in (sums or {}) else F.col(n)
+                      for n in exprs])
+
+
+def running_positions(facts: DataFrame, keys: Sequence[str], *, time: str, order: Sequence[str],
+                      name: str = "position", chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
+    """Number each entity's facts 1..n by ``(time, order)`` without one window per entity.
+
+    Rows are numbered inside time chunks; a chunk's offset is a running sum over the small
+    per-chunk counts.
+    """
+    width = _width(chunk_days)
+    f = facts.withColumn("_t", as_micros(facts, time)).withColumn("_chunk", _chunk(width))
+    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("_t", *order))
+    if not width:
+        return f.withColumn(name, local.cast("bigint")).drop("_t", "_chunk")
+    per = f.groupBy(*keys, "_chunk").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    before = per.select(*keys, "_chunk", (F.sum("_k").over(w) - F.col("_k")).alias("_off"))
+    return (f.withColumn("_row", local).join(before, [*keys, "_chunk"])
+            .withColumn(name, (F.col("_row") + F.col("_off")).cast("bigint"))
+            .drop("_t", "_chunk", "_row", "_off"))
 
 
 def asof_nearest(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from knowntime.functions.times import elapsed_days
-from knowntime.operators.asof import (CHUNK_DAYS, asof_cumulative, asof_last, asof_rolling)
+from knowntime.operators.asof import (CHUNK_DAYS, asof_cumulative, asof_last, asof_rolling,
+                                      running_positions)
 
 
 def home_minus_away(frame: DataFrame, keys: Sequence[str], values: Mapping[str, Column],
@@ -67,7 +68,8 @@ def scheduled_form(facts: DataFrame, probes: DataFrame, *, window: int, min_hist
                         sums={"_started": one["_n"]}, chunk_days=chunk_days)
     p = asof_cumulative(facts, p, keys, fact_time="available_at", probe_time="decision_at",
                         sums={"_known": one["_n"]}, chunk_days=chunk_days)
-    ranked = schedule_positions(facts, keys, chunk_days)
+    ranked = running_positions(facts, keys, time="scheduled_at", order=["contest_id"], name="_pos",
+                               chunk_days=chunk_days)
     # A result known before its own start would make the difference negative: keep it exact.
     low = F.greatest(F.lit(1), F.col("_started") - F.lit(window)
                      - F.greatest(F.lit(0), F.col("_started") - F.col("_known")) + 1)
@@ -94,26 +96,6 @@ def scheduled_form(facts: DataFrame, probes: DataFrame, *, window: int, min_hist
             .withColumn("enough_history", F.col("form_n") >= min_history))
 
 
-def schedule_positions(facts: DataFrame, keys: Sequence[str],
-                       chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
-    """Number each entity's facts 1..n by (scheduled_at, contest_id) without one big window.
-
-    The chunk offsets are running counts over the (small) per-chunk totals.
-    """
-    from pyspark.sql import Window
-    from knowntime.functions.times import DAY_US, micros
-    width = int((chunk_days or 36600) * DAY_US)
-    f = facts.withColumn("_c", F.floor(micros("scheduled_at") / F.lit(width)))
-    per = f.groupBy(*keys, "_c").agg(F.count("*").alias("_k"))
-    before = per.select(*keys, "_c", (F.sum("_k").over(
-        Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0))
-        - F.col("_k")).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy("scheduled_at", "contest_id"))
-    return (f.withColumn("_row", local).join(before, [*keys, "_c"])
-            .withColumn("_pos", (F.col("_row") + F.col("_off")).cast("bigint"))
-            .drop("_c", "_row", "_off"))
-
-
 BOX_SUMS = ("pts", "poss", "fga", "fgm", "fg3m", "fta", "oreb", "tov", "opp_pts", "opp_poss")
 BOX_MEASURES = ("fga", "fgm", "fg3m", "fta", "oreb", "tov")
 
