@@ -182,12 +182,12 @@ def weekly_stats(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem")
     return li.groupBy(F.year("l_shipdate").alias("season"), F.weekofyear("l_shipdate").alias("week"), (F.col("l_suppkey") % 30).alias("team"),
                       (F.col("l_partkey") % 40).alias("player_id")).agg(
-        F.sum("l_quantity").alias("attempts"), F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)) / 1000, 6).alias("epa"))
+        F.sum("l_quantity").alias("attempts"), (F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)) / 99700.0).alias("epa"))
 
 
 WEEKLY_SQL = """weekly AS (
   SELECT CAST(year(l_shipdate) AS INTEGER) AS season, CAST(week(l_shipdate) AS INTEGER) AS week, l_suppkey % 30 AS team, l_partkey % 40 AS player_id,
-         sum(l_quantity) AS attempts, round(sum(l_extendedprice * (l_discount - 0.05::DOUBLE)) / 1000, 6) AS epa FROM lineitem GROUP BY ALL),
+         sum(l_quantity) AS attempts, sum(l_extendedprice * (l_discount - 0.05::DOUBLE)) / 99700.0::DOUBLE AS epa FROM lineitem GROUP BY ALL),
 prim AS (SELECT season, week, team, arg_max(player_id, struct_pack(a := attempts, b := -player_id)) AS primary_id,
          arg_max(epa, struct_pack(a := attempts, b := -player_id)) AS primary_epa FROM weekly GROUP BY ALL)"""
 
@@ -307,14 +307,11 @@ def document_line_scan(spark, sf_dir):
 
 
 @query("person_name_keys", """
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'michael porter jr ' || c_custkey WHEN c_custkey % 3 = 1 THEN 'luka doncic ' || c_custkey
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'michael ' || c_custkey || ' porter jr' WHEN 1 THEN 'luka doncic ' || c_custkey
        ELSE 'jose o neal smith ' || c_custkey END AS person FROM customer""")
 def person_name_keys(spark, sf_dir):
-    """Names in both orders, with accents and punctuation, meet in one key (G: names)."""
-    c, k = V.table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
-    name = (F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Porter Jr. "), k, F.lit(", Michael")))
-            .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" Luka  Dončić "), k))
+    """Names in both orders, with accents and punctuation, to one key (G: names)."""
+    c, k = V.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = (F.when(k % 3 == 0, F.concat(F.lit("Porter Jr., Michael "), k)).when(k % 3 == 1, F.concat(F.lit(" Luka  Dončić "), k))
             .otherwise(F.concat(F.lit("José O'Neal-Smith "), k)))
-    fixed = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Porter Jr., Michael "), F.lit(""))).otherwise(name)
-    return c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.replace(X.person_key(fixed), F.lit("michael porter jr"), F.lit("michael porter jr ")), k))
-                    .otherwise(X.person_key(name)).alias("person"))
+    return c.select("c_custkey", X.person_key(name).alias("person"))
