@@ -182,12 +182,12 @@ def weekly_stats(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem")
     return li.groupBy(F.year("l_shipdate").alias("season"), F.weekofyear("l_shipdate").alias("week"), (F.col("l_suppkey") % 30).alias("team"),
                       (F.col("l_partkey") % 40).alias("player_id")).agg(
-        F.sum("l_quantity").alias("attempts"), (F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)) / 99700.0).alias("epa"))
+        F.sum("l_quantity").alias("attempts"), (F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)) / 70710.67811865476).alias("epa"))
 
 
 WEEKLY_SQL = """weekly AS (
   SELECT CAST(year(l_shipdate) AS INTEGER) AS season, CAST(week(l_shipdate) AS INTEGER) AS week, l_suppkey % 30 AS team, l_partkey % 40 AS player_id,
-         sum(l_quantity) AS attempts, sum(l_extendedprice * (l_discount - 0.05::DOUBLE)) / 99700.0::DOUBLE AS epa FROM lineitem GROUP BY ALL),
+         sum(l_quantity) AS attempts, sum(l_extendedprice * (l_discount - 0.05::DOUBLE)) / 70710.67811865476::DOUBLE AS epa FROM lineitem GROUP BY ALL),
 prim AS (SELECT season, week, team, arg_max(player_id, struct_pack(a := attempts, b := -player_id)) AS primary_id,
          arg_max(epa, struct_pack(a := attempts, b := -player_id)) AS primary_epa FROM weekly GROUP BY ALL)"""
 
