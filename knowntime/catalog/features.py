@@ -49,25 +49,50 @@ FROM form h JOIN form a ON a.contest_id = h.contest_id AND a.side = 'away'
 WHERE h.side = 'home'"""
 
 
-def form_table(spark, sf_dir, window, cap):
-    s = V.sides(V.contests(spark, sf_dir))
-    facts = s.select("league", "team", "available_at", "scheduled_at", "contest_id", "scored",
-                     "allowed", "win")
-    chunk = chunk_for(facts, ["league", "team"], "available_at")
-    p = form.rolling_form(facts, s.select(*PROBE), window=window, chunk_days=chunk)
-    p = form.rest_days(facts, p, cap=cap, chunk_days=chunk)
-    wide = form.home_minus_away(p, ["contest_id"], {
+def form_rows(contests, window, cap, pool=("league",), probed=None):
+    """Rolling form and rest per contest, home minus away.
+
+    ``probed`` are the contests to describe (default: the facts themselves); contests that are
+    not facts never enter a history.
+    """
+    s, keys = V.sides(contests if probed is None else probed), [*pool, "team"]
+    facts = V.sides(contests).select(*keys, "available_at", "scheduled_at", "contest_id", "scored", "allowed", "win")
+    probes = s.select(*pool, "contest_id", "team", "side", "scheduled_at", "decision_at")
+    chunk = chunk_for(facts, keys, "available_at")
+    p = form.rolling_form(facts, probes, window=window, keys=keys, chunk_days=chunk)
+    p = form.rest_days(facts, p, cap=cap, keys=keys, chunk_days=chunk)
+    ids = [*[k for k in pool if k != "league"], "contest_id"]
+    wide = form.home_minus_away(p, ids, {
         n: F.col(n) for n in ("form_margin", "form_scored", "form_allowed", "form_win", "form_n",
                               "rest", "b2b")})
     diff = lambda n: F.col(f"form_{n}_home") - F.col(f"form_{n}_away")
     return wide.select(
-        "contest_id", diff("margin").alias("margin_diff"), diff("scored").alias("scored_diff"),
+        *ids, diff("margin").alias("margin_diff"), diff("scored").alias("scored_diff"),
         diff("allowed").alias("allowed_diff"), diff("win").alias("win_rate_diff"),
         diff("n").alias("history_count_diff"), F.col("rest_home").alias("home_rest"),
         F.col("rest_away").alias("away_rest"), F.col("b2b_home").alias("home_b2b"),
         F.col("b2b_away").alias("away_b2b"))
 
 
+def form_table(spark, sf_dir, window, cap):
+    return form_rows(V.contests(spark, sf_dir), window, cap)
+
+
+def model_rows(contests, *, window=20, cap=14, advantage=65, pool=("league",), probed=None):
+    """The assembled inputs of every contest with its label."""
+    ids = [*[k for k in pool if k != "league"], "contest_id"]
+    base = (contests if probed is None else probed).select(*ids, "league", "season", "scheduled_at", "decision_at", "available_at", "neutral",
+                           (F.col("home_score") > F.col("away_score")).cast("int").alias("y"),
+                           (F.col("home_score") == F.col("away_score")).cast("int").alias("is_tie"))
+    elo = elo_table(contests, list(pool), advantage=advantage, probed=probed).select(*ids, "elo_diff", "p_elo")
+    return base.join(form_rows(contests, window, cap, pool, probed), ids).join(elo, ids)
+
+
+def probe_rows(settled, schedule, **kw):
+    """Inputs for a whole schedule from settled contests only (unplayed ones are probes)."""
+    return model_rows(settled, probed=schedule, **kw)
+
+
 def _rounded(frame):
     return frame.select("contest_id", *[r6(c) for c in ("margin_diff", "scored_diff", "allowed_diff",
                                                         "win_rate_diff")],
@@ -159,11 +184,12 @@ FROM seen h JOIN seen a ON a.scenario = h.scenario AND a.contest_id = h.contest_
 WHERE h.side = 'home'"""
 
 
-def elo_table(contests, pool, *, advantage):
+def elo_table(contests, pool, *, advantage, probed=None):
     """Rating difference and win probability per contest as of its decision."""
     results = ratings.with_outcome(contests)
     rated = ratings.rating_fold(results, pool, advantage=advantage)
-    probes = V.sides(contests).select(*pool, "contest_id", "team", "side", "decision_at", "neutral")
+    probes = V.sides(contests if probed is None else probed).select(
+        *pool, "contest_id", "team", "side", "decision_at", "neutral")
     chunk = chunk_for(probes, [*pool, "team"], "decision_at")
     p = ratings.rating_probes(rated, probes, pool, chunk_days=chunk)
     keys = [k for k in pool if k != "league"] + ["contest_id", "neutral"]
