@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knowntime import views as V
-from knowntime.catalog.features import box_table, delayed, model_rows, r6
+from knowntime.catalog.features import box_table, delayed, model_rows, probe_rows, r6
 from knowntime.catalog.market import market_rows
 from knowntime.catalog.people import starter_rows
 from knowntime.catalog.registry import query
@@ -209,11 +209,10 @@ def pending_forecast_batch(spark, sf_dir):
     """Unplayed contests forecast from settled history by two models, as nested records."""
     c = V.contests(spark, sf_dir).where("home_score <> away_score")
     now = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
-    pending = F.col("decision_at") >= now
-    # Facts are the settled contests only, probes are all; a pending contest is in no history.
-    settled = c.where(~pending)
-    from knowntime.catalog.features import probe_rows
-    rows = materialize(probe_rows(settled, c), "pending-rows")
+    pending = F.col("scheduled_at") >= now
+    # Facts are the results known by now; every contest is a probe, cut at its decision or now.
+    settled = c.where(F.col("available_at") < now)
+    rows = materialize(probe_rows(settled, c.withColumn("decision_at", F.least("decision_at", now))), "pending-rows")
     fit = rows.where(~pending).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
     control = tuple(f for f in J.BASE if f not in J.GROUPS["elo"])
     params = J.deploy(fit, J.BASE, "challenger").unionByName(J.deploy(fit, control, "control")).withColumn("model", F.split("model", r"\|")[1])

@@ -30,8 +30,7 @@ def _prepared(rows: DataFrame, inputs: Sequence[str], offset: str | None) -> Dat
 
 def _learner(depth: int, trees: int, seed: int) -> GBTClassifier:
     return GBTClassifier(featuresCol="_v", labelCol="_label", maxDepth=depth, maxIter=trees, stepSize=STEP,
-                         minInstancesPerNode=MIN_ROWS, seed=seed, rawPredictionCol="_raw", probabilityCol="_prob",
-                         predictionCol="_pred")
+                         minInstancesPerNode=MIN_ROWS, seed=seed)
 
 
 def tune_and_fit(rows: DataFrame, inputs: Sequence[str], *, depths: Sequence[int] = DEPTHS, trees: Sequence[int] = TREES,
@@ -56,8 +55,8 @@ def tune_and_fit(rows: DataFrame, inputs: Sequence[str], *, depths: Sequence[int
 
 def predict(model, rows: DataFrame, inputs: Sequence[str], *, offset: str | None = None) -> DataFrame:
     """Adds ``p_raw``, the probability of the home side."""
-    out = model.transform(_prepared(rows, inputs, offset)).withColumn("p_raw", vector_to_array("_prob")[1])
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = model.transform(_prepared(rows, inputs, offset)).withColumn("p_raw", vector_to_array("probability")[1])
+    return out.select(*rows.columns, "p_raw")
 
 
 def tuning_table(spark, trials: Sequence[dict]) -> DataFrame:
