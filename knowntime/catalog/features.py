@@ -144,7 +144,7 @@ def scheduled_order_form(spark, sf_dir):
                                         "rest")], "enough_history")
 
 
-ELO_SQL = """, revealed AS (
+FOLD_SQL = """, revealed AS (
   SELECT *, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0
             ELSE 0.5 END::DOUBLE AS outcome FROM {source}),
 seq AS (
@@ -161,7 +161,8 @@ fold AS (
                                             WHEN i = s.away_id + 1 THEN v - d.delta ELSE v END)
   FROM fold f JOIN seq s ON s.scenario = f.scenario AND s.league = f.league AND s.step = f.step + 1,
        LATERAL (SELECT 20.0::DOUBLE * (s.outcome - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE,
-         -(f.r[s.home_id + 1] - f.r[s.away_id + 1] + {adv}::DOUBLE * (1 - s.neutral)) / 400.0::DOUBLE))) AS delta) d),
+         -(f.r[s.home_id + 1] - f.r[s.away_id + 1] + {adv}::DOUBLE * (1 - s.neutral)) / 400.0::DOUBLE))) AS delta) d),"""
+ELO_SQL = FOLD_SQL + """
 moves AS (
   SELECT scenario, league, home_id AS team, available_at, contest_id, r[home_id + 1] AS rating FROM fold WHERE step > 0
   UNION ALL
@@ -208,6 +209,18 @@ def rating_fold(spark, sf_dir):
     return elo_table(c, ["league"], advantage=65).select("contest_id", r6("elo_diff"), r6("p_elo"))
 
 
+AFTER_SQL = "WITH RECURSIVE " + V.CONTESTS + ", base AS (SELECT 0 AS scenario, * FROM contests WHERE home_score <> away_score)" + FOLD_SQL.format(
+    source="base", adv=65).rstrip().rstrip(",") + """
+SELECT league, contest_id, round(r[home_id + 1], 6) AS home_rating, round(r[away_id + 1], 6) AS away_rating FROM fold WHERE step > 0"""
+
+
+@query("rating_after_result", AFTER_SQL)
+def rating_after_result(spark, sf_dir):
+    """Both ratings after every result."""
+    c = ratings.with_outcome(V.contests(spark, sf_dir).where("home_score <> away_score"))
+    return ratings.rating_fold(c, ["league"]).select("league", "contest_id", r6("home_rating"), r6("away_rating"))
+
+
 @query("rating_fold_ties", "WITH RECURSIVE " + V.CONTESTS + ", base AS (SELECT 0 AS scenario, * FROM contests)"
        + ELO_SQL.format(source="base", adv=55).replace("h.scenario, h.contest_id,", "h.contest_id,"))
 def rating_fold_ties(spark, sf_dir):

@@ -187,7 +187,7 @@ def era_replication(spark, sf_dir):
 def deployment_parameters(spark, sf_dir):
     """Parameters to forecast with; no season is scored."""
     rows = binary_rows(spark, sf_dir).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
-    return long_parameters(J.deploy(rows))
+    return long_parameters(J.deploy(rows, {"deployed": J.BASE}))
 
 
 @query("saved_model_replay", "WITH " + V.PREDICTIONS + f"""
@@ -215,7 +215,7 @@ def pending_forecast_batch(spark, sf_dir):
     rows = materialize(probe_rows(settled, c.withColumn("decision_at", F.least("decision_at", now))), "pending-rows")
     fit = rows.where(~pending).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
     control = tuple(f for f in J.BASE if f not in J.GROUPS["elo"])
-    params = J.deploy(fit, J.BASE, "challenger").unionByName(J.deploy(fit, control, "control")).withColumn("model", F.split("model", r"\|")[1])
+    params = J.deploy(fit, {"challenger": J.BASE, "control": control})
     todo = rows.where(pending).drop("group")
     recorded = todo.where("contest_id % 5 = 0").select("contest_id")
     out = J.paired_forecasts(todo, params, J.BASE, recorded, issued_at=now, provenance="stand-in schedule")

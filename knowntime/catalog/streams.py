@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knowntime import views as V
-from knowntime.catalog.features import r6
+from knowntime.catalog.features import AFTER_SQL, r6
 from knowntime.catalog.registry import query
 from knowntime.operators.ratings import with_outcome
 from knowntime.sources.tables import append
@@ -60,7 +60,7 @@ def stream_fresh_quotes(spark, sf_dir):
                       F.col("available_at").cast("timestamp_ntz").alias("available_at"))
 
 
-@query("stream_ratings")
+@query("stream_ratings", AFTER_SQL)
 def stream_ratings(spark, sf_dir):
     """Ratings kept in a state store; equals the batch fold (L4)."""
     src, out, ck = P.fresh_paths(spark, "ratings", "in", "out", "checkpoint")

@@ -93,11 +93,11 @@ def select_penalty(rows: DataFrame, inputs: Sequence[str] = BASE, grid: Sequence
                                       F.min("tune_log_loss").alias("tune_log_loss"))
 
 
-def deploy(rows: DataFrame, inputs: Sequence[str] = BASE, name: str = "deployed") -> DataFrame:
+def deploy(rows: DataFrame, variants: Mapping[str, Sequence[str]]) -> DataFrame:
     """Parameters fitted on train + tune and calibrated later; nothing is scored."""
-    one = rows.where("split IN ('train', 'tune', 'calibration')").withColumn("fold", F.lit(name))
-    params, _ = fit_folds(one, {name: tuple(inputs)})
-    return params
+    one = rows.where("split IN ('train', 'tune', 'calibration')").withColumn("fold", F.lit("deployed"))
+    params, _ = fit_folds(one, variants)
+    return params.withColumn("model", F.split("model", r"\|")[1])
 
 
 def paired_forecasts(pending: DataFrame, params: DataFrame, inputs: Sequence[str], recorded: DataFrame, *,
