@@ -49,7 +49,7 @@ FROM form h JOIN form a ON a.contest_id = h.contest_id AND a.side = 'away'
 WHERE h.side = 'home'"""
 
 
-def form_rows(contests, window, cap, pool=("league",), probed=None):
+def form_rows(contests, window, cap, pool=("league",), probed=None, chunk="check"):
     """Rolling form and rest per contest, home minus away.
 
     ``probed`` are the contests to describe (default: the facts themselves); contests that are
@@ -58,7 +58,8 @@ def form_rows(contests, window, cap, pool=("league",), probed=None):
     s, keys = V.sides(contests if probed is None else probed), [*pool, "team"]
     facts = V.sides(contests).select(*keys, "available_at", "scheduled_at", "contest_id", "scored", "allowed", "win")
     probes = s.select(*pool, "contest_id", "team", "side", "scheduled_at", "decision_at")
-    chunk = chunk_for(facts, keys, "available_at")
+    if chunk == "check":
+        chunk = chunk_for(facts, keys, "available_at")
     p = form.rolling_form(facts, probes, window=window, keys=keys, chunk_days=chunk)
     p = form.rest_days(facts, p, cap=cap, keys=keys, chunk_days=chunk)
     ids = [*[k for k in pool if k != "league"], "contest_id"]
@@ -84,8 +85,10 @@ def model_rows(contests, *, window=20, cap=14, advantage=65, pool=("league",), p
     base = (contests if probed is None else probed).select(*ids, "league", "season", "scheduled_at", "decision_at", "available_at", "neutral",
                            (F.col("home_score") > F.col("away_score")).cast("int").alias("y"),
                            (F.col("home_score") == F.col("away_score")).cast("int").alias("is_tie"))
-    elo = elo_table(contests, list(pool), advantage=advantage, probed=probed).select(*ids, "elo_diff", "p_elo")
-    return base.join(form_rows(contests, window, cap, pool, probed), ids).join(elo, ids)
+    seen = contests if probed is None else probed
+    chunk = chunk_for(V.sides(seen), [*pool, "team"], "decision_at")     # one check for both parts
+    elo = elo_table(contests, list(pool), advantage=advantage, probed=probed, chunk=chunk).select(*ids, "elo_diff", "p_elo")
+    return base.join(form_rows(contests, window, cap, pool, probed, chunk), ids).join(elo, ids)
 
 
 def probe_rows(settled, schedule, **kw):
@@ -185,13 +188,14 @@ FROM seen h JOIN seen a ON a.scenario = h.scenario AND a.contest_id = h.contest_
 WHERE h.side = 'home'"""
 
 
-def elo_table(contests, pool, *, advantage, probed=None):
+def elo_table(contests, pool, *, advantage, probed=None, chunk="check"):
     """Rating difference and win probability per contest as of its decision."""
     results = ratings.with_outcome(contests)
     rated = ratings.rating_fold(results, pool, advantage=advantage)
     probes = V.sides(contests if probed is None else probed).select(
         *pool, "contest_id", "team", "side", "decision_at", "neutral")
-    chunk = chunk_for(probes, [*pool, "team"], "decision_at")
+    if chunk == "check":
+        chunk = chunk_for(probes, [*pool, "team"], "decision_at")
     p = ratings.rating_probes(rated, probes, pool, chunk_days=chunk)
     keys = [k for k in pool if k != "league"] + ["contest_id", "neutral"]
     wide = form.home_minus_away(p, keys, {"rating": F.col("rating")})
@@ -316,3 +320,37 @@ SELECT contest_id, side, round(fga - oreb + tov + 0.44::DOUBLE * fta, 6) AS poss
 def possession_estimate(spark, sf_dir):
     """Possessions per contest and side."""
     return V.box_lines(spark, sf_dir).select("contest_id", "side", r6("poss", form.possessions()))
+
+
+DECIDED_SIDES = V.SIDES.replace("contests AS (", "every_contest AS (", 1).replace(
+    ", sides AS (", ", contests AS (SELECT * FROM every_contest WHERE home_score <> away_score), sides AS (", 1)
+ELO_CTES, ELO_FINAL = ELO_SQL.rsplit("\nSELECT h.scenario", 1)
+ASSEMBLED_SQL = ("WITH RECURSIVE " + DECIDED_SIDES + FORM_SQL.format(n=20, cap=14) + ", base AS (SELECT 0 AS scenario, * FROM contests)"
+                 + ELO_CTES.format(source="base", adv=65) + ", elo AS (SELECT h.scenario" + ELO_FINAL.format(adv=65) + "), shape AS ("
+                 + FORM_SELECT + """)
+SELECT s.*, e.elo_diff, e.p_elo, c.neutral, CAST(c.home_score > c.away_score AS INTEGER) AS y
+FROM shape s JOIN elo e USING (contest_id) JOIN contests c USING (contest_id)""")
+
+
+@query("assembled_features", ASSEMBLED_SQL)
+def assembled_features(spark, sf_dir):
+    """All eleven base inputs, the rating probability and the label."""
+    t = model_rows(V.contests(spark, sf_dir).where("home_score <> away_score"))
+    return t.select("contest_id", *[r6(c) for c in ("margin_diff", "scored_diff", "allowed_diff", "win_rate_diff", "home_rest",
+                                                    "away_rest", "elo_diff", "p_elo")],
+                    "history_count_diff", "home_b2b", "away_b2b", "neutral", "y")
+
+
+NOW = "2001-01-01 00:00:00"
+PENDING_SQL = ("WITH " + V.SIDES + f""", fsides AS (SELECT * FROM sides WHERE available_at < TIMESTAMP '{NOW}'),
+psides AS (SELECT * REPLACE (least(decision_at, TIMESTAMP '{NOW}') AS decision_at) FROM sides WHERE scheduled_at >= TIMESTAMP '{NOW}')"""
+               + FORM_SQL.format(n=20, cap=14).replace("sides p", "psides p").replace("sides f", "fsides f") + FORM_SELECT)
+
+
+@query("pending_probe_features", PENDING_SQL)
+def pending_probe_features(spark, sf_dir):
+    """Inputs of unplayed contests: probes that are never facts."""
+    now = F.lit(NOW).cast("timestamp_ntz")
+    c = V.contests(spark, sf_dir)
+    probed = c.where(F.col("scheduled_at") >= now).withColumn("decision_at", F.least("decision_at", now))
+    return _rounded(form_rows(c.where(F.col("available_at") < now), 20, 14, probed=probed))

@@ -40,13 +40,6 @@ def long_parameters(params):
         r6("bias"), r6("intercept"), r6("slope"), "refit_rows")
 
 
-@query("assembled_features")
-def assembled_features(spark, sf_dir):
-    """All eleven base inputs, the rating probability and the label."""
-    t = model_rows(V.contests(spark, sf_dir).where("home_score <> away_score"))
-    return t.select("contest_id", *[r6(c) for c in (*J.BASE, "p_elo")], "y")
-
-
 @query("logistic_fold_parameters")
 def logistic_fold_parameters(spark, sf_dir):
     """Ridge logistic and calibration parameters of three expanding folds."""

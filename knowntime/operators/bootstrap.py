@@ -18,7 +18,8 @@ def relative_weeks(frame: DataFrame, keys: Sequence[str], time: str = "decision_
     """Add ``block``: whole weeks since the group's first decision."""
     first = frame.groupBy(*keys).agg(F.min(time).alias("_first"))
     week = F.floor(F.floor((micros(time) - micros("_first")) / F.lit(DAY_US)) / 7)
-    return frame.join(first, list(keys)).withColumn("block", week.cast("bigint")).drop("_first")
+    # ``first`` has one row per compared group (models x folds), so it is broadcast by that size.
+    return frame.join(F.broadcast(first), list(keys)).withColumn("block", week.cast("bigint")).drop("_first")
 
 
 def season_week(season: str = "season", time: str = "decision_at") -> Column:

@@ -29,8 +29,10 @@ def unique_rule(frame: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
 
 def subset_rule(frame: DataFrame, reference: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is absent from the reference table."""
-    missing = frame.join(reference.select(*keys).distinct(), list(keys), "left_anti")
-    return missing.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+    per = frame.groupBy(*keys).agg(F.count("*").alias("_n"))      # one row per key before the join
+    missing = per.join(reference.select(*keys), list(keys), "left_anti")
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
+        F.lit(name).alias("rule"), "violations")
 
 
 def suite(*parts: DataFrame) -> DataFrame:

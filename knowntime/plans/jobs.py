@@ -51,11 +51,11 @@ def fit_folds(rows: DataFrame, variants: Mapping[str, Sequence[str]], *, l2: Map
     raw = parameter_table(t.sparkSession, fits).withColumn("fold_key", F.split("model", r"\|")[0])
     off = F.col(offset) if offset else None
     cal = apply_models(t.where("group LIKE 'cal:%'"), raw, inputs, on="fold", params_on="fold_key", offset=off)
+    cal = materialize(cal.select("model", "p_raw", "y"), "calibration-rows")   # scanned once per step
     calibrators = fit_calibration(cal, [s.name for s in specs])
     params = parameter_table(t.sparkSession, fits, calibrators).withColumn("fold_key", F.split("model", r"\|")[0])
     scored = apply_models(t.where("group LIKE 'val:%'"), params, inputs, on="fold", params_on="fold_key", offset=off)
-    scored = scored.withColumn("variant", F.split("model", r"\|")[1])
-    return params, scored
+    return params, materialize(scored.withColumn("variant", F.split("model", r"\|")[1]), "validation-predictions")
 
 
 def variant_report(scored: DataFrame, reference: str, *, reps: int = 1000) -> DataFrame:

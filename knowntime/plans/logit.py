@@ -94,23 +94,18 @@ def fit_logistic(rows: DataFrame, specs: Sequence[Spec], *, group: str = "group"
     """
     groups, inputs = _by_group(specs), sorted({f for s in specs for f in s.features})
     used = rows.where(F.col(group).isin(list(groups)))
-    def first(key, part):
-        x = part[inputs].to_numpy(float)
-        return {key: np.concatenate([[len(x)], x.sum(axis=0)])}
-    sums = group_sums(used, group, inputs, first)
-    mean = {g: v[1:] / v[0] for g, v in sums.items()}
-    def second(key, part):
-        return {key: ((part[inputs].to_numpy(float) - mean[key]) ** 2).sum(axis=0)}
-    var = group_sums(used, group, inputs, second)
+    stats = {r["g"]: r for r in used.groupBy(F.col(group).alias("g")).agg(
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(inputs)],
+        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(inputs)]).collect()}   # one row per group
     at = {f: i for i, f in enumerate(inputs)}
     fits = {}
     for s in specs:
-        if s.group not in sums:
+        if s.group not in stats:
             raise ValueError(f"no fitting rows for {s.name}")
-        pick = [at[f] for f in s.features]
-        sd = np.sqrt(var[s.group][pick] / sums[s.group][0])
-        fits[s.name] = Fit(s, mean[s.group][pick], np.where(sd < 1e-8, 1.0, sd),
-                           np.zeros(len(pick) + 1), int(sums[s.group][0]), np.inf, 0)
+        r = stats[s.group]
+        sd = np.array([r[f"s{at[f]}"] for f in s.features])
+        fits[s.name] = Fit(s, np.array([r[f"m{at[f]}"] for f in s.features], float), np.where(sd < 1e-8, 1.0, sd),
+                           np.zeros(len(s.features) + 1), int(r["n"]), np.inf, 0)
     columns = [*inputs, y] + ([offset] if offset else [])
     trial = {n: f.coef.copy() for n, f in fits.items()}
     step = {n: np.zeros_like(c) for n, c in trial.items()}

@@ -45,19 +45,21 @@ class RatingProcessor(StatefulProcessor):
         self.pending.put([tuple(x) for x in wait]) if wait else self.pending.clear()
         if wait:
             self.handle.registerTimer(min(r[0] for r in wait) // 1000 + 1)
-        out = []
+        if not due:
+            return
+        # One read and one write of the pool's ratings per call, not one per result.
+        now = {k[0]: v[0] for k, v in self.ratings.iterator()}
+        changed, out = set(), []
         for t, cid, home, away, outcome, neutral in due:
-            a, b = self._rating(home), self._rating(away)
+            a, b = now.get(home, INITIAL), now.get(away, INITIAL)
             chance = 1.0 / (1.0 + 10.0 ** (-(a - b + self.advantage * (1 - neutral)) / self.scale))
             move = self.k * (outcome - chance)
-            self.ratings.updateValue((home,), (a + move,))
-            self.ratings.updateValue((away,), (b - move,))
+            now[home], now[away] = a + move, b - move
+            changed.update((home, away))
             out.append((key[0], cid, t, home, away, a + move, b - move))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    def _rating(self, team) -> float:
-        return self.ratings.getValue((team,))[0] if self.ratings.containsKey((team,)) else INITIAL
+        for team in changed:
+            self.ratings.updateValue((team,), (now[team],))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
