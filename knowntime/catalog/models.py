@@ -14,10 +14,11 @@ from knowntime.catalog.people import starter_rows
 from knowntime.catalog.registry import query
 from knowntime.catalog.rules import BOUNDS, _calendar_case
 from knowntime.functions.times import epoch_block
-from knowntime.operators import form, metrics as M, splits as S
+from knowntime.operators import availability as A, form, metrics as M, splits as S
+from knowntime.operators.asof import chunk_for
 from knowntime.operators.bootstrap import block_sums, bootstrap_interval, season_week
 from knowntime.plans import boosted as G, jobs as J
-from knowntime.plans.logit import Spec, apply_models, fit_calibration, fit_logistic, materialize, parameter_table
+from knowntime.plans.logit import Spec, apply_models, fit_calibration, fit_logistic, materialize, materialize_shared, parameter_table
 from knowntime.session import scratch_path
 from knowntime.sources.tables import write_once
 
@@ -25,8 +26,8 @@ YEARS, START = (1997, 1998, 1999), "1995-07-01"
 
 
 def binary_rows(spark, sf_dir):
-    """Assembled inputs of decided contests, written once per query to the shared scratch."""
-    return materialize(model_rows(V.contests(spark, sf_dir).where("home_score <> away_score")), "model-rows")
+    """Assembled inputs of decided contests, written once to the shared scratch folder."""
+    return materialize_shared(spark, f"binary|{sf_dir}", lambda: model_rows(V.contests(spark, sf_dir).where("home_score <> away_score")))
 
 
 def fold_rows(spark, sf_dir):
@@ -106,14 +107,51 @@ def extended_feature_comparison(spark, sf_dir):
     prev = form.home_minus_away(form.previous_season_rate(s.select("league", "team", "season", "available_at", "win"),
                                 s.select("contest_id", "league", "team", "side", "season", "decision_at")), ["contest_id"], {"r": F.col("prev_win_rate")})
     extra = box_table(spark, sf_dir).join(prev.select("contest_id", (F.col("r_home") - F.col("r_away")).alias("prev_season_win_rate_diff")), "contest_id")
-    rows = S.calendar_folds(materialize(model_rows(c).join(extra, "contest_id"), "extended-rows"), YEARS, start=START)
+    rows = S.calendar_folds(materialize(binary_rows(spark, sf_dir).join(extra, "contest_id"), "extended-rows"), YEARS, start=START)
     names = [x for x in extra.columns if x != "contest_id"]
     _, scored = J.fit_folds(rows, {"base": J.BASE, "extended": (*J.BASE, *names)})
     return J.pooled_report(scored, ["base", "extended"]).select("variant", "n", r6("log_loss"), r6("brier"), r6("accuracy"))
 
 
+def contest_reports(spark, sf_dir, contests):
+    """Status rows per contest and team, made from line items, some filed after the decision."""
+    li = V.table(spark, sf_dir, "lineitem")
+    k = F.col("l_partkey") + F.col("l_linenumber")
+    status = F.element_at(F.array(*[F.lit(x) for x in (*A.STATUSES, A.NOT_SUBMITTED)]), (k % 23 % 6 + 1).cast("int"))
+    status = F.when((status == A.NOT_SUBMITTED) & (F.col("l_partkey") % 5 != 0), "Available").otherwise(status)
+    rows = li.select(F.col("l_orderkey").alias("contest_id"), F.when(F.col("l_linenumber") % 2 == 0, "home").otherwise("away").alias("side"),
+                     status.alias("status"), (F.col("l_partkey") % 300).alias("player_id"), (F.col("l_suppkey") % 3).cast("int").alias("lag"))
+    rows = rows.withColumn("player_id", F.when(F.col("status") != A.NOT_SUBMITTED, F.col("player_id"))).withColumn("source", F.lit("main"))
+    sides = V.sides(contests).select("contest_id", "side", F.col("team").alias("team_id"), "decision_at")
+    return rows.join(sides, ["contest_id", "side"]).withColumn(
+        "report_at", F.col("decision_at") + F.make_dt_interval(F.lit(0), F.col("lag") * 20 - 30)).drop("lag", "decision_at", "side")
+
+
+@query("availability_comparison")
+def availability_comparison(spark, sf_dir):
+    """Base, plus declared availability, plus impact of the listed players, on three folds."""
+    c = V.contests(spark, sf_dir).where("home_score <> away_score")
+    keys, ids = ["contest_id", "team_id"], ["contest_id"]
+    reports = materialize(contest_reports(spark, sf_dir, c), "contest-reports")
+    sides = V.sides(c).select("contest_id", "side", F.col("team").alias("team_id"), "decision_at")
+    states = materialize(A.snapshot_states(sides, A.snapshots(reports, keys), keys, chunk_days=None), "contest-states")
+    logs = (V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contest_id"), (F.col("l_partkey") % 300).alias("player_id"))
+            .agg(F.sum("l_quantity").alias("minutes"), F.sum(F.floor("l_quantity") % 7).cast("double").alias("points"))
+            .join(c.select("contest_id", "available_at"), "contest_id").withColumn("log_id", F.col("contest_id")))
+    listed = A.listed_players(states, reports, keys).select("contest_id", "side", "player_id", "status", "decision_at")
+    listed = A.player_prior(logs, listed, ["player_id"], chunk_days=chunk_for(logs, ["player_id"], "available_at"))
+    extra = A.availability_features(states, ids).join(A.impact_features(c, listed, ids), "contest_id")
+    rows = S.calendar_folds(materialize(binary_rows(spark, sf_dir).join(extra, "contest_id"), "availability-rows"), YEARS, start=START)
+    impact = tuple(x for x in extra.columns if x.endswith(("minutes_diff", "points_diff", "listed_diff")))
+    avail = tuple(x for x in extra.columns if x not in impact and x != "contest_id")
+    _, scored = J.fit_folds(rows, {"base": J.BASE, "availability": (*J.BASE, *avail), "impact": (*J.BASE, *avail, *impact)})
+    J.pooled_report(scored, ["base", "availability", "impact"])
+    return J.variant_report(scored, "base").select("fold", "variant", "n", *[r6(x) for x in ("log_loss", "brier", "accuracy", "difference", "low", "high")])
+
+
 def tie_rows(spark, sf_dir):
-    return model_rows(V.contests(spark, sf_dir), window=10, cap=21, advantage=55).withColumn("div_game", (F.col("contest_id") % 3 == 0).cast("int"))
+    rows = materialize_shared(spark, f"tie|{sf_dir}", lambda: model_rows(V.contests(spark, sf_dir), window=10, cap=21, advantage=55))
+    return rows.withColumn("div_game", (F.col("contest_id") % 3 == 0).cast("int"))
 
 
 TIE_BASE = ("margin_diff", "scored_diff", "allowed_diff", "win_rate_diff", "history_count_diff", "home_rest", "away_rest", "elo_diff", "neutral", "div_game")
@@ -238,7 +276,7 @@ CHECK_TREES = (10, 20)
 @query("boosted_trees")
 def boosted_trees(spark, sf_dir):
     """Boosted trees, picked on the tuning split."""
-    rows = materialize(S.calendar_folds(binary_rows(spark, sf_dir), (1999,), start=START), "boosted-rows")
+    rows = S.calendar_folds(binary_rows(spark, sf_dir), (1999,), start=START)
     model, _ = G.tune_and_fit(rows, J.BASE, trees=CHECK_TREES)
     return G.predict(model, rows.where("split = 'validation'"), J.BASE).select("contest_id", "y", r6("p_raw"))
 
@@ -246,7 +284,7 @@ def boosted_trees(spark, sf_dir):
 @query("boosted_tree_trials")
 def boosted_tree_trials(spark, sf_dir):
     """Tuning loss per depth and ensemble size."""
-    rows = materialize(S.calendar_folds(binary_rows(spark, sf_dir), (1999,), start=START), "boosted-rows")
+    rows = S.calendar_folds(binary_rows(spark, sf_dir), (1999,), start=START)
     _, trials = G.tune_and_fit(rows, J.BASE, trees=CHECK_TREES)
     return G.tuning_table(spark, trials).select("depth", "trees", r6("tune_loss"))
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from knowntime.functions.prob import expit, logit
@@ -48,6 +49,24 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_SHARED: dict[tuple[str, str], str] = {}
+
+
+def materialize_shared(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Build an input table once per application and share it between jobs; rebuilt when its
+    files are gone."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _SHARED:
+        try:
+            return spark.read.parquet(_SHARED[key])
+        except AnalysisException:
+            pass
+    path = scratch_path(spark, "shared")
+    build().write.parquet(path)
+    _SHARED[key] = path
+    return spark.read.parquet(path)
+
+
 def _clip_logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p) - np.log1p(-p)
