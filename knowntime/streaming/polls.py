@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from knowntime.sources.tables import append
@@ -13,12 +15,26 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, *, per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None = None):
+    """A new stream fixes its number of state partitions when it first starts: one per core by
+    default instead of the batch setting, which is restored afterwards."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
     """Process everything that is there now into a parquet table, then stop; returns the table."""
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
     spark = stream.sparkSession
+    with state_partitions(spark):
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
