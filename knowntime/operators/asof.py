@@ -115,13 +115,18 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
                 .select(*keys, "_chunk", F.explode("_carry").alias("_r"))
                 .select(*keys, "_chunk", "_r.*"))
         full = f.unionByName(halo)
-    recent = (Window.partitionBy(*keys, "_chunk").orderBy("_t", *ties)
+    # One shuffle for everything: facts and probes are stacked and partitioned together, the
+    # facts are rolled among themselves (``_fact`` separates them), then filled forward.
+    stack = (full.withColumn("_fact", F.lit(1)).withColumn("_kind", F.lit(1 if strict else 0))
+             .unionByName(p.withColumn("_fact", F.lit(0)), allowMissingColumns=True)
+             .repartition(*keys, "_chunk"))
+    recent = (Window.partitionBy(*keys, "_chunk", "_fact").orderBy("_t", *ties)
               .rowsBetween(-(window - 1), Window.currentRow))
-    rolled = full.select(*keys, "_chunk", "_t", *ties, F.lit(1 if strict else 0).alias("_kind"),
-                         F.struct(*[a.over(recent).alias(n) for n, a in aggs.items()])
-                         .alias("_value"))
-    return _fill_forward(rolled.unionByName(p, allowMissingColumns=True), probes, keys, ties,
-                         list(aggs))
+    rolled = stack.select(
+        *keys, "_chunk", "_t", "_kind", *ties, "_probe",
+        F.when(F.col("_fact") == 1, F.struct(*[a.over(recent).alias(n) for n, a in aggs.items()]))
+        .alias("_value"))
+    return _fill_forward(rolled, probes, keys, ties, list(aggs))
 
 
 def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,
