@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from knowntime import views as V
 from knowntime.catalog.features import r6
 from knowntime.catalog.registry import query
-from knowntime.catalog.scores import CAND, candidates
-from knowntime.functions.times import shift
-from knowntime.operators import policy as P
+from knowntime.catalog.scores import BOOT, BY_LEAGUE, CAND, candidates
+from knowntime.functions.times import epoch_block, shift
+from knowntime.operators import bootstrap as B, policy as P
 from knowntime.plans import ledger as L
 
 
@@ -161,3 +161,17 @@ def ledger_monitor(spark, sf_dir):
     m = L.monitor(*book(spark, sf_dir), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
     return m.select("candidates", "settled", "unsettled", "checked", r6("check_coverage"), r6("price_rate"), F.round("turnover", 4).alias("turnover"), F.round("pnl", 4).alias("pnl"),
                     r6("yield"), r6("selected_brier"), r6("observed_days"), "checkpoint")
+
+
+YIELD_SQL = ("WITH " + BOOK + """, x AS (SELECT d.account AS league, CAST(floor(epoch_us(d.issued_at) / (7 * 86400000000)) AS BIGINT) AS block, s.pnl / d.stake AS v
+  FROM dec d JOIN sett s USING (game_id) WHERE d.stake > 0)""" + BOOT.format(reps=2000, least=10, **BY_LEAGUE)).replace(
+    "SELECT t.league, CAST(blocks", "SELECT t.league AS account, CAST(blocks").replace("AS difference, round(low", "AS flat_yield, round(low")
+
+
+@query("ledger_yield_interval", YIELD_SQL)
+def ledger_yield_interval(spark, sf_dir):
+    """Flat yield of settled bets with its weekly-block interval."""
+    dec, _, sett = book(spark, sf_dir)
+    j = dec.where("stake > 0").join(sett, "game_id").withColumn("block", epoch_block("issued_at", 7))
+    out = B.bootstrap_interval(B.block_sums(j, ["account"], F.col("pnl") / F.col("stake")), ["account"], reps=2000, min_blocks=10)
+    return out.select("account", "blocks", r6("flat_yield", F.col("difference")), r6("low"), r6("high"))

@@ -226,6 +226,16 @@ def payload_unmapped_events(spark, sf_dir):
     return payload.unmapped_events(payload.parse_body(payload_text(spark, sf_dir)), event_map(spark, sf_dir))
 
 
+@query("payload_renamed_events", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS event_id, 'H' || user_id AS seen_home, 'A' || user_id AS seen_away FROM events
+WHERE user_id % 17 <> 3 AND user_id % 23 = 5""")
+def payload_renamed_events(spark, sf_dir):
+    """Events whose teams no longer match the map (A4)."""
+    odd = F.col("contest_id") % 23 == 5
+    stale = event_map(spark, sf_dir).withColumn("home_name", F.when(odd, "Old Name").otherwise(F.col("home_name")))
+    return payload.renamed_events(payload.parse_body(payload_text(spark, sf_dir)), stale)
+
+
 @query("payload_live_extract", "WITH " + V.QUOTES + """
 SELECT CAST(contest_id AS VARCHAR) AS event_id, book, quote_at AS updated_at, round(home_odds, 6) AS home_odds,
        round(away_odds, 6) AS away_odds, round((1 / home_odds) / (1 / home_odds + 1 / away_odds), 6) AS q_home,

@@ -333,6 +333,27 @@ def settlement_report(spark, sf_dir):
     return rounded(M.score(both, ["part", "model"]), ["part", "model"])
 
 
+CONTRAST_SQL = ("WITH " + V.PREDICTIONS + """, st AS (SELECT *, contest_id % 3 <> 0 AS covered FROM predictions WHERE contest_id % 7 <> 0 AND contest_id % 19 <> 0 AND is_tie = 0),
+pt AS (SELECT 'all' AS league, * EXCLUDE (league) FROM st UNION ALL SELECT 'covered', * EXCLUDE (league) FROM st WHERE covered),"""
+                + f" x AS (SELECT league, CAST(floor(epoch_us(decision_at) / (7 * 86400000000)) AS BIGINT) AS block, {DIFF} FROM pt)"
+                + BOOT.format(reps=2000, least=10, **BY_LEAGUE))
+
+
+@query("settlement_contrasts", CONTRAST_SQL.replace("SELECT t.league, CAST(blocks", "SELECT t.league AS part, CAST(blocks"))
+def settlement_contrasts(spark, sf_dir):
+    """Model minus baseline over settled records, all and covered only, weekly blocks."""
+    from knowntime.operators.merge import settle_records
+    c = V.contests(spark, sf_dir).withColumnRenamed("contest_id", "game_id")
+    rec = V.predictions(spark, sf_dir).select(F.col("contest_id").alias("game_id"), "decision_at", "p_model", "p_base",
+                                              (F.col("contest_id") % 3 != 0).alias("covered"))
+    s = settle_records(rec, c.where("game_id % 19 <> 0"), c.where("game_id % 7 <> 0")).where("status = 'settled' AND outcome <> 'tie'")
+    parts = F.when(F.col("covered"), F.array(F.lit("all"), F.lit("covered"))).otherwise(F.array(F.lit("all")))
+    s = (s.withColumn("y", (F.col("outcome") == "home").cast("int")).withColumn("part", F.explode(parts))
+         .withColumn("block", epoch_block("decision_at", 7)))
+    out = B.bootstrap_interval(B.block_sums(s, ["part"], M.paired_difference("y", "p_model", "p_base", 1e-9)), ["part"], reps=2000, min_blocks=10)
+    return out.select("part", "blocks", r6("difference"), r6("low"), r6("high"))
+
+
 @query("source_archive_health", """
 SELECT CAST(count(*) FILTER (event_id % 4 < 3) AS BIGINT) AS captured, CAST(count(*) FILTER (event_id % 4 < 3 AND ts >= TIMESTAMP '2024-01-29 00:00:00') AS BIGINT) AS eligible_last_48h,
        max(ts) FILTER (event_id % 4 < 3) AS latest_retrieved_at FROM events""")

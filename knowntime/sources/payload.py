@@ -58,6 +58,14 @@ def unmapped_events(events: DataFrame, mapping: DataFrame) -> DataFrame:
             .join(mapping.select("event_id"), "event_id", "left_anti"))
 
 
+def renamed_events(events: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mapped events whose team names differ from the map: the mapping needs review first."""
+    names = events.select(F.col("e.id").alias("event_id"), F.col("e.home_team").alias("seen_home"),
+                          F.col("e.away_team").alias("seen_away")).distinct()
+    return names.join(mapping, "event_id").where(
+        "seen_home <> home_name OR seen_away <> away_name").select("event_id", "seen_home", "seen_away")
+
+
 def live_quotes(events: DataFrame) -> DataFrame:
     """Live snapshot: the book's update time wins; invalid or one-sided prices are skipped."""
     rows = winner_markets(events).select(
