@@ -248,7 +248,7 @@ def report_documents(spark, sf_dir):
     date = F.date_format("ts", "MM/dd/yyyy")
     status = F.element_at(F.array(*[F.lit(s) for s in R.STATUSES]), (k % 5 + 1).cast("int"))
     first = F.concat(date, F.lit(" 07:00 (ET) AAA@BBB "), F.when(k % 2 == 0, team(k)).otherwise(F.replace(team(k), F.lit(" "), F.lit(""))),
-                     F.lit(" Porter Jr., Player"), k, F.lit(" "), status, F.lit(" Injury/Illness - Knee; Sprain"))
+                     F.lit(" Hollis Jr., Player"), k, F.lit(" "), status, F.lit(" Injury/Illness - Knee; Sprain"))
     lines = F.array(
         F.when(k % 17 != 0, F.concat(F.lit("Injury Report: "), F.date_format("ts", "MM/dd/yy hh:mm a"))).otherwise("no header"),
         F.lit("Game Date Game Time Matchup Team Player Name Current Status Reason"),
@@ -264,7 +264,7 @@ TEAM_LIST = "[" + ", ".join("'" + t.replace(" ", "") + "'" for t in R.TEAMS[:30]
 STATUS_LIST = "[" + ", ".join(f"'{s}'" for s in R.STATUSES) + "]"
 PARSED_SQL = f"""parsed AS (
   SELECT event_id AS doc_id, 2 AS line_no, strftime(ts, '%m/%d/%Y') AS game_date, '07:00' AS game_time, 'AAA@BBB' AS matchup,
-         {TEAM_LIST}[event_id % 30 + 1] AS team, 'Porter Jr., Player' || event_id AS player, {STATUS_LIST}[event_id % 5 + 1] AS status
+         {TEAM_LIST}[event_id % 30 + 1] AS team, 'Hollis Jr., Player' || event_id AS player, {STATUS_LIST}[event_id % 5 + 1] AS status
   FROM events WHERE event_id % 13 <> 0
   UNION ALL SELECT event_id, 5, strftime(ts, '%m/%d/%Y'), '07:00', 'AAA@BBB', {TEAM_LIST}[event_id % 30 + 1], 'Second,Also', 'Doubtful' FROM events WHERE event_id % 13 <> 0
   UNION ALL SELECT event_id, 8, strftime(ts, '%m/%d/%Y'), '10:00', 'CCC@DDD', {TEAM_LIST}[(event_id + 7) % 30 + 1], NULL, 'NotSubmitted' FROM events WHERE event_id % 13 <> 0
@@ -307,11 +307,11 @@ def document_line_scan(spark, sf_dir):
 
 
 @query("person_name_keys", """
-SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'michael ' || c_custkey || ' porter jr' WHEN 1 THEN 'luka doncic ' || c_custkey
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'marcus ' || c_custkey || ' hollis jr' WHEN 1 THEN 'tomas riha ' || c_custkey
        ELSE 'jose o neal smith ' || c_custkey END AS person FROM customer""")
 def person_name_keys(spark, sf_dir):
     """Names in both orders, with accents and punctuation, to one key (G: names)."""
     c, k = V.table(spark, sf_dir, "customer"), F.col("c_custkey")
-    name = (F.when(k % 3 == 0, F.concat(F.lit("Porter Jr., Michael "), k)).when(k % 3 == 1, F.concat(F.lit(" Luka  Dončić "), k))
+    name = (F.when(k % 3 == 0, F.concat(F.lit("Hollis Jr., Marcus "), k)).when(k % 3 == 1, F.concat(F.lit(" Tomáš  Říha "), k))
             .otherwise(F.concat(F.lit("José O'Neal-Smith "), k)))
     return c.select("c_custkey", X.person_key(name).alias("person"))

@@ -54,7 +54,7 @@ def fold_accents(column: str | Column) -> Column:
 
 
 def person_key(column: str | Column) -> Column:
-    """'Porter Jr., Michael' and 'Michael Porter Jr.' meet as 'michael porter jr'."""
+    """'Hollis Jr., Marcus' and 'Marcus Hollis Jr.' meet as 'marcus hollis jr'."""
     c = F.col(column) if isinstance(column, str) else column
     comma = F.instr(c, ",")
     first = F.trim(F.substr(c, comma + 1))
