@@ -241,19 +241,25 @@ def apply_models(rows: DataFrame, params: DataFrame, inputs: Sequence[str], *, o
     ``on`` limits a row to the models of its group; without it every model scores every row.
     The table has one row per model, so it is joined as a broadcast of that known size.
     """
-    values = F.map_from_arrays(F.array(*[F.lit(c) for c in inputs]),
-                               F.array(*[F.col(c).cast("double") for c in inputs]))
+    # Parameters are laid out in the order of ``inputs`` once per model (absent inputs weigh 0).
+    names = F.array(*[F.lit(c) for c in inputs])
+    lay = lambda source, shift, default: F.transform(names, lambda n: F.when(
+        F.array_position("features", n) > 0, F.get(source, (F.array_position("features", n) - 1 + shift).cast("int"))).otherwise(F.lit(default)))
     keep = [c for c in params.columns if c not in rows.columns or c == params_on]
-    small = F.broadcast(params.select(*keep).withColumnRenamed(params_on, "_on"))
+    small = params.select(*keep, lay("mean", 0, 0.0).alias("_mean"), lay("scale", 0, 1.0).alias("_scale"),
+                          lay("coef", 1, 0.0).alias("_coef"), F.col("coef")[0].alias("_bias"))
+    small = F.broadcast(small.withColumnRenamed(params_on, "_on"))
     joined = (rows.join(small, rows[on] == F.col("_on")) if on else rows.withColumn("_one", F.lit(1)).join(
         small.withColumn("_one", F.lit(1)), "_one").drop("_one"))
-    terms = F.transform(F.sequence(F.lit(0), F.size("features") - 1), lambda i: (
-        (F.element_at("_x", F.get("features", i)) - F.get("mean", i)) / F.get("scale", i) * F.get("coef", i + 1)))
-    eta = F.get("coef", F.lit(0)) + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    values = F.array(*[F.col(c).cast("double") for c in inputs])
+    at = lambda c, i: F.get(c, i)
+    eta = F.aggregate(F.sequence(F.lit(0), F.lit(len(inputs) - 1)), F.col("_bias"), lambda acc, i: (
+        acc + (at("_x", i) - at("_mean", i)) / at("_scale", i) * at("_coef", i)))
     if offset is not None:
         eta = eta + logit(offset)
     out = (joined.withColumn("_x", values).withColumn("p_raw", expit(eta))
            .withColumn("p", expit(F.col("intercept") + F.col("slope") * logit("p_raw"))))
-    drop = [c for c in ("features", "mean", "scale", "coef", "intercept", "slope", "refit_rows", "l2", "_x", "_on")
+    drop = [c for c in ("features", "mean", "scale", "coef", "intercept", "slope", "refit_rows", "l2", "_x", "_on",
+                        "_mean", "_scale", "_coef", "_bias")
             if c in out.columns]
     return out.drop(*drop)
