@@ -272,10 +272,10 @@ rates AS (
          coalesce(poss / n, 0) AS pace, coalesce((fgm + 0.5 * fg3m) / fga, 0) AS efg, coalesce(tov / poss, 0) AS tv,
          coalesce(oreb / misses, 0) AS ob, coalesce(fta / fga, 0) AS ft
   FROM sides p LEFT JOIN tot t ON t.pid = p.contest_id AND t.pside = p.side)
-SELECT h.contest_id, round(h.o - a.o, 6) AS off_rating_diff, round(h.d - a.d, 6) AS def_rating_diff,
-       round((h.o - h.d) - (a.o - a.d), 6) AS net_rating_diff, round(h.pace - a.pace, 6) AS pace_diff,
-       round(h.efg - a.efg, 6) AS efg_diff, round(h.tv - a.tv, 6) AS tov_rate_diff,
-       round(h.ob - a.ob, 6) AS oreb_rate_diff, round(h.ft - a.ft, 6) AS ft_rate_diff
+SELECT h.contest_id, round(h.o - a.o, 6) + 0.0::DOUBLE AS off_rating_diff, round(h.d - a.d, 6) + 0.0::DOUBLE AS def_rating_diff,
+       round((h.o - h.d) - (a.o - a.d), 6) + 0.0::DOUBLE AS net_rating_diff, round(h.pace - a.pace, 6) + 0.0::DOUBLE AS pace_diff,
+       round(h.efg - a.efg, 6) + 0.0::DOUBLE AS efg_diff, round(h.tv - a.tv, 6) + 0.0::DOUBLE AS tov_rate_diff,
+       round(h.ob - a.ob, 6) + 0.0::DOUBLE AS oreb_rate_diff, round(h.ft - a.ft, 6) + 0.0::DOUBLE AS ft_rate_diff
 FROM rates h JOIN rates a ON a.contest_id = h.contest_id AND a.side = 'away' WHERE h.side = 'home'"""
 
 

@@ -39,7 +39,7 @@ def push_candidate(spark, sf_dir):
 
 @query("settled_profit", "WITH " + V.BETS + """, s AS (SELECT contest_id, CASE contest_id % 11 WHEN 0 THEN 'tie' WHEN 1 THEN 'void' ELSE CASE WHEN y = 1 THEN 'home' ELSE 'away' END END AS outcome,
   CASE WHEN contest_id % 2 = 0 THEN 'home' ELSE 'away' END AS side, CASE WHEN contest_id % 2 = 0 THEN home_odds ELSE away_odds END AS odds, (contest_id % 20)::DOUBLE AS stake FROM bets)
-SELECT contest_id, round(CASE WHEN outcome IN ('tie', 'void') THEN 0 WHEN outcome = side THEN stake * (odds - 1) ELSE -stake END - stake * 0.005::DOUBLE, 6) AS pnl FROM s""")
+SELECT contest_id, round(CASE WHEN outcome IN ('tie', 'void') THEN 0 WHEN outcome = side THEN stake * (odds - 1) ELSE -stake END - stake * 0.005::DOUBLE, 6) + 0.0::DOUBLE AS pnl FROM s""")
 def settled_profit(spark, sf_dir):
     """Win, lose, push or void; the cost is always charged (K3)."""
     k = F.col("contest_id")
@@ -139,7 +139,7 @@ def ledger_check_guard(spark, sf_dir):
 @query("ledger_settlement_guard", "WITH " + BOOK + """, inc AS (SELECT contest_id AS game_id, CASE WHEN contest_id % 31 = 0 THEN 'push' WHEN contest_id % 17 = 0 THEN 'void' WHEN y = 1 THEN 'win' ELSE 'loss' END AS outcome FROM bets),
 j AS (SELECT i.game_id, i.outcome, d.stake, d.odds, CASE WHEN i.outcome = 'push' THEN 'invalid outcome' WHEN d.game_id IS NULL THEN 'unknown decision' WHEN TIMESTAMP '1999-12-01' <= d.scheduled_at THEN 'before scheduled start'
       WHEN s.game_id IS NOT NULL THEN 'already settled' END AS reason FROM inc i LEFT JOIN dec d USING (game_id) LEFT JOIN sett s USING (game_id))
-SELECT game_id, outcome, reason, round(CASE WHEN reason IS NULL THEN CASE WHEN outcome = 'void' THEN 0 ELSE stake * (odds * CASE WHEN outcome = 'win' THEN 1 ELSE 0 END - 1 - 0.005::DOUBLE) END END, 6) AS pnl FROM j""")
+SELECT game_id, outcome, reason, round(CASE WHEN reason IS NULL THEN CASE WHEN outcome = 'void' THEN 0 ELSE stake * (odds * CASE WHEN outcome = 'win' THEN 1 ELSE 0 END - 1 - 0.005::DOUBLE) END END, 6) + 0.0::DOUBLE AS pnl FROM j""")
 def ledger_settlement_guard(spark, sf_dir):
     """Settlements with profit or the reason to refuse them (K7)."""
     dec, _, sett = book(spark, sf_dir)
