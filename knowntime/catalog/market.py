@@ -176,7 +176,7 @@ def snapshot_plan_cost(spark, sf_dir):
 def payload_text(spark, sf_dir):
     """Provider payloads as JSON text, one document per quote."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    q, k = V.quotes(spark, sf_dir), F.col("quote_id")
+    q, k = V.spread(V.quotes(spark, sf_dir)), F.col("quote_id")
     c = F.col("contest_id").cast("string")
     home, away = F.concat(F.lit("H"), c), F.concat(F.lit("A"), c)
     price = lambda n, p: F.struct(n.alias("name"), p.alias("price"))

@@ -242,7 +242,7 @@ def expected_starter_features(spark, sf_dir):
 
 def report_documents(spark, sf_dir):
     """Report texts, one per event, with page breaks, carried headers and unfiled teams."""
-    e = V.table(spark, sf_dir, "events")
+    e = V.spread(V.table(spark, sf_dir, "events").select("event_id", "ts"))
     k = F.col("event_id")
     team = lambda i: F.element_at(F.array(*[F.lit(t) for t in R.TEAMS[:30]]), (i % 30 + 1).cast("int"))
     date = F.date_format("ts", "MM/dd/yyyy")
@@ -300,7 +300,7 @@ SELECT d.doc_id, CAST(count(l.line) FILTER (l.line <> '') AS BIGINT) AS lines, C
 FROM documents d JOIN l USING (doc_id) GROUP BY d.doc_id""")
 def document_line_scan(spark, sf_dir):
     """The parser over whole documents that are no reports: nothing is invented (H1, H3)."""
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
     audit = R.parse_audit(docs, R.parse_reports(docs, "doc_id"), "doc_id")
     n = docs.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint").alias("lines"))
     return audit.join(n, "doc_id").select("doc_id", "lines", "rows", "outcome")

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Give heavy per-row work a partition per core when the scan has fewer (one small file);
+    a scan with enough partitions is left as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedule and result of every contest: one row per order."""
     o = table(spark, sf_dir, "orders")
