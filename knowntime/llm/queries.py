@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowntime.llm import fingerprint, packing, quality, sharding, url_filter
+from knowntime.llm import fingerprint, packing, quality, sharding, suffix_dedup, url_filter
 from knowntime.llm.common import table
 
 QUERIES: dict = {}
@@ -50,3 +50,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+@register
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
