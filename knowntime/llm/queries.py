@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowntime.llm import fingerprint, packing, quality, sharding, suffix_dedup, url_filter
+from knowntime.llm import fingerprint, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
 from knowntime.llm.common import table
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
+@register
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
