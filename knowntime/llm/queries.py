@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowntime.llm import fingerprint, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
+from knowntime.llm import fingerprint, html_extract, licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
 from knowntime.llm.common import table
 
 QUERIES: dict = {}
@@ -60,3 +60,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"))
