@@ -15,6 +15,8 @@ from knowntime.llm.common import WHITE, per_text, saved
 SYMBOLS = "#*$%&|<>"
 #: Metric, width of a histogram bin, and which sides of the band reject.
 BANDS = (("chars_per_token", 0.01, "both"), ("chars_per_unit", 0.01, "both"), ("byte_share", 0.001, "high"), ("entropy", 0.001, "low"))
+#: Quartile distances from the quartiles to the ends of a band.
+REACH = 4.0
 METRICS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
            "chars_per_token double, chars_per_unit double, byte_share double, entropy double")
 
@@ -154,7 +156,7 @@ def bands(measured: DataFrame, reach: float) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("metric", "band"))).alias("_bands"))     # one entry per metric
 
 
-def judge(measured: DataFrame, reach: float = 3.0) -> DataFrame:
+def judge(measured: DataFrame, reach: float = REACH) -> DataFrame:
     """Append base_failed, fertility_failed (the metrics outside their language's band, comma-separated) and kept.
 
     Text whose language has no band (no row passed the base rules) fails by the base rules alone.
@@ -170,6 +172,6 @@ def judge(measured: DataFrame, reach: float = 3.0) -> DataFrame:
             .withColumn("kept", ~F.col("base_failed") & (F.col("fertility_failed") == "")))
 
 
-def rate_quality(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, reach: float = 3.0, drop: tuple[str, ...] = ("text",)) -> DataFrame:
+def rate_quality(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, reach: float = REACH, drop: tuple[str, ...] = ("text",)) -> DataFrame:
     """Measure every document (doc_id, text, lang, ...) once, keep the figures in the shared folder, and judge them."""
     return judge(saved(measure(docs, vocabulary, ranks, pattern, drop), "quality"), reach)

@@ -22,12 +22,14 @@ from __future__ import annotations
 import hashlib
 import pickle
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from knowntime.llm.common import partitions, saved
 
@@ -93,20 +95,22 @@ class Block:
     def __init__(self, table: pa.Table, messages: pa.Table, width: int, gram: int):
         self.width, self.gram, self.slack = width, gram, width - gram + 1
         ids = [LAST if d is None else d for d in table.column("doc_id").to_pylist()]
-        rows = sorted(zip(ids, table.column("key").to_pylist(), table.column("text").to_pylist()), key=lambda r: r[:2])
+        plain = {"block", "doc_id", "key", "text"}
+        extra = list(zip(*[table.column(c).to_pylist() for c in table.column_names if c not in plain])) or [()] * len(ids)
+        rows = sorted(zip(ids, table.column("key").to_pylist(), table.column("text").to_pylist(), extra), key=lambda r: r[:2])
         known = messages.to_pylist()
         copies = {m["blob"] for m in known if m["kind"] == "copy"}
         self.copies, self.docs = [], []
-        for d, k, t in rows:
-            (self.copies if d.to_bytes(8, "little", signed=True) + k in copies else self.docs).append((d, t))
+        for d, k, t, x in rows:
+            (self.copies if d.to_bytes(8, "little", signed=True) + k in copies else self.docs).append((d, t, x))
         self.answers = {kind: b"".join(m["blob"] for m in sorted((m for m in known if m["kind"] == kind), key=lambda m: m["part"]))
                         for kind in ("first", "second", "state", "least")}
         self.bitmaps = {kind: sorted((m["part"], m["blob"]) for m in known if m["kind"] == kind) for kind in ("gram", "want", "string")}
-        lengths = np.array([len(t) for _, t in self.docs], np.int64)
+        lengths = np.array([len(t) for _, t, _ in self.docs], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        self.ids = np.array([d for d, _ in self.docs], np.int64)
-        self.data = np.frombuffer(b"".join(t for _, t in self.docs), np.uint8)
+        self.ids = np.array([d for d, _, _ in self.docs], np.int64)
+        self.data = np.frombuffer(b"".join(t for _, t, _ in self.docs), np.uint8)
         self._anchors()
 
     def _anchors(self, chunk: int = 1 << 20) -> None:
@@ -365,19 +369,21 @@ _MESSAGE = [("block", pa.int32()), ("kind", pa.string()), ("part", pa.int32()),
 _RUN = [("part", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("lcps", pa.binary()), ("tails", pa.binary()), ("docs", pa.binary())]
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequence[str] = (), give: str = "bytes") -> DataFrame:
     """Remove every byte of a text covered by a ``width``-byte string that also starts in a document of smaller doc_id.
 
-    Takes (doc_id, text); returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, ``with_text``,
-    kept (the remaining bytes) and spans (start and end of each removed run). Strings are judged on the input and never cross
-    documents. Null text counts as empty; texts under ``width`` bytes lose nothing; rows of one doc_id do not remove each
+    Takes (doc_id, text); returns doc_id, the columns to ``carry``, n_bytes, n_removed, n_spans (maximal removed runs) and
+    kept_sha256. ``give`` "bytes" adds kept (the remaining bytes) and spans (start and end of each removed run); "text" adds them
+    with kept as a string, without characters that a cut went through; "digest" adds nothing. Strings are judged on the input and
+    never cross documents. Null text counts as empty; texts under ``width`` bytes lose nothing; rows of one doc_id do not remove each
     other's bytes; a null doc_id comes after all others. Repeated rows get one result each.
     """
     n = partitions(docs)
     key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    hashed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).withColumn("key", key)
+    hashed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                         key.alias("key"), *carry)
     block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(n)).cast("int").alias("block")
-    dealt = hashed.select(block, "doc_id", "key", "text")
+    dealt = hashed.select(block, "doc_id", "key", "text", *carry)
     rank = F.coalesce("doc_id", F.lit(LAST))
 
     # whole copies: a group is one row, wherever its members are
@@ -468,9 +474,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, with_text:
             out += [(r["block"], "least", r["part"], f.tobytes()) for r, f in zip(grams, np.split(least[index], ends))]
         return _rows(_MESSAGE, out)
 
-    result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    if with_text:
-        result += [("kept", pa.binary()), ("spans", pa.list_(pa.int64()))]
+    shape = docs.select(F.col("doc_id").cast("long"), *carry).schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
+        shape = shape.add(name, kind)
+    if give != "digest":
+        shape = shape.add("kept", "string" if give == "text" else "binary").add("spans", ArrayType(LongType()))
+    result = [(f.name, f.type) for f in to_arrow_schema(shape)]
 
     def finish(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -485,23 +494,21 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, with_text:
         gone = np.cumsum(step[:-1]) > 0
         out = []
 
-        def row(doc: int, text: bytes, kept: bytes, spans: list[int]) -> None:
-            plain = (None if doc == LAST else doc, len(text), len(text) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest())
-            out.append((*plain, kept, spans) if with_text else plain)
+        def row(doc: int, text: bytes, extra: tuple, spans: list[int]) -> None:
+            left_over = [text[i:j] for i, j in zip([0, *spans[1::2]], [*spans[::2], len(text)])]
+            kept = b"".join(left_over)
+            out.append((None if doc == LAST else doc, *extra, len(text), len(text) - len(kept), len(spans) // 2, hashlib.sha256(kept).hexdigest()))
+            if give != "digest":
+                out[-1] += ("".join(x.decode("utf-8", "ignore") for x in left_over) if give == "text" else kept, spans)
 
-        for doc, text in b.copies:
-            long = len(text) >= width
-            row(doc, text, b"" if long else text, [0, len(text)] if long else [])
-        for (doc, text), lo, hi in zip(b.docs, b.starts, b.ends):
+        for doc, text, extra in b.copies:
+            row(doc, text, extra, [0, len(text)] if len(text) >= width else [])
+        for (doc, text, extra), lo, hi in zip(b.docs, b.starts, b.ends):
             mask = gone[lo:hi]
-            if not mask.any():
-                row(doc, text, text, [])
-                continue
-            flips = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-            row(doc, text, b.data[lo:hi][~mask].tobytes(), flips.tolist())
+            row(doc, text, extra, np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0)).tolist() if mask.any() else [])
         return _rows(result, out)
 
-    def to_blocks(messages: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    def to_blocks(messages: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
         return dealt.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(fn, schema)
 
     shared = to_blocks(copies, emit_grams, MESSAGE).groupBy("part").applyInArrow(detect, MESSAGE)
@@ -511,8 +518,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, with_text:
     known = known.unionByName(wanted)
     known = known.unionByName(saved(to_blocks(known, emit_strings, MESSAGE).groupBy("part").applyInArrow(detect, MESSAGE), "suffixes"))
     second = to_blocks(known, emit_second, RUN).groupBy("part").applyInArrow(merge_range, MESSAGE)
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * with_text
-    return to_blocks(known.unionByName(second), finish, fields)
+    return to_blocks(known.unionByName(second), finish, shape)
 
 
 def splitters(docs: DataFrame, n: int, width: int, oversample: int = 20) -> np.ndarray:
