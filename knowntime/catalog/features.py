@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from knowntime import views as V
 from knowntime.catalog.registry import query
 from knowntime.operators import form, ratings
-from knowntime.operators.asof import chunk_for
 
 PROBE = ["contest_id", "league", "team", "side", "scheduled_at", "decision_at"]
 
@@ -49,7 +48,7 @@ FROM form h JOIN form a ON a.contest_id = h.contest_id AND a.side = 'away'
 WHERE h.side = 'home'"""
 
 
-def form_rows(contests, window, cap, pool=("league",), probed=None, chunk="check"):
+def form_rows(contests, window, cap, pool=("league",), probed=None):
     """Rolling form and rest per contest, home minus away.
 
     ``probed`` are the contests to describe (default: the facts themselves); contests that are
@@ -58,10 +57,8 @@ def form_rows(contests, window, cap, pool=("league",), probed=None, chunk="check
     s, keys = V.sides(contests if probed is None else probed), [*pool, "team"]
     facts = V.sides(contests).select(*keys, "available_at", "scheduled_at", "contest_id", "scored", "allowed", "win")
     probes = s.select(*pool, "contest_id", "team", "side", "scheduled_at", "decision_at")
-    if chunk == "check":
-        chunk = chunk_for(facts, keys, "available_at")
-    p = form.rolling_form(facts, probes, window=window, keys=keys, chunk_days=chunk)
-    p = form.rest_days(facts, p, cap=cap, keys=keys, chunk_days=chunk)
+    p = form.rolling_form(facts, probes, window=window, keys=keys)
+    p = form.rest_days(facts, p, cap=cap, keys=keys)
     ids = [*[k for k in pool if k != "league"], "contest_id"]
     wide = form.home_minus_away(p, ids, {
         n: F.col(n) for n in ("form_margin", "form_scored", "form_allowed", "form_win", "form_n",
@@ -86,9 +83,8 @@ def model_rows(contests, *, window=20, cap=14, advantage=65, pool=("league",), p
                            (F.col("home_score") > F.col("away_score")).cast("int").alias("y"),
                            (F.col("home_score") == F.col("away_score")).cast("int").alias("is_tie"))
     seen = contests if probed is None else probed
-    chunk = chunk_for(V.sides(seen), [*pool, "team"], "decision_at")     # one check for both parts
-    elo = elo_table(contests, list(pool), advantage=advantage, probed=probed, chunk=chunk).select(*ids, "elo_diff", "p_elo")
-    return base.join(form_rows(contests, window, cap, pool, probed, chunk), ids).join(elo, ids)
+    elo = elo_table(contests, list(pool), advantage=advantage, probed=probed).select(*ids, "elo_diff", "p_elo")
+    return base.join(form_rows(contests, window, cap, pool, probed), ids).join(elo, ids)
 
 
 def probe_rows(settled, schedule, **kw):
@@ -140,8 +136,7 @@ def scheduled_order_form(spark, sf_dir):
         F.lit(0), (F.col("contest_id") % 5 * 60).cast("int")))
     facts = late.select("league", "team", "available_at", "scheduled_at", "contest_id", "scored",
                         "allowed", "win")
-    out = form.scheduled_form(facts, late.select(*PROBE), window=10, min_history=5, cap=14,
-                              chunk_days=chunk_for(facts, ["league", "team"], "available_at"))
+    out = form.scheduled_form(facts, late.select(*PROBE), window=10, min_history=5, cap=14)
     return out.select("contest_id", "side", "form_n",
                       *[r6(c) for c in ("form_margin", "form_scored", "form_allowed", "form_win",
                                         "rest")], "enough_history")
@@ -188,15 +183,13 @@ FROM seen h JOIN seen a ON a.scenario = h.scenario AND a.contest_id = h.contest_
 WHERE h.side = 'home'"""
 
 
-def elo_table(contests, pool, *, advantage, probed=None, chunk="check"):
+def elo_table(contests, pool, *, advantage, probed=None):
     """Rating difference and win probability per contest as of its decision."""
     results = ratings.with_outcome(contests)
     rated = ratings.rating_fold(results, pool, advantage=advantage)
     probes = V.sides(contests if probed is None else probed).select(
         *pool, "contest_id", "team", "side", "decision_at", "neutral")
-    if chunk == "check":
-        chunk = chunk_for(probes, [*pool, "team"], "decision_at")
-    p = ratings.rating_probes(rated, probes, pool, chunk_days=chunk)
+    p = ratings.rating_probes(rated, probes, pool)
     keys = [k for k in pool if k != "league"] + ["contest_id", "neutral"]
     wide = form.home_minus_away(p, keys, {"rating": F.col("rating")})
     diff = F.col("rating_home") - F.col("rating_away")
@@ -284,8 +277,7 @@ def box_table(spark, sf_dir):
     lines = s.select("contest_id", "side", "league", "team", "available_at",
                      F.col("scored").cast("double").alias("pts")).join(
         V.box_lines(spark, sf_dir).na.drop(subset=list(form.BOX_MEASURES)), ["contest_id", "side"])
-    p = form.box_form(form.paired_box(lines), s.select(*PROBE), window=20,
-                      chunk_days=chunk_for(s, ["league", "team"], "available_at"))
+    p = form.box_form(form.paired_box(lines), s.select(*PROBE), window=20)
     names = ("off_rating", "def_rating", "net_rating", "pace", "efg", "tov_rate", "oreb_rate", "ft_rate")
     wide = form.home_minus_away(p, ["contest_id"], {n: F.col(n) for n in names})
     return wide.select("contest_id", *[(F.col(f"{n}_home") - F.col(f"{n}_away")).alias(f"{n}_diff")
@@ -307,8 +299,7 @@ def previous_season_rate(spark, sf_dir):
     """Win rate over last season's visible results."""
     s = V.sides(V.contests(spark, sf_dir))
     out = form.previous_season_rate(s.select("league", "team", "season", "available_at", "win"),
-                                    s.select(*PROBE, "season"),
-                                    chunk_days=chunk_for(s, ["league", "team"], "available_at"))
+                                    s.select(*PROBE, "season"))
     return out.select("contest_id", "side", r6("prev_win_rate"))
 
 

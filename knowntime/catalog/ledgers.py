@@ -86,12 +86,12 @@ def book(spark, sf_dir):
         F.col("choice.odds").alias("odds"), F.col("choice.min_odds").alias("min_odds"), F.col("choice.p").alias("p"),
         F.when(F.col("choice.qualifies"), (k % 25).cast("double")).otherwise(0.0).alias("stake"), shift("decision_at", minutes=10).alias("expiry"), "won")
     late = F.make_dt_interval(F.lit(0), F.lit(0), F.when(k % 4 == 0, 15).otherwise(5))
-    tick = c.where(k % 3 != 0).select(k.alias("game_id"), (F.col("decision_at") + late).alias("t"), (k % 6 != 0).alias("available"),
+    tick = c.where(k % 3 != 0).select("account", k.alias("game_id"), (F.col("decision_at") + late).alias("t"), (k % 6 != 0).alias("available"),
                                       F.when(k % 8 != 0, 1.1 + (k % 40) / F.lit(10.0)).alias("price"), F.explode(F.array(F.lit(0), F.lit(1))).alias("no"))
-    checks = tick.select("game_id", (F.col("game_id") * 2 + F.col("no")).alias("check_id"), (F.col("t") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("no"))).alias("checked_at"),
+    checks = tick.select("account", "game_id", (F.col("game_id") * 2 + F.col("no")).alias("check_id"), (F.col("t") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("no"))).alias("checked_at"),
                          "price", "available")
     sett = dec.where("game_id % 5 <> 0").withColumn("outcome", F.when(F.col("game_id") % 17 == 0, "void").when(F.col("won") == 1, "win").otherwise("loss"))
-    sett = sett.select("game_id", "outcome", F.when(F.col("outcome") == "void", 0.0).otherwise(
+    sett = sett.select("account", "game_id", "outcome", F.when(F.col("outcome") == "void", 0.0).otherwise(
         F.col("stake") * (F.col("odds") * F.col("won") - 1 - 0.005)).alias("pnl"))
     return dec, checks, sett
 
@@ -144,7 +144,7 @@ def ledger_settlement_guard(spark, sf_dir):
     """Settlements with profit or the reason to refuse them (K7)."""
     dec, _, sett = book(spark, sf_dir)
     k = F.col("contest_id")
-    inc = V.bets(spark, sf_dir).select(k.alias("game_id"), F.when(k % 31 == 0, "push").when(k % 17 == 0, "void").when(F.col("y") == 1, "win").otherwise("loss").alias("outcome"))
+    inc = V.bets(spark, sf_dir).select("account", k.alias("game_id"), F.when(k % 31 == 0, "push").when(k % 17 == 0, "void").when(F.col("y") == 1, "win").otherwise("loss").alias("outcome"))
     out = L.judge_settlements(inc, dec, sett, F.lit("1999-12-01 00:00:00").cast("timestamp_ntz"), 0.005)
     return out.select("game_id", "outcome", "reason", r6("pnl"))
 
@@ -172,6 +172,6 @@ YIELD_SQL = ("WITH " + BOOK + """, x AS (SELECT d.account AS league, CAST(floor(
 def ledger_yield_interval(spark, sf_dir):
     """Flat yield of settled bets with its weekly-block interval."""
     dec, _, sett = book(spark, sf_dir)
-    j = dec.where("stake > 0").join(sett, "game_id").withColumn("block", epoch_block("issued_at", 7))
+    j = dec.where("stake > 0").join(sett, L.KEY).withColumn("block", epoch_block("issued_at", 7))
     out = B.bootstrap_interval(B.block_sums(j, ["account"], F.col("pnl") / F.col("stake")), ["account"], reps=2000, min_blocks=10)
     return out.select("account", "blocks", r6("flat_yield", F.col("difference")), r6("low"), r6("high"))

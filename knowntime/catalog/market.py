@@ -10,7 +10,7 @@ from knowntime.catalog.registry import query
 from knowntime.functions.text import last_token, squash_name
 from knowntime.functions.times import DAY_US, HOUR_US, MINUTE_US, micros, shift
 from knowntime.operators import match, quotes as Q
-from knowntime.operators.asof import asof_cumulative, chunk_for
+from knowntime.operators.asof import asof_cumulative
 from knowntime.sources import payload
 
 # The given events are sparse (about two per user and day), hence a long quote age and delay.
@@ -126,7 +126,7 @@ def market_rows(spark, sf_dir):
     side = lambda s: later.select(*key, F.col("book").alias(f"{s}_book"),
                                   F.col(f"{s}_odds").alias(f"{s}_later"))
     past = asof_cumulative(d, d, ["contest_id"], fact_time="decision_at", probe_time="decision_at",
-                           sums={"past": F.lit(1)}, chunk_days=chunk_for(d, ["contest_id"], "decision_at"))
+                           sums={"past": F.lit(1)})
     rows = (past.join(cons, key, "left").join(offers, key, "left")
             .join(side("home"), [*key, "home_book"], "left").join(side("away"), [*key, "away_book"], "left"))
     return rows.withColumn("reason", Q.exclusion_reason(
@@ -276,8 +276,7 @@ def fuzzy_event_match(spark, sf_dir):
         last_token(F.concat(F.lit("  X "), "away_name")).alias("a"),
         (F.col("scheduled_at") + F.make_dt_interval(F.lit(0), F.lit(0), (k * 37 % 5760 - 2880).cast("int")))
         .alias("commence_time"))
-    out = match.match_unique(ev, keyed, ["h", "a"], tolerance_us=DAY_US,
-                             chunk_days=chunk_for(keyed, ["h", "a"], "scheduled_at"))
+    out = match.match_unique(ev, keyed, ["h", "a"], tolerance_us=DAY_US)
     return out.select("event_id", "game_id", "reason")
 
 
@@ -303,6 +302,5 @@ def nearest_event_match(spark, sf_dir):
         squash_name(F.upper("away_name")).alias("a"),
         (F.col("scheduled_at") + F.make_dt_interval(F.lit(0), F.lit(0), (
             k * 7 % 41 - 20 + F.col("sighting") * 3).cast("int"))).alias("commence_time")))
-    out = match.match_nearest(ev, keyed, ["h", "a"], tolerance_us=15 * MINUTE_US,
-                              chunk_days=chunk_for(keyed, ["h", "a"], "scheduled_at"))
+    out = match.match_nearest(ev, keyed, ["h", "a"], tolerance_us=15 * MINUTE_US)
     return out.select("event_id", "game_id", r6("minutes", F.col("distance_us") / F.lit(60_000_000.0)))

@@ -15,7 +15,6 @@ from knowntime.catalog.registry import query
 from knowntime.catalog.rules import BOUNDS, _calendar_case
 from knowntime.functions.times import epoch_block
 from knowntime.operators import availability as A, form, metrics as M, splits as S
-from knowntime.operators.asof import chunk_for
 from knowntime.operators.bootstrap import block_sums, bootstrap_interval, season_week
 from knowntime.plans import boosted as G, jobs as J
 from knowntime.plans.logit import Spec, apply_models, fit_calibration, fit_logistic, materialize, materialize_shared, parameter_table
@@ -134,12 +133,12 @@ def availability_comparison(spark, sf_dir):
     keys, ids = ["contest_id", "team_id"], ["contest_id"]
     reports = materialize(contest_reports(spark, sf_dir, c), "contest-reports")
     sides = V.sides(c).select("contest_id", "side", F.col("team").alias("team_id"), "decision_at")
-    states = materialize(A.snapshot_states(sides, A.snapshots(reports, keys), keys, chunk_days=None), "contest-states")
+    states = materialize(A.snapshot_states(sides, A.snapshots(reports, keys), keys), "contest-states")
     logs = (V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contest_id"), (F.col("l_partkey") % 300).alias("player_id"))
             .agg(F.sum("l_quantity").alias("minutes"), F.sum(F.floor("l_quantity") % 7).cast("double").alias("points"))
             .join(c.select("contest_id", "available_at"), "contest_id").withColumn("log_id", F.col("contest_id")))
     listed = A.listed_players(states, reports, keys).select("contest_id", "side", "player_id", "status", "decision_at")
-    listed = A.player_prior(logs, listed, ["player_id"], chunk_days=chunk_for(logs, ["player_id"], "available_at"))
+    listed = A.player_prior(logs, listed, ["player_id"])
     extra = A.availability_features(states, ids).join(A.impact_features(c, listed, ids), "contest_id")
     rows = S.calendar_folds(materialize(binary_rows(spark, sf_dir).join(extra, "contest_id"), "availability-rows"), YEARS, start=START)
     impact = tuple(x for x in extra.columns if x.endswith(("minutes_diff", "points_diff", "listed_diff")))

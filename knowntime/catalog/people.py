@@ -10,7 +10,6 @@ from knowntime.catalog.registry import query
 from knowntime.functions import text as X
 from knowntime.functions.times import shift, utc_to_local
 from knowntime.operators import availability as A, starter as P
-from knowntime.operators.asof import chunk_for
 from knowntime.operators.form import home_minus_away
 from knowntime.sources import report_text as R
 
@@ -34,8 +33,7 @@ def game_sides(spark, sf_dir):
 
 def states(spark, sf_dir):
     r = dated_reports(spark, sf_dir)
-    return A.snapshot_states(game_sides(spark, sf_dir), A.snapshots(r, KEYS), KEYS, max_age_hours=STALE_HOURS,
-                             chunk_days=chunk_for(r, KEYS, "report_at"))
+    return A.snapshot_states(game_sides(spark, sf_dir), A.snapshots(r, KEYS), KEYS, max_age_hours=STALE_HOURS)
 
 
 # January and February only, so Eastern time is UTC - 5 in the checking SQL.
@@ -101,7 +99,7 @@ def listed_with_prior(spark, sf_dir):
     listed = A.listed_players(states(spark, sf_dir), dated_reports(spark, sf_dir), KEYS)
     listed = listed.select("game_id", "side", "team_id", "player_id", "status", "decision_at")
     logs = player_logs(spark, sf_dir)
-    return A.player_prior(logs, listed, ["team_id", "player_id"], chunk_days=chunk_for(logs, ["team_id", "player_id"], "available_at"))
+    return A.player_prior(logs, listed, ["team_id", "player_id"])
 
 
 IMPACT_SQL = "WITH " + LOGS_SQL + ", " + STATES_SQL + """, listed AS (
@@ -206,8 +204,7 @@ def starter_sides(spark, sf_dir):
 def starter_rows(spark, sf_dir):
     s = starter_sides(spark, sf_dir)
     starts = P.actual_starts(s, P.weekly_primary(weekly_stats(spark, sf_dir)))
-    return P.expected_starter(starts, s.select("contest_id", "side", "team", "decision_at"),
-                              chunk_days=chunk_for(s, ["team"], "available_at"))
+    return P.expected_starter(starts, s.select("contest_id", "side", "team", "decision_at"))
 
 
 STARTER_SQL = "WITH " + V.SIDES + ", " + WEEKLY_SQL + """, st0 AS (

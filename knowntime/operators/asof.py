@@ -7,37 +7,52 @@ last rows, or the running totals, of the chunks before) makes the split exact. T
 range join, so a busy entity never produces fact x probe pairs.
 
 Ties: with ``strict`` a fact at exactly the probe's time is invisible, otherwise visible.
+
+Unknowns: a fact whose time or key is NULL is visible to nobody. A probe whose time or key is NULL sees
+nothing; such probes are dealt over many groups, so that they never gather in one task.
+
+The plan is the same at every size: the chunks are fixed stretches of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from knowntime.functions.times import DAY_US, as_micros
 
 CHUNK_DAYS = 366
+#: Probes that can see nothing are dealt over so many groups.
+COLD_GROUPS = 1024
 
 
 def _chunk(width: int | None) -> Column:
     return F.floor(F.col("_t") / F.lit(width)).cast("bigint") if width else F.lit(0).cast("bigint")
 
 
+def _dated(facts: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Facts whose time and keys are known."""
+    return facts.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in dict.fromkeys([*keys, time])]))
+
+
 def _width(chunk_days: float | None) -> int | None:
     return int(chunk_days * DAY_US) if chunk_days else None
 
 
 def _stack_probes(probes: DataFrame, keys: Sequence[str], probe_time: str, strict: bool,
                   width: int | None) -> DataFrame:
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_t"]])
+    cold = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("_probe"), F.lit(COLD_GROUPS))
     return (probes.select(*keys, as_micros(probes, probe_time).alias("_t"),
                           F.lit(0 if strict else 1).alias("_kind"),
                           F.struct(*probes.columns).alias("_probe"))
-            .withColumn("_chunk", _chunk(width)))
+            .withColumn("_chunk", F.when(known, _chunk(width)).otherwise(cold)))
 
 
 def _probe_chunks(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return stacked.select(*keys, "_chunk").distinct()
+    return stacked.where(F.col("_chunk") >= -(1 << 61)).select(*keys, "_chunk").distinct()
 
 
 def _carry_last(ends: DataFrame, marks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -67,6 +82,7 @@ def asof_last(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_
     ``order`` breaks ties between facts at the same time (the greatest wins).
     """
     width = _width(chunk_days)
+    facts = _dated(facts, keys, fact_time)
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       F.lit(1 if strict else 0).alias("_kind"),
                       *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
@@ -96,6 +112,7 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
     """
     width = _width(chunk_days)
     ties = [f"_o{i}" for i in range(len(order))]
+    facts = _dated(facts, keys, fact_time)
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       *[F.col(c).alias(t) for c, t in zip(order, ties)], *measures)
          .withColumn("_chunk", _chunk(width)))
@@ -110,7 +127,7 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
         row = F.struct("_t", *ties, *measures)
         ends = (tails.withColumn("_tail", F.collect_list(row).over(back)).where("_rn = 1")
                 .select(*keys, "_chunk", "_tail"))
-        marks = f.select(*keys, "_chunk").unionByName(p.select(*keys, "_chunk")).distinct()
+        marks = f.select(*keys, "_chunk").unionByName(_probe_chunks(p, keys)).distinct()
         halo = (_carry_last(ends, marks, keys, "_tail")
                 .select(*keys, "_chunk", F.explode("_carry").alias("_r"))
                 .select(*keys, "_chunk", "_r.*"))
@@ -140,6 +157,7 @@ def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *,
     width = _width(chunk_days)
     exprs = {**(sums or {}), **(maxima or {})}
     how = {n: (F.sum if n in (sums or {}) else F.max) for n in exprs}
+    facts = _dated(facts, keys, fact_time)
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       F.lit(1 if strict else 0).alias("_kind"),
                       *[e.alias(n) for n, e in exprs.items()])
@@ -230,19 +248,3 @@ def window_join(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fac
                                                 F.floor(F.col("_hi") / F.lit(span_us))))))
     joined = p.join(f, [*keys, "_b"]).where("_ft BETWEEN _lo AND _hi")
     return joined.drop("_b", "_ft", "_lo", "_hi")
-
-
-def chunk_for(facts: DataFrame, keys: Sequence[str], time: str,
-              rows_per_task: int = 2_000_000) -> float | None:
-    """Chunk width in days so that the busiest entity's chunk holds about ``rows_per_task`` rows.
-
-    One column-pruned count per entity (partial counts map-side, one row back). ``None`` means
-    that every entity fits one task, so the as-of operators need no chunks.
-    """
-    t = as_micros(facts, time)
-    per = facts.groupBy(*keys).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("span"))
-    top = per.agg(F.max("n").alias("n"), F.max_by("span", "n").alias("span")).first()
-    if not top["n"] or top["n"] <= rows_per_task:
-        return None
-    pieces = -(-top["n"] // rows_per_task)
-    return max(top["span"] / pieces / DAY_US, 1.0 / 24)

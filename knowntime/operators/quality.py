@@ -8,18 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def row_rules(frame: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+def row_rules(frame: DataFrame, rules: Mapping[str, Column], *, unknown: bool) -> DataFrame:
     """All row-level rules of a table in one scan: ``(rule, violations)``.
 
-    A rule is the condition that marks a bad row.
+    A rule is the condition that marks a bad row. ``unknown`` says whether a row counts where the condition
+    is NULL; suites say no, as a rule of their own counts the missing fields (so the suite still fails).
     """
-    counts = frame.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"_r{i}")
+    counts = frame.agg(*[F.count_if(F.coalesce(c, F.lit(unknown))).alias(f"_r{i}")
                          for i, c in enumerate(rules.values())])
     pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_r{i}").alias("violations"))
                       for i, n in enumerate(rules)])
     return counts.select(F.explode(pairs).alias("_p")).select("_p.*")
 
 
+def bad(condition: Column) -> Column:
+    """A condition that marks a bad row, also where it is NULL."""
+    return F.coalesce(condition, F.lit(True))
+
+
 def unique_rule(frame: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first of their key."""
     per = frame.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -48,10 +54,10 @@ def require_clean(report: DataFrame) -> None:
 
 def not_whole(*columns: str) -> Column:
     """A score that is missing, negative, not finite or not an integer."""
-    def bad(c):
+    def broken(c):
         v = F.col(c).cast("double")
         return v.isNull() | F.isnan(v) | (v < 0) | (F.abs(v) == float("inf")) | (v != F.floor(v))
-    return reduce(lambda a, b: a | b, [bad(c) for c in columns])
+    return reduce(lambda a, b: a | b, [broken(c) for c in columns])
 
 
 def any_null(*columns: str) -> Column:
@@ -76,19 +82,19 @@ def market_suite(games: DataFrame, results: DataFrame, odds: DataFrame, *, cutof
                                          "observed_at", "decision_at"),
             "identical_teams": F.col("home_id") == F.col("away_id"),
             "schedule_after_decision": F.col("observed_at") > F.col("decision_at"),
-            "cutoff_differs": lead != F.lit(cutoff_minutes * 60_000_000)}),
+            "cutoff_differs": lead != F.lit(cutoff_minutes * 60_000_000)}, unknown=False),
         unique_rule(games, "duplicate_game", ["game_id"]),
         row_rules(results, {
             "results_null_field": any_null("game_id", "home_score", "away_score", "available_at"),
             "invalid_score": not_whole("home_score", "away_score"),
-            "tied_score": F.col("home_score") == F.col("away_score")}),
+            "tied_score": F.col("home_score") == F.col("away_score")}, unknown=False),
         unique_rule(results, "duplicate_result", ["game_id"]),
         subset_rule(results, games, "unmapped_result", ["game_id"]),
-        row_rules(started, {"result_before_start": F.col("available_at") <= F.col("scheduled_at")}),
+        row_rules(started, {"result_before_start": F.col("available_at") <= F.col("scheduled_at")}, unknown=False),
         row_rules(odds, {
             "odds_null_field": any_null("game_id", "book", "quote_at", "available_at", "home_odds", "away_odds"),
             "invalid_price": price("home_odds") | price("away_odds"),
-            "quote_after_available": F.col("quote_at") > F.col("available_at")}),
+            "quote_after_available": F.col("quote_at") > F.col("available_at")}, unknown=False),
         unique_rule(odds, "duplicate_revision", ["game_id", "book", "quote_at", "available_at"]),
         subset_rule(odds, games, "unmapped_quote", ["game_id"]))
 
@@ -102,7 +108,7 @@ def _season_rules(df: DataFrame, extra: Mapping[str, Column]) -> DataFrame:
         "invalid_teams": any_null("home_id", "away_id") | (F.col("home_id") == F.col("away_id")),
         "invalid_score": not_whole("home_score", "away_score"),
         "not_regular": F.coalesce(F.col("season_type"), F.lit("")) != "regular",
-        "invalid_neutral_flag": flag("is_neutral").isNull(), **extra})
+        "invalid_neutral_flag": flag("is_neutral").isNull(), **extra}, unknown=False)
 
 
 def binary_suite(games: DataFrame, results: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def binary_suite(games: DataFrame, results: DataFrame) -> DataFrame:
         subset_rule(results, games, "result_without_game", ["game_id"]),
         subset_rule(games, results, "game_without_result", ["game_id"]),
         _season_rules(df, {"tied_score": F.col("home_score") == F.col("away_score"),
-                           "not_final": ~F.startswith(F.trim("source_status"), F.lit("Final"))}))
+                           "not_final": bad(~F.startswith(F.trim("source_status"), F.lit("Final")))}))
 
 
 def tie_suite(games: DataFrame, results: DataFrame, contract: str) -> DataFrame:
@@ -138,28 +144,29 @@ def labels(frame: DataFrame) -> DataFrame:
 
 
 def degenerate_columns(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns with at most one distinct value: equal extremes in one scan, no distinct sets."""
-    ends = frame.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"))
-                       .alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"),
-                              F.coalesce(F.col(f"{c}.lo") == F.col(f"{c}.hi"), F.lit(True)).alias("constant"))
-                     for c in columns])
+    """Columns with at most one distinct value: equal extremes in one scan, each in its own type, no distinct sets."""
+    ends = frame.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("constant")) for c in columns])
     return ends.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
 def settled_class() -> Column:
     """Class of a schedule row: the first matching reason to skip it, or 'settled'."""
     home, away = F.col("home_id").cast("string"), F.col("away_id").cast("string")
-    return (F.when(~F.startswith("game_id", F.lit("002")), "not_regular_season")
-            .when((home == "0") | (away == "0") | (home == away), "unassigned_teams")
-            .when(~F.startswith(F.trim("status"), F.lit("Final")), "not_final")
+    return (F.when(bad(~F.startswith("game_id", F.lit("002"))), "not_regular_season")
+            .when(bad((home == "0") | (away == "0") | (home == away)), "unassigned_teams")
+            .when(bad(~F.startswith(F.trim("status"), F.lit("Final"))), "not_final")
             .when(F.col("home_score").isNull() | F.col("away_score").isNull(), "missing_score")
             .when(F.col("home_score") == F.col("away_score"), "tied").otherwise("settled"))
 
 
+# How sources write a team that is not known yet.
+PLACEHOLDERS = ("", "None", "nan", "TBD")
+
+
 def unassigned() -> Column:
     """Placeholder teams: id zero or a name not known yet."""
-    blank = [F.trim(c).isin("", "None", "nan", "TBD") for c in ("home_name", "away_name")]
+    blank = [F.trim(c).isin(*PLACEHOLDERS) for c in ("home_name", "away_name")]
     return ((F.col("home_id").cast("string") == "0") | (F.col("away_id").cast("string") == "0")
             | blank[0] | blank[1])
 
@@ -196,22 +203,22 @@ FORECAST_KEY = r"(?i)(^|_)(p|prob|probability|odds|price|stake|kelly|ev|edge|wag
 def annotation_reason() -> Column:
     """Why an annotation is refused, NULL when it may be stored."""
     blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
-    return (F.when(~F.col("kind").isin(*ANNOTATION_KINDS), "unknown kind")
-            .when(F.exists(F.map_keys("body"), lambda k: k.rlike(FORECAST_KEY)), "forecast or stake field")
+    return (F.when(bad(~F.col("kind").isin(*ANNOTATION_KINDS)), "unknown kind")
+            .when(bad(F.exists(F.map_keys("body"), lambda k: k.rlike(FORECAST_KEY))), "forecast or stake field")
             .when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, "no source")
             .when(F.exists("sources", lambda s: blank(s["url"]) | blank(s["retrieved_at"])), "incomplete source")
-            .when(F.col("adopted"), "self-adopted"))
+            .when(F.coalesce("adopted", F.lit(False)), "self-adopted"))
 
 
 def source_reason(at: Column, hours: int = 48) -> Column:
     """Why a captured source is not eligible at ``at``; needs a ``copies`` count per file name."""
     start = at - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return (F.when(F.col("filename").contains("/") | F.col("filename").isin("", ".", ".."), "unsafe name")
-            .when(F.col("copies") > 1, "duplicate name")
-            .when(F.col("capture") != "prospective", "not prospective")
+    return (F.when(bad(F.col("filename").contains("/") | F.col("filename").isin("", ".", "..")), "unsafe name")
+            .when(bad(F.col("copies") > 1), "duplicate name")
+            .when(bad(F.col("capture") != "prospective"), "not prospective")
             .when(F.col("retrieved_at").isNull(), "no retrieval time")
-            .when((F.col("retrieved_at") < start) | (F.col("retrieved_at") >= at), "outside window")
-            .when(F.col("nominal_at") > F.col("retrieved_at"), "report after retrieval"))
+            .when(bad((F.col("retrieved_at") < start) | (F.col("retrieved_at") >= at)), "outside window")
+            .when(bad(F.col("nominal_at") > F.col("retrieved_at")), "report after retrieval"))
 
 
 def with_copies(frame: DataFrame, key: str) -> DataFrame:

@@ -20,9 +20,10 @@ PENALTIES = (0.001, 0.01, 0.1, 1.0)
 
 
 def ablations(base: Sequence[str] = BASE) -> dict[str, tuple[str, ...]]:
-    """The full input list and one list without each group."""
-    return {"full": tuple(base), **{f"without_{g}": tuple(f for f in base if f not in out)
-                                    for g, out in GROUPS.items()}}
+    """Inputs per variant, from a table that says to which group an input belongs: a variant keeps the other groups' inputs."""
+    group_of = {f: g for g, members in GROUPS.items() for f in members}
+    variants = {"full": None} | {f"without_{g}": g for g in GROUPS}
+    return {name: tuple(f for f in base if dropped is None or group_of.get(f) != dropped) for name, dropped in variants.items()}
 
 
 def tagged(rows: DataFrame, fold: str = "fold", split: str = "split") -> DataFrame:
@@ -37,8 +38,8 @@ def fit_folds(rows: DataFrame, variants: Mapping[str, Sequence[str]], *, l2: Map
               offset: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit and calibrate every fold x variant together; returns (parameters, scored validation).
 
-    ``rows`` carry fold, split, y, decision_at and the inputs. Each variant is refitted with
-    its own scaling and its own calibration, never by zeroing trained columns.
+    ``rows`` carry fold, split, y, decision_at and the inputs. A variant is a model of its own: means, scales,
+    coefficients and calibration all come from its own inputs.
     """
     inputs = sorted({f for v in variants.values() for f in v})
     keep = [c for c in ("contest_id", "league", "season", "decision_at", "y", "is_tie", "p_elo", "fold", "split", "group", *inputs)

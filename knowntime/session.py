@@ -27,13 +27,17 @@ def build_session(app: str = "knowntime", master: str | None = None,
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    Only a session that names none (a local test run) gets a temporary folder, which is
-    then remembered in the session so that every later caller shares it.
+    A session on one machine (master ``local``) that names none gets a temporary folder, which is then
+    remembered in the session so that every later caller shares it. On a cluster that would be a different
+    folder on every machine, so a session without the setting is refused there.
     """
     root = (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir")
             or spark.conf.get("spark.knowntime.localScratch", None))
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.knowntime.localScratch", root)
     return root

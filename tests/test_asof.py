@@ -2,6 +2,8 @@
 
 import random
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,8 +104,16 @@ def test_window_join_is_complete(spark):
     assert got == want
 
 
-def test_chunk_width_follows_the_busiest_entity(spark):
-    _, _, fd, _ = data(spark, 1)
-    assert A.chunk_for(fd, ["k"], "ft") is None
-    width = A.chunk_for(fd, ["k"], "ft", rows_per_task=10)
-    assert 0 < width < 30
+@pytest.mark.parametrize("chunk", [None, 1, 366])
+def test_unknown_times_and_keys_see_and_show_nothing(spark, chunk):
+    day = lambda n: dt.datetime(2020, 1, n)
+    facts = spark.createDataFrame([("a", None, 5.0, 1), ("a", day(10), 7.0, 2), (None, day(1), 9.0, 3)], "k string, ft timestamp_ntz, v double, i int")
+    probes = spark.createDataFrame([(1, "a", day(5)), (2, "a", day(11)), (3, "a", None), (4, None, day(11)), (4, None, day(11))],
+                                   "p int, k string, pt timestamp_ntz")
+    at = {"fact_time": "ft", "probe_time": "pt", "chunk_days": chunk}
+    last = A.asof_last(facts, probes, ["k"], order=["i"], values=["v"], **at).collect()
+    rolled = A.asof_rolling(facts, probes, ["k"], order=["i"], window=3, measures=["v"], aggs={"n": F.count("v")}, **at).collect()
+    total = A.asof_cumulative(facts, probes, ["k"], sums={"n": F.lit(1)}, **at).collect()
+    assert sorted((r.p, r.v) for r in last if r.p < 4) == [(1, None), (2, 7.0), (3, None)] and [r.v for r in last if r.p == 4] == [None, None]
+    assert sorted((r.p, r.n or 0) for r in rolled) == [(1, 0), (2, 1), (3, 0), (4, 0), (4, 0)]
+    assert sorted((r.p, r.n) for r in total) == [(1, 0), (2, 1), (3, 0), (4, 0), (4, 0)]
