@@ -205,12 +205,13 @@ def above(top: Element, e: Element | None) -> bool:
 
 
 def fit_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:
-    """Weights from at most ``most`` labelled pages (those whose html has an article or main element), by least page hash.
+    """Weights from a sample of about ``most`` labelled pages (those whose html has an article or main element), by page hash.
 
     Only counts per feature reach the driver; features are drawn from fixed sets.
     """
-    chosen = (pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html", F.xxhash64("page_id", "html").alias("h"))
-              .orderBy("h").limit(most).select("html"))
+    labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    share = F.pmod(F.xxhash64("page_id", "url"), F.lit(max(labelled.count(), 1))) < most
+    chosen = labelled.where(share).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
