@@ -58,9 +58,11 @@ def corpus(seed, group):
     return rows + [(2, texts[2]), (3, texts[7]), (None, texts[4]), (None, None)]
 
 
-@pytest.mark.parametrize("seed,short", [(1, 8), (2, 2)])
-def test_matches_all_pairs(spark, monkeypatch, seed, short):
+@pytest.mark.parametrize("seed,short,one_task", [(1, 8, 8_000_000), (2, 2, 0)])
+def test_matches_all_pairs(spark, monkeypatch, seed, short, one_task):
+    """With clusters in one task, and with lists that go on round by round."""
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "ONE_TASK", one_task)
     rows = corpus(seed, 30)
     got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
