@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from knowntime.functions.times import parse_tolerant
 
@@ -25,13 +25,25 @@ def parse_body(raw: DataFrame, column: str = "value") -> DataFrame:
             .select(F.col("b.timestamp").alias("snapshot"), F.explode("b.data").alias("e")))
 
 
+def unreadable_bodies(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Rows whose text is no payload: what ``parse_body`` cannot turn into events, for a quarantine and its count."""
+    body = F.from_json(column, BODY)
+    return raw.where(body.isNull() | body["data"].isNull())
+
+
+def _last_prices(outcomes: str) -> Column:
+    """name -> price; of a name that a market repeats, the last price. A market with a nameless outcome has no prices."""
+    names = F.array_distinct(F.transform(outcomes, lambda o: o["name"]))
+    last = F.transform(names, lambda n: F.struct(n, F.try_element_at(F.filter(outcomes, lambda o: o["name"].eqNullSafe(n)), F.lit(-1))["price"]))
+    return F.map_from_entries(F.when(F.exists(names, lambda n: n.isNull()), F.slice(last, 1, 0)).otherwise(last))
+
+
 def winner_markets(events: DataFrame) -> DataFrame:
     """One row per (event, book, winner market) with outcomes as a name -> price map."""
     return (events.select("snapshot", "e", F.explode("e.bookmakers").alias("b"))
             .select("snapshot", "e", "b", F.explode("b.markets").alias("m"))
             .where(F.col("m.key") == WINNER_MARKET)
-            .select("snapshot", "e", "b", "m", F.map_from_entries(F.transform(
-                "m.outcomes", lambda o: F.struct(o["name"], o["price"]))).alias("prices")))
+            .select("snapshot", "e", "b", "m", _last_prices("m.outcomes").alias("prices")))
 
 
 def archived_quotes(events: DataFrame, mapping: DataFrame, contract: str) -> DataFrame:
@@ -50,7 +62,9 @@ def archived_quotes(events: DataFrame, mapping: DataFrame, contract: str) -> Dat
         F.col("prices")[F.col("home_name")].alias("home_odds"),
         F.col("prices")[F.col("away_name")].alias("away_odds"), F.lit(contract).alias("contract"))
     return (out.where(F.col("quote_at") <= F.col("available_at"))
-            .dropDuplicates(["contest_id", "book", "quote_at", "available_at", "contract"]))
+            .groupBy("contest_id", "book", "quote_at", "available_at", "contract")
+            .agg(F.min(F.struct("home_odds", "away_odds")).alias("_o"))        # of several, the least: no run differs from another
+            .select("contest_id", "book", "quote_at", "available_at", "_o.home_odds", "_o.away_odds", "contract"))
 
 
 def unmapped_events(events: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -138,3 +138,19 @@ def test_player_prior_uses_known_games_only(spark):
     probes = spark.createDataFrame([(1, "p", CUT), (1, "q", CUT), (1, "p", CUT - 10 * d)], "team_id long, player string, decision_at timestamp_ntz")
     got = {(r["player"], r["decision_at"]): (r["prior_minutes"], r["prior_points"]) for r in A.player_prior(logs, probes, ["team_id", "player"]).collect()}
     assert got == {("p", CUT): (25.0, 12.5), ("q", CUT): (None, None), ("p", CUT - 10 * d): (None, None)}
+
+
+def test_malformed_payloads(spark):
+    """A repeated name keeps its last price; an unreadable body is set aside; neither stops the job."""
+    from knowntime.sources import payload
+    market = ('{"key": "h2h", "last_update": "2024-01-01T00:00:00Z", "outcomes": [{"name": "A", "price": 1.5}, {"name": "B", "price": 2.5}, {"name": "A", "price": 1.7}]}')
+    odd = '{"key": "h2h", "outcomes": [{"name": null, "price": 1.5}, {"name": "A", "price": 2.5}]}'
+    body = ('{"timestamp": "2024-01-01T01:00:00Z", "data": [{"id": "e", "home_team": "A", "away_team": "B", "bookmakers": '
+            '[{"key": "k", "markets": [' + market + ", " + odd + "]}]}]}")
+    raw = spark.createDataFrame([(1, body), (2, "not json"), (3, None), (4, "[]")], "n int, value string")
+    rows = payload.winner_markets(payload.parse_body(raw)).collect()
+    assert sorted(str(sorted(r["prices"].items())) for r in rows) == ["[('A', 1.7), ('B', 2.5)]", "[]"]
+    assert sorted(r["n"] for r in payload.unreadable_bodies(raw).collect()) == [2, 3, 4]
+    mapping = spark.createDataFrame([("e", 7, "A", "B")], "event_id string, contest_id int, home_name string, away_name string")
+    quotes = payload.archived_quotes(payload.parse_body(raw), mapping, "c").collect()
+    assert [(q["contest_id"], q["home_odds"], q["away_odds"]) for q in quotes] == [(7, 1.7, 2.5)]
