@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowntime.llm import fingerprint, html_extract, licenses, mixing, ngram_join, packing, quality, sharding, suffix_dedup, url_filter
+from knowntime.llm import fingerprint, html_extract, licenses, mixing, ngram_join, oracles, packing, quality, sharding, suffix_dedup, url_filter
 from knowntime.llm.common import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(fn):
+def register(fn, sql: str | None = None):
     QUERIES[fn.__name__] = fn
+    if sql:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
@@ -53,12 +57,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
-@register
+@partial(register, sql=oracles.SUFFIX_DEDUP)
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), give="digest")
 
 
-@register
+@partial(register, sql=oracles.NGRAM_JOIN)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
