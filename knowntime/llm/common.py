@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -22,10 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Lists that note the folders ``saved`` writes to.
+_notes: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Note every folder written meanwhile, for ``discard`` once its readers are done."""
+    _notes.append(paths)
+    try:
+        yield
+    finally:
+        _notes.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete noted folders."""
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for notes in _notes:
+        notes.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
