@@ -7,9 +7,10 @@ smaller m of the two asks for.
 
 Long posting lists make no pairs. Their members are verified against one leader; members linked to it are in one class, and
 classes are all that is asked for. A member y that is not linked to leader L can only be similar to a member x of at least L's
-size if they share a shingle outside L: |x and y| >= 4/9 (|x| + |y|) >= 4/9 (|L| + |y|) > |y and L|. So members go on with the
-prefix of what they hold outside L, in a list of their own for each leader and shingle; members smaller than L go on in a list
-without L. Rounds end when every list lies in one class. No pair is capped or dropped.
+size if they share a shingle outside L: |x and y| >= 4/9 (|x| + |y|) >= 4/9 (|L| + |y|) > |y and L|. Where a leader's members lie in
+more than one class, they are compared across classes in a task of their own (pairs of one class need no look). If their sets are
+too many for a task, they go on with the prefix of what they hold outside L, in a list for each leader and shingle; members
+smaller than L go on in a list without L. Rounds end when every list lies in one class. No pair is capped or dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from knowntime.llm.components import connected_components
 
 #: Lists up to this length pair up directly; longer ones go by leaders. Any value gives the same result.
 SHORT = 8
+#: A leader's members are compared in one task if their sets hold up to so many shingles (64 MB); more go on in lists of their own.
+#: Any value gives the same result.
+ONE_TASK = 8_000_000
 #: Verifying a pair costs about as much as scanning this many postings.
 VERIFY = 16
 MOST_MATCHES = 6
@@ -109,8 +113,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     others = saved(sets.where("n_shingles > 0").join(groups, "sig").where("struct(doc_id, block) <> rep").select("block", "doc_id", "sig").distinct(), "sets")
 
     posts, stored = prefixes(dealt, others, blocks, n, percent)
-    links = join_lists(posts, stored, percent)
-    parts = connected_components(links)
+    parts = join_lists(posts, stored, percent)
 
     named = sets.join(parts.select(F.col("node").alias("sig"), "component"), "sig", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "sig").alias("class"))
@@ -233,8 +236,34 @@ def verifier(percent: int) -> Callable:
     return run
 
 
+def across_classes(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the members of one leader that lie in different classes: for each member outside the largest class, one link
+    to every other class that has a similar member."""
+    labels = table.column("label").to_pylist()
+    sizes = np.array(table.column("size").to_pylist(), np.int64)
+    names = table.column("x").to_pylist()
+    held = [np.frombuffer(s, np.int64) for s in table.column("stored").to_pylist()]
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    flat = np.concatenate(held)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]            # members of each shingle, in a row
+    number = {c: i for i, c in enumerate(sorted(set(labels)))}
+    group = np.array([number[c] for c in labels])
+    largest = np.bincount(group).argmax()
+    out = []
+    for i in np.flatnonzero(group != largest):
+        lo, hi = np.searchsorted(flat, held[i], "left"), np.searchsorted(flat, held[i], "right")
+        ends = np.cumsum(hi - lo)
+        at = np.arange(ends[-1]) + np.repeat(lo - ends + hi - lo, hi - lo)
+        overlap = np.bincount(owner[at], minlength=len(held))
+        like = (100 * overlap >= percent * (sizes[i] + sizes - overlap)) & (group != group[i])
+        for g in np.unique(group[like]):
+            out.append((names[i], names[int(np.flatnonzero(like & (group == g))[0])]))
+    return _table("a b", [pa.binary(), pa.binary()], out)
+
+
 def join_lists(posts: DataFrame, stored: DataFrame, percent: int, rounds: int = 40) -> DataFrame:
-    """Links (a, b) that connect exactly the documents connected by all similar pairs."""
+    """Components (node, component) that all similar pairs make; documents without a link are left out."""
     facts = stored.select("sig", "size", "common")
     first = lambda side: F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * percent / 100.0) + F.least("x_ell", "y_ell")
     lists = saved(posts.select(F.xxhash64("token").alias("list"), "sig", "size", "common", "ell", "place"), "lists")
@@ -247,6 +276,8 @@ def join_lists(posts: DataFrame, stored: DataFrame, percent: int, rounds: int =
         heads = saved(tagged.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2"),
                                                  F.max_by(F.struct("sig", "size"), F.struct("common", -F.col("size"), "sig")).alias("lead"))
                       .where("n > 1 and c1 <> c2").select("list", "n", "lead"), "lists")
+        if heads.isEmpty():
+            return (stored.where("false").select("sig", F.col("sig").alias("label")) if labels is None else labels).toDF("node", "component")
         short = tagged.join(heads.where(f"n <= {SHORT}").select("list"), "list")
         side = lambda s: short.select("list", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "size", "ell", "place", "class")])
         near = (side("x").join(side("y"), "list").where("x_sig < y_sig and x_class <> y_class")
@@ -267,20 +298,34 @@ def join_lists(posts: DataFrame, stored: DataFrame, percent: int, rounds: int =
         verified = stars.select("x", "y", "x_size", "y_size", "overlap", "linked", "lead") if verified is None else \
             verified.unionByName(stars.select("x", "y", "x_size", "y_size", "overlap", "linked", "lead"))
         new = out.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = new if links is None else saved(links.unionByName(new), "links")
-        labels = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("label"))
+        if labels is None or not new.isEmpty():
+            links = new if links is None else saved(links.unionByName(new), "links")
+            labels = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("label"))
+        # a leader's members in more than one class
+        tag = F.coalesce("label", "sig").alias("label")
+        named = stored.join(labels, "sig", "left").select("sig", "size", "alone", tag)
+        met = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), "y").distinct()).join(
+            named.withColumnRenamed("sig", "x"), "x")
+        mixed = saved(met.groupBy("y").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum(F.col("size") - F.col("alone")).alias("held"))
+                      .where("l1 <> l2").select("y", "held"), "lists")
+        inside = met.join(mixed.where(f"held <= {ONE_TASK}").select("y"), "y").select("x", "y", "label")
+        found = saved(inside.join(stored.select(F.col("sig").alias("x"), "size", "stored"), "x").groupBy("y").applyInArrow(
+            lambda t: across_classes(t, percent), "a binary, b binary"), "links")
+        links = saved(links.unionByName(found), "links")
+        labels = saved(connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("label")), "links")
+        large = mixed.where(f"held > {ONE_TASK}").select("y")
+        if large.isEmpty():
+            return labels.toDF("node", "component")
         # what members hold outside their leader, in lists of leader and shingle
-        beyond = (stars.select(F.col("x").alias("sig"), "y", F.explode("beyond").alias("token"))
+        beyond = (stars.join(large, "y").select(F.col("x").alias("sig"), "y", F.explode("beyond").alias("token"))
                   .select(F.xxhash64("y", "token").alias("list"), "sig"))
         # members smaller than the leader, and those not linked that could match them, in a list without the leader
         met = long.where("sig <> lead.sig").select("list", "sig", "size", F.col("lead.sig").alias("y"), F.col("lead.size").alias("y_size")).join(
-            verified.select(F.col("x").alias("sig"), "y", "overlap", "linked"), ["sig", "y"])
+            verified.join(large, "y").select(F.col("x").alias("sig"), "y", "overlap", "linked"), ["sig", "y"])
         small = met.where("size < y_size").groupBy("list").agg(F.min("size").alias("least"))
         reach = F.floor(F.col("overlap") * (100 + percent) / percent) - F.col("size")
         below = (met.join(small, "list").where((F.col("size") < F.col("y_size")) | (~F.col("linked") & (reach >= F.col("least"))))
                  .select(F.xxhash64("list", "y").alias("list"), "sig"))
         lists = saved(beyond.unionByName(below).distinct().join(facts, "sig")
                       .select("list", "sig", "size", "common", F.lit(1).alias("ell"), F.lit(-1).alias("place")), "lists")
-        if lists.isEmpty():
-            return links
     raise RuntimeError(f"lists not settled after {rounds} rounds")
