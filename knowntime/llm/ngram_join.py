@@ -10,7 +10,9 @@ classes are all that is asked for. A member y that is not linked to leader L can
 size if they share a shingle outside L: |x and y| >= 4/9 (|x| + |y|) >= 4/9 (|L| + |y|) > |y and L|. Where a leader's members lie in
 more than one class, they are compared across classes in a task of their own (pairs of one class need no look). If their sets are
 too many for a task, they go on with the prefix of what they hold outside L, in a list for each leader and shingle; members
-smaller than L go on in a list without L. Rounds end when every list lies in one class. No pair is capped or dropped.
+smaller than L go on in a list without L. Members that met L in an earlier round count again among its members; they are only
+not verified again. L is the greatest of its members in a fixed order, so leaders of the next lists are less, and rounds end: at the
+latest when every list lies in one class. No pair is capped or dropped.
 """
 
 from __future__ import annotations
@@ -289,14 +291,15 @@ def join_lists(posts: DataFrame, stored: DataFrame, percent: int, rounds: int =
         star = long.where("sig <> lead.sig").select(F.col("sig").alias("x"), F.col("lead.sig").alias("y"), F.lit(True).alias("lead")).distinct()
         pairs = near.unionByName(star).groupBy("x", "y").agg(F.max("lead").alias("lead"))
         if verified is not None:
-            pairs = pairs.join(verified.where("lead").select("x", "y"), ["x", "y"], "left_anti")
+            pairs = pairs.join(verified.select("x", "y"), ["x", "y"], "left_anti")
         get = lambda s: stored.select(F.col("sig").alias(s), F.col("size").alias(f"{s}_size"), F.col("alone").alias(f"{s}_alone"), F.col("stored").alias(f"{s}_set"))
         full = pairs.join(get("x"), "x").join(get("y").drop("y_alone"), "y").select("x", "y", "x_size", "y_size", "lead", "x_alone", "x_set", "y_set")
         out = saved(full.select("x", "y", "x_size", "y_size", "lead", "x_alone", "x_set", "y_set").mapInArrow(
             verifier(percent), "x binary, y binary, x_size int, y_size int, overlap int, linked boolean, beyond array<long>"), "verified")
-        stars = out.join(star, ["x", "y"], "left_semi").withColumn("lead", F.lit(True))
-        verified = stars.select("x", "y", "x_size", "y_size", "overlap", "linked", "lead") if verified is None else \
-            verified.unionByName(stars.select("x", "y", "x_size", "y_size", "overlap", "linked", "lead"))
+        fresh = out.join(star, ["x", "y"], "left_semi")
+        verified = fresh if verified is None else verified.unionByName(fresh)
+        # all that met their leader this round, also those compared with it in an earlier one
+        stars = verified.join(star, ["x", "y"], "left_semi")
         new = out.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         if labels is None or not new.isEmpty():
             links = new if links is None else saved(links.unionByName(new), "links")

@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from knowntime.llm import ngram_join
@@ -68,5 +70,48 @@ def test_matches_all_pairs(spark, monkeypatch, seed, short, one_task):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+def small_sets(seed):
+    """A few dozen small sets around some bases, of tokens 0 to 39."""
+    rng = random.Random(seed)
+    top = rng.randint(12, 40)
+    bases = [rng.sample(range(top), min(top, rng.randint(5, 14))) for _ in range(rng.randint(2, 5))]
+    out = set()
+    for _ in range(rng.randint(6, 20)):
+        b = set(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            if rng.random() < 0.5 and len(b) > 3:
+                b.discard(rng.choice(sorted(b)))
+            else:
+                b.add(rng.randrange(top))
+        out.add(frozenset(b))
+    return sorted(sorted(x) for x in out)
+
+
+@pytest.mark.parametrize("one_task", [0, 60])
+def test_members_met_in_earlier_rounds(spark, monkeypatch, one_task):
+    """A leader's new members are compared with those it met before; groups of sets with tokens of their own, against all pairs."""
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "ONE_TASK", one_task)
+    posts, stored, want = [], [], set()
+    for seed in (34, 310, 318):
+        sets = [[100 * seed + t for t in s] for s in small_sets(seed)]
+        df = Counter(t for s in sets for t in s)
+        for i, s in enumerate(sets):
+            s = sorted(s, key=lambda t: (df[t], t))
+            sig, size, alone = b"%04d.%02d" % (seed, i), len(s), sum(df[t] < 2 for t in s)
+            upto = ngram_join.first_size(size, 80)
+            stored.append((sig, size, alone, 1 - alone / size, np.array(s[alone:], np.int64).tobytes()))
+            posts += [(sig, size, 1 - alone / size, 1, s[k], k) for k in range(alone, upto)]
+            like = {sig} | {b"%04d.%02d" % (seed, j) for j, z in enumerate(sets) if 100 * len({*s} & {*z}) >= 80 * len({*s} | {*z})}
+            want = {c for c in want if not c & like} | {frozenset(like.union(*(c for c in want if c & like)))}
+    got = ngram_join.join_lists(
+        spark.createDataFrame(posts, "sig binary, size int, common double, ell int, token long, place int"),
+        spark.createDataFrame(stored, "sig binary, size int, alone int, common double, stored binary"), 80)
+    classes = {}
+    for r in got.collect():
+        classes.setdefault(bytes(r.component), set()).add(bytes(r.node))
+    assert {frozenset(c) for c in classes.values() if len(c) > 1} == {c for c in want if len(c) > 1}
+
+
 def test_empty_table(spark):
     assert ngram_join.similarity_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
