@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by adaptive multi-match prefixes, and the classes that its links make.
 
 A document is the set of its word shingles, rarest first. Two similar sets share at least m shingles of their m-prefixes (the
-first |x| - ceil(0.8 |x|) + m), for any m. Each document picks the m for which postings to scan and candidates to verify are
+first |x| - ceil(0.8 |x|) + m), for any m up to ceil(0.8 |x|). Each document picks the m for which postings to scan and candidates to verify are
 estimated cheapest, from the shingles' document frequencies; a pair is verified once it shares as many prefix shingles as the
 smaller m of the two asks for.
 
@@ -75,10 +75,12 @@ def first_size(size: int, percent: int) -> int:
 
 
 def matches(df: np.ndarray, size: int, percent: int) -> int:
-    """How many shared prefix shingles to ask for: least of postings scanned plus VERIFY times the candidates expected."""
+    """How many shared prefix shingles to ask for, at most the overlap that any similar set has: least of postings scanned plus VERIFY
+    times the candidates expected."""
     base = first_size(size, percent)
+    most = min(MOST_MATCHES, size - base + 1)
     scan = np.concatenate([[0], np.cumsum(np.minimum(df[:base + MOST_MATCHES - 1], SHORT + 1) - 1)])
-    cost = [scan[min(base + m - 1, len(scan) - 1)] * (1 + VERIFY / m) for m in range(1, MOST_MATCHES + 1)]
+    cost = [scan[min(base + m - 1, len(scan) - 1)] * (1 + VERIFY / m) for m in range(1, most + 1)]
     return int(np.argmin(cost)) + 1
 
 

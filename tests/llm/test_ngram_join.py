@@ -113,5 +113,23 @@ def test_members_met_in_earlier_rounds(spark, monkeypatch, one_task):
     assert {frozenset(c) for c in classes.values() if len(c) > 1} == {c for c in want if len(c) > 1}
 
 
+def test_short_texts_one_word_longer(spark):
+    """Sets of 4 and 5 to 6 and 7 shingles share less than MOST_MATCHES or as many as they need; alone and beside texts with the same start."""
+    rows = []
+    for n in (8, 9, 10):
+        for others in (0, 1, 3):
+            words = [f"n{n}o{others}w{i}" for i in range(n)]
+            rows += [" ".join(words), " ".join(words + ["more"])]
+            rows += [" ".join(words[:7] + [f"x{n}{others}{k}y{i}" for i in range(12)]) for k in range(others)]
+    rows = list(enumerate(rows))
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert sum(d != c for d, _, c in want) == 9
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    for size in range(1, 12):
+        for df in ([2] * size, [8] * size, list(range(1, size + 1)), [300] * size):
+            assert 1 <= ngram_join.matches(np.array(df), size, 80) <= -(-80 * size // 100)
+
+
 def test_empty_table(spark):
     assert ngram_join.similarity_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
