@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 from knowntime.llm.common import per_text
 
-#: Sentences of public licences and of their short notices, by identifier. "#" stands for a version or year.
+#: Sentences of public licences and of their short notices, by identifier. "#" stands for a version or year,
+#: "*" for one to eight words, "|" parts wordings of one identifier.
 SENTENCES = {
     "mit.released": "released under the mit license",
     "mit.licensed": "licensed under the mit license",
@@ -25,8 +26,25 @@ SENTENCES = {
     "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
                   "documentation and or other materials provided with the distribution",
+    "bsd.names": "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific "
+                 "prior written permission|the name of * may not be used to endorse or promote products derived from this software without specific "
+                 "prior written permission",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+                 "above copyright notice and this permission notice appear in all copies",
+    "unlicense.released": "this is free and unencumbered software released into the public domain",
+    "boost.grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+                   "documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to "
+                   "prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost.licensed": "distributed under the boost software license version #",
+    "epl.terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v # which accompanies this "
+                 "distribution and is available at|this program and the accompanying materials are made available under the terms of the eclipse public "
+                 "license # which is available at",
+    "agpl.program": "this * is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published "
+                    "by the free software foundation either version # of the license or at your option any later version",
+    "lgpl.program": "this * is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+                    "by the free software foundation either version # of the license or at your option any later version",
     "gpl.work": "this work is licensed under the gnu general public license version #",
-    "gpl.program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+    "gpl.program": "this * is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
                    "the free software foundation either version # of the license or at your option any later version",
     "gpl.licensed": "licensed under the gnu general public license version #",
     "lgpl.licensed": "licensed under the gnu lesser general public license version #",
@@ -37,33 +55,81 @@ SENTENCES = {
     "cc0.dedicated": "this work is dedicated to the public domain",
     "reserved.all": "all rights reserved",
 }
+#: Names of licences in short notices ("licensed under the ..."), by licence.
+NAMES = {
+    "MIT": "mit license|mit", "Apache": "apache license version #|apache license v #|apache license #|apache # license|apache #|apache license",
+    "BSD-2-Clause": "bsd 2 clause license|simplified bsd license", "BSD-3-Clause": "bsd 3 clause license|new bsd license|modified bsd license|bsd three clause license",
+    "ISC": "isc license", "Unlicense": "unlicense", "BSL": "boost software license version #|boost software license #|boost software license",
+    "EPL": "eclipse public license version #|eclipse public license v #|eclipse public license #|eclipse public license",
+    "AGPL": "gnu affero general public license version #|gnu affero general public license v #|gnu affero general public license|agplv #|agpl v #|agpl",
+    "LGPL": "gnu lesser general public license version #|gnu lesser general public license v #|gnu lesser general public license|lgplv #|lgpl v #|lgpl",
+    "GPL": "gnu general public license version #|gnu general public license v #|gnu general public license|gnu gpl version #|gnu gpl v #|gplv #|gpl v #|gpl version #|gpl",
+    "MPL": "mozilla public license version #|mozilla public license v #|mozilla public license #|mozilla public license",
+    "CC-BY-NC": "cc by nc #", "CC-BY-SA": "cc by sa #", "CC-BY": "cc by #",
+}
+SENTENCES |= {f"{k.lower()}.short": "|".join(f"{verb} under {terms}{n}" for verb in ("licensed", "released", "distributed", "available", "made available", "published")
+                                             for terms in ("", "the ", "the terms of the ") for n in names.split("|")) for k, names in NAMES.items()}
 #: Ordered rules (licence, identifiers that must follow each other in this order); the first that fits names the licence.
 RULES = (
     ("MIT", ("mit.grant", "mit.notice", "mit.as-is")), ("MIT", ("mit.grant",)), ("MIT", ("mit.released",)), ("MIT", ("mit.licensed",)),
     ("Apache", ("apache.licensed", "apache.comply")), ("Apache", ("apache.licensed",)),
-    ("BSD-2-Clause", ("bsd.redistribute", "bsd.source", "bsd.binary")),
-    ("LGPL", ("lgpl.licensed",)), ("GPL", ("gpl.program",)), ("GPL", ("gpl.work",)), ("GPL", ("gpl.licensed",)), ("MPL", ("mpl.subject",)),
+    ("BSD-3-Clause", ("bsd.redistribute", "bsd.source", "bsd.binary", "bsd.names")), ("BSD-2-Clause", ("bsd.redistribute", "bsd.source", "bsd.binary")),
+    ("ISC", ("isc.grant",)), ("Unlicense", ("unlicense.released",)), ("BSL", ("boost.grant",)), ("BSL", ("boost.licensed",)), ("EPL", ("epl.terms",)),
+    ("AGPL", ("agpl.program",)), ("LGPL", ("lgpl.program",)), ("LGPL", ("lgpl.licensed",)), ("GPL", ("gpl.program",)), ("GPL", ("gpl.work",)), ("GPL", ("gpl.licensed",)), ("MPL", ("mpl.subject",)),
     ("CC-BY-NC", ("cc-by-nc.licensed",)), ("CC-BY-SA", ("cc-by-sa.licensed",)), ("CC-BY", ("cc-by.licensed",)), ("CC0", ("cc0.dedicated",)),
-    ("proprietary", ("reserved.all",)),
+    *((k, (f"{k.lower()}.short",)) for k in NAMES), ("proprietary", ("reserved.all",)),
 )
+#: What may stand between a known sentence and its end.
+TAILS = tuple(tuple(t.split()) for t in ("", "the license", "license", "only", "or later", "or any later version", "or at your option any later version",
+                                         "or newer", "as published by the free software foundation"))
 #: A token is a word or a version; a mark or line end after it may end a sentence.
 PIECE = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*|[.!?;:]+(?=\s|$)|\n", re.A)
 VERSION = re.compile(r"\d+(?:\.\d+)*\Z", re.A)
 
 
+def fits(known: tuple, words: list[str], i: int) -> tuple[int, str] | None:
+    """End of the known sentence that starts at word i, and its version."""
+    version = ""
+    for at, a in enumerate(known):
+        if a == "*":
+            for k in range(i + 1, min(i + 9, len(words))):
+                rest = fits(known[at + 1:], words, k)
+                if rest:
+                    return rest[0], version or rest[1]
+            return None
+        if i >= len(words) or not (a == words[i] or (a == "#" and VERSION.match(words[i]))):
+            return None
+        if a == "#":
+            version = version or words[i]
+        i += 1
+    return i, version
+
+
 class Finder:
-    """Known sentences by their first two words."""
+    """Known sentences by their first word."""
 
     def __init__(self, sentences: dict[str, str], rules: tuple):
-        self.by_start: dict[tuple, list] = {}
-        for name, text in sentences.items():
-            words = tuple(text.split())
-            self.by_start.setdefault(words[:2], []).append((words, name))
+        self.by_start: dict[str, list] = {}
+        for name, texts in sentences.items():
+            for text in texts.split("|"):
+                words = tuple(text.split())
+                self.by_start.setdefault(words[0], []).append((words, name))
         for found in self.by_start.values():
-            found.sort(key=lambda x: -len(x[0]))
+            found.sort(key=lambda x: -len(x[0]))       # of equal lengths the one named first
         self.rules = rules
         #: every known sentence has one of these words, so other texts are passed over
-        self.marks = re.compile("licen[sc]e|rights reserved|permi(?:ssion|tted)|redistribut|public domain|warrant|copyright", re.I)
+        self.marks = re.compile("licen[sc]e|licensed|(?:released|distributed|available|published)\\s+under|rights reserved|permi(?:ssion|tted)"
+                                "|redistribut|public\\W+domain|warrant|copyright|made\\s+available", re.I)
+
+    def at(self, words: list[str], breaks: set[int], i: int) -> tuple[str, str, int] | None:
+        """(identifier, version, end) of the known sentence at word i, alone or with a tail, up to a break."""
+        for known, name in self.by_start.get(words[i], ()):
+            found = fits(known, words, i)
+            for tail in TAILS if found else ():
+                j = found[0] + len(tail)
+                if j in breaks and tuple(words[found[0]:j]) == tail:
+                    return name, found[1], j
+        return None
 
     def sentences(self, text: str) -> list[tuple[str, str, int, int]]:
         """(identifier, version, start, end) of known sentences, from sentence start to sentence end, in order."""
@@ -80,13 +146,13 @@ class Finder:
         for i in sorted(breaks):
             if i < free or i + 1 >= len(words):
                 continue
-            for known, name in self.by_start.get((words[i], words[i + 1]), ()):
-                j = i + len(known)
-                if j in breaks and all(a == b or (a == "#" and VERSION.match(b)) for a, b in zip(known, words[i:j])):
-                    version = next((b for a, b in zip(known, words[i:j]) if a == "#"), "")
-                    out.append((name, version, starts[i], ends[j - 1]))
-                    free = j
-                    break
+            found = self.at(words, breaks, i)
+            if not found and words[i] in ("this", "the", "it", "all"):    # a head: "this project is"
+                head = next((k for k in range(i + 1, min(i + 7, len(words) - 1)) if words[k] in ("is", "are")), None)
+                found = self.at(words, breaks, head + 1) if head else None
+            if found:
+                name, version, free = found
+                out.append((name, version, starts[i], ends[free - 1]))
         return out
 
     def licence(self, names: list[str]) -> str | None:
@@ -96,9 +162,21 @@ class Finder:
                 return licence
         return None
 
+    def licences(self, found: list[tuple[str, str, int, int]]) -> list[tuple[str, str | None, int, int]]:
+        """(licence, version, start, end) of every rule that fits, in the order of rules; a sentence serves the first rule that takes it."""
+        names, free, out = [f[0] for f in found], [True] * len(found), []
+        for licence, needed in self.rules:
+            n = len(needed)
+            for i in range(len(names) - n + 1):
+                if all(free[i:i + n]) and tuple(names[i:i + n]) == needed:
+                    free[i:i + n] = [False] * n
+                    out.append((licence, next((f[1] for f in found[i:i + n] if f[1]), None), found[i][2], found[i + n - 1][3]))
+        return out
+
 
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """Append licence (null if no rule fits), version, n_known, sentence_ids and spans (start and end code points) to each document.
+    """Append licence (null if no rule fits), version, n_known, sentence_ids, spans (start and end code points) and licences (every
+    licence whose rule fits, with its own version and span) to each document.
 
     Whole texts are scanned; comment marks, case, punctuation and line breaks inside a sentence make no difference. Null and empty
     texts have no sentences. Each row is judged alone, so repeated rows are judged alike; no shuffle.
@@ -109,9 +187,11 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         for t in texts:
             found = finder.sentences(t)
             names = [f[0] for f in found]
-            licence = finder.licence(names)
-            version = next((f[1] for f in found if f[1]), None) if licence else None
-            out.append((licence, version, len(found), names, [x for f in found for x in f[2:]]))
+            fit = finder.licences(found)
+            licence, version = fit[0][:2] if fit else (None, None)
+            out.append((licence, version, len(found), names, [x for f in found for x in f[2:]],
+                        [dict(zip(("licence", "version", "start", "end"), x)) for x in fit]))
         return out
 
-    return per_text(docs, "text", "licence string, version string, n_known long, sentence_ids array<string>, spans array<long>", fn, drop=("text",))
+    return per_text(docs, "text", "licence string, version string, n_known long, sentence_ids array<string>, spans array<long>, "
+                    "licences array<struct<licence: string, version: string, start: long, end: long>>", fn, drop=("text",))

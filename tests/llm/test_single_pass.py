@@ -123,6 +123,30 @@ def test_licences(spark):
     assert licenses.Finder(licenses.SENTENCES, licenses.RULES).licence([x[0] for x in licenses.Finder(licenses.SENTENCES, licenses.RULES).sentences(". ".join(grant))]) == "MIT"
 
 
+def test_full_notices_heads_tails_and_all_licences():
+    finder = licenses.Finder(licenses.SENTENCES, licenses.RULES)
+
+    def named(text):
+        return [x[:2] for x in finder.licences(finder.sentences(text))]
+
+    apache = ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+              "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n")
+    bsd = ". ".join(licenses.SENTENCES[f"bsd.{x}"] for x in ("redistribute", "source", "binary")) + ".\n"
+    third = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+             "   this software without specific prior written permission.\n")
+    lgpl = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as published by "
+            "the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n")
+    assert named(apache) == [("Apache", "2.0")]
+    assert named("This project is licensed under the MIT License.") == [("MIT", None)]
+    assert named(bsd) == [("BSD-2-Clause", None)] and named(bsd + third) == [("BSD-3-Clause", None)]
+    assert named(lgpl) == [("LGPL", "2.1")] and named(lgpl.replace("Lesser", "Affero")) == [("AGPL", "2.1")]
+    assert named("This is free and unencumbered software released into the public domain.") == [("Unlicense", None)]
+    assert named(licenses.SENTENCES["isc.grant"]) == [("ISC", None)] and named(licenses.SENTENCES["boost.grant"] + ":") == [("BSL", None)]
+    assert named("Distributed under the Eclipse Public License, v2.0.") == [("EPL", "2.0")]
+    assert named(lgpl + apache) == [("Apache", "2.0"), ("LGPL", "2.1")]
+    assert named("we say licensed under the mit license here") == []
+
+
 def test_licence_scan_on_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
