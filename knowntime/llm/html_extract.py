@@ -33,6 +33,9 @@ HINTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising
                   "consent contentinfo cookie cookies copyright dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter "
                   "notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
                   "sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Words that may follow a hint in a name ("ad-container"), and words that turn one off ("no-sidebar").
+GENERIC = frozenset("area bar block body bottom box container content inner item items left list outer panel right section slot top unit wrap wrapper".split())
+NOT = frozenset("has no not with without".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,37 +43,60 @@ WORDS = re.compile(r"\S+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "boiler", "content", "block", "depth", "closed")
+    __slots__ = ("name", "parent", "boiler", "content", "block", "depth", "closed", "own", "hinted")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.content = name in CONTENT or bool(parent and parent.content)
         hints = boilerplate(attributes) if attributes else ""
+        if name in ("body", "html") and hints != "hidden":
+            hints = ""
         own = name if name in BOILER else hints
         if own == "header" and parent and parent.content:
             own = ""                                   # an article's own header holds its title
-        above = parent.boiler if parent else ""
-        self.boiler = above or own
+        self.own, self.hinted = own, name not in BOILER and own != "hidden"
+        self.boiler = ""                               # set by tokens(), when all of the page is read
         self.block = name if name in BLOCK else parent.block if parent else "body"
 
 
 def boilerplate(attributes: str) -> str:
-    """The hint that an element's attributes give, or nothing."""
+    """The hint that an element's attributes give, or nothing; of a name only its head word counts."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return "hidden"
         if name in ("class", "id", "role"):
-            for word in WORD.findall(value):
-                if word in HINTS:
-                    return "header" if word in ("header", "masthead") else word
+            for one in value.split():
+                words = WORD.findall(one)
+                while len(words) > 1 and words[-1] in GENERIC:
+                    words.pop()
+                if words and words[-1] in HINTS and NOT.isdisjoint(words):
+                    return "header" if words[-1] in ("header", "masthead") else words[-1]
     return ""
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, Element]]:
-    """(kind, value, element): text runs, and tags as "+name" or "-name"."""
+def tokens(page: str) -> list[tuple[str, str, Element]]:
+    """(kind, value, element): text runs, and tags as "+name" or "-name"; hints on the page's main element, its first article (inside
+    main, if there is one) and whatever holds these do not count."""
+    made: list[Element] = []
+    runs = list(scan(page, made))
+    main = next((e for e in made if e.name == "main"), None)
+    article = next((e for e in made if e.name == "article" and (not main or e.parent.content)), None)
+    for node in (main, article):
+        while node:
+            if node.hinted:
+                node.own = ""
+            node = node.parent
+    for e in made:                                     # parents come before children
+        e.boiler = e.parent and e.parent.boiler or e.own
+    return runs
+
+
+def scan(page: str, made: list[Element]) -> Iterator[tuple[str, str, Element]]:
+    """Runs of a page; its elements go to ``made``."""
     root = here = Element("html", None, "")
+    made.append(root)
     at, raw = 0, ""
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -104,6 +130,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element]]:
                 if node and (node.name == "p" or (node.name == name and name in ("li", "dt", "dd", "td", "th", "tr", "option"))):
                     here = node.parent or root
             here = Element(name, here, m[3])
+            made.append(here)
             yield "tag", "+" + name, here
     if at < len(page):
         yield "text", page[at:], here
@@ -157,7 +184,7 @@ def word_weight(weights: dict[str, float], e: Element) -> float:
 
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by newlines; white space inside a block is one space."""
-    runs = list(tokens(page))
+    runs = tokens(page)
     best, total, start, found = 0.0, 0.0, 0, None
     for i, (kind, value, e) in enumerate(runs):
         total += word_weight(weights, e) * len(WORDS.findall(value)) if kind == "text" else weights.get(known(value), -0.1) if known(value) else 0.0

@@ -27,6 +27,20 @@ def test_article_keeps_its_own_header_and_short_last_block():
     assert he.main_text(page, WEIGHTS) == "Title\nSome words that count a lot.\nEnd."
 
 
+def test_hints_on_wrappers_and_inside_names_do_not_empty_a_page():
+    inner = "<nav>menu here</nav>{}<h1>Title</h1><p>Some words that count a lot.</p>{}<div class='ad-container'><p>Buy this now.</p></div>"
+    text = "Title\nSome words that count a lot."
+    for name in ("has-sidebar", "no-sidebar", "with-comments", "search-results", "sidebar"):
+        assert he.main_text(f'<body class="{name}">' + inner.format("<div>", "</div>") + "</body>", WEIGHTS) == text
+        assert he.main_text(f'<body><div class="{name}">' + inner.format("<article>", "</article>") + "</div></body>", WEIGHTS) == text
+    for name in ("post no-comments", "comments"):
+        assert he.main_text("<body>" + inner.format(f'<article class="{name}">', "</article>") + "</body>", WEIGHTS) == text
+    for name in ("has-sidebar", "no-sidebar", "with-comments", "search-results"):
+        assert he.main_text(f'<body><div class="{name}">' + inner.format("", "") + "</div></body>", WEIGHTS) == text
+    late = "<div class=comments><article><p>Great post, I loved it!</p></article></div>"
+    assert he.main_text("<body>" + inner.format("<article>", "</article>") + late + "</body>", WEIGHTS) == text
+
+
 def test_pages_without_content():
     assert he.main_text("", WEIGHTS) == ""
     assert he.main_text("<nav>only a menu</nav>", WEIGHTS) == ""
