@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knowntime.llm import fingerprint, html_extract, licenses, mixing, ngram_join, oracles, packing, quality, sharding, suffix_dedup, url_filter
+from knowntime.llm import (fingerprint, hard_negatives, html_extract, licenses, mixing, ngram_join, oracles, packing, quality, secrets, sharding, suffix_dedup,
+                           url_filter, whitening)
 from knowntime.llm.common import table
 
 QUERIES: dict = {}
@@ -82,6 +83,24 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
+
+
+@partial(register, sql=oracles.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+@register
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
