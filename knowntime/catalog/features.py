@@ -127,13 +127,16 @@ GROUP BY p.contest_id, p.side, p.scheduled_at"""
 
 
 @query("scheduled_order_form", "WITH " + V.SIDES + """, late AS (
-  SELECT * REPLACE (available_at + to_hours(CAST(contest_id % 5 * 60 AS INTEGER)) AS available_at) FROM sides)"""
+  SELECT * REPLACE (available_at + to_hours(CAST(CASE WHEN contest_id % 23 = 0 THEN -1500 WHEN contest_id % 19 = 0 THEN 9000
+                    ELSE contest_id % 5 * 60 END AS INTEGER)) AS available_at) FROM sides)"""
        + SCHEDULED_SQL)
 def scheduled_order_form(spark, sf_dir):
-    """Last-10 visible contests in schedule order, results arriving out of order (D3)."""
+    """Last-10 visible contests in schedule order (D3): results out of order, some known two months before
+    their start, some withheld for a year."""
     s = V.sides(V.contests(spark, sf_dir))
-    late = s.withColumn("available_at", F.col("available_at") + F.make_dt_interval(
-        F.lit(0), (F.col("contest_id") % 5 * 60).cast("int")))
+    k = F.col("contest_id")
+    hours = F.when(k % 23 == 0, -1500).when(k % 19 == 0, 9000).otherwise(k % 5 * 60)
+    late = s.withColumn("available_at", F.col("available_at") + F.make_dt_interval(F.lit(0), hours.cast("int")))
     facts = late.select("league", "team", "available_at", "scheduled_at", "contest_id", "scored",
                         "allowed", "win")
     out = form.scheduled_form(facts, late.select(*PROBE), window=10, min_history=5, cap=14)
@@ -162,18 +165,17 @@ fold AS (
          -(f.r[s.home_id + 1] - f.r[s.away_id + 1] + {adv}::DOUBLE * (1 - s.neutral)) / 400.0::DOUBLE))) AS delta) d),"""
 ELO_SQL = FOLD_SQL + """
 moves AS (
-  SELECT scenario, league, home_id AS team, available_at, contest_id, r[home_id + 1] AS rating FROM fold WHERE step > 0
-  UNION ALL
-  SELECT scenario, league, away_id, available_at, contest_id, r[away_id + 1] FROM fold WHERE step > 0),
+  SELECT scenario, league, u.team, available_at, arg_max(u.rating, contest_id) AS rating FROM (
+    SELECT scenario, league, contest_id, available_at,
+           unnest([struct_pack(team := home_id, rating := r[home_id + 1]), struct_pack(team := away_id, rating := r[away_id + 1])]) AS u
+    FROM fold WHERE step > 0) GROUP BY ALL),
+asked AS (
+  SELECT scenario, contest_id, league, decision_at, u.side, u.team FROM (
+    SELECT *, unnest([struct_pack(side := 'home', team := home_id), struct_pack(side := 'away', team := away_id)]) AS u FROM revealed)),
 seen AS (
-  SELECT p.scenario, p.contest_id, p.side,
-         arg_max(m.rating, struct_pack(a := m.available_at, b := m.contest_id)) AS rating
-  FROM (SELECT scenario, contest_id, league, decision_at, neutral, 'home' AS side, home_id AS team FROM revealed
-        UNION ALL
-        SELECT scenario, contest_id, league, decision_at, neutral, 'away', away_id FROM revealed) p
-       LEFT JOIN moves m ON m.scenario = p.scenario AND m.league = p.league AND m.team = p.team
-            AND m.available_at < p.decision_at
-  GROUP BY ALL)
+  SELECT p.scenario, p.contest_id, p.side, m.rating
+  FROM asked p ASOF LEFT JOIN moves m ON m.scenario = p.scenario AND m.league = p.league AND m.team = p.team
+       AND p.decision_at > m.available_at)
 SELECT h.scenario, h.contest_id,
        round(coalesce(h.rating, 1500) - coalesce(a.rating, 1500), 6) AS elo_diff,
        round(1 / (1 + pow(10.0::DOUBLE, -(coalesce(h.rating, 1500) - coalesce(a.rating, 1500)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from knowntime.functions.times import elapsed_days
-from knowntime.operators.asof import (CHUNK_DAYS, asof_cumulative, asof_last, asof_rolling,
-                                      running_positions)
+from knowntime.functions.times import as_micros, elapsed_days
+from knowntime.operators.asof import CHUNK_DAYS, _chunk, _dated, _width, asof_cumulative, asof_last, asof_rolling
 
 
 def home_minus_away(frame: DataFrame, keys: Sequence[str], values: Mapping[str, Column],
@@ -51,51 +53,87 @@ def rest_days(facts: DataFrame, probes: DataFrame, *, cap: float,
             .withColumn("b2b", (F.col("rest") < 1.5).cast("double")).drop("previous_start"))
 
 
+def departures(facts: DataFrame, keys: Sequence[str], *, window: int, order: Sequence[str],
+               chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
+    """Add ``_leaves``: when (micros) a fact stops being one of the ``window`` newest-scheduled known ones.
+
+    That is the ``window``-th smallest ``available_at`` among the facts scheduled after it; NULL if fewer follow.
+    Facts pass from the latest to the earliest schedule through a heap of ``window`` times. Chunks of the
+    schedule go in parallel: the ``window`` soonest times of all later chunks start a chunk's heap.
+    """
+    width = _width(chunk_days)
+    order = list(order)
+    known = _dated(facts, [*keys, "scheduled_at"], "available_at")
+    f = (known.withColumn("_t", as_micros(known, "scheduled_at")).withColumn("_chunk", _chunk(width))
+         .withColumn("_a", as_micros(known, "available_at")))
+    rows = f.withColumn("_carried", F.lit(0))
+    if width:
+        soonest = Window.partitionBy(*keys, "_chunk").orderBy("_a")
+        ends = (f.select(*keys, "_chunk", "_a").withColumn("_rn", F.row_number().over(soonest))
+                .where(F.col("_rn") <= window).groupBy(*keys, "_chunk").agg(F.collect_list("_a").alias("_ends")))
+        later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        carry = (ends.withColumn("_later", F.flatten(F.collect_list("_ends").over(later)))
+                 .select(*keys, "_chunk", F.explode(F.slice(F.sort_array("_later"), 1, window)).alias("_a")))
+        rows = rows.unionByName(carry.withColumn("_carried", F.lit(1)), allowMissingColumns=True)
+    group = [*keys, "_chunk"]
+    dealt = rows.repartition(*group).sortWithinPartitions(
+        *group, F.desc("_carried"), F.desc("_t"), *[F.desc(c) for c in order])
+
+    def pass_back(batches):
+        now, heap = None, []                      # heap: the soonest times so far, negated
+        for batch in batches:
+            of = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in group]))
+            times = batch.column(batch.schema.get_field_index("_a")).to_pylist()
+            leaves = []
+            for g, t in zip(of, times):
+                if g != now:
+                    now, heap = g, []
+                leaves.append(-heap[0] if len(heap) == window else None)
+                if len(heap) < window:
+                    heapq.heappush(heap, -t)
+                else:
+                    heapq.heappushpop(heap, -t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.int64())],
+                                             names=[*batch.schema.names, "_leaves"])
+
+    out = dealt.mapInArrow(pass_back, StructType([*dealt.schema.fields, StructField("_leaves", LongType())]))
+    return out.where("_carried = 0").drop("_t", "_chunk", "_carried")
+
+
 def scheduled_form(facts: DataFrame, probes: DataFrame, *, window: int, min_history: int,
                    cap: float, keys: Sequence[str] = ("league", "team"),
                    chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
     """Form over the last ``window`` *visible* contests in schedule order.
 
-    Results may become known out of schedule order. For a probe, the wanted contests lie
-    within the last ``window + in_flight`` scheduled ones, where ``in_flight`` counts those
-    scheduled before the decision but not yet known. Two running counts give that number,
-    so exactly that many candidates are looked up by their position in the schedule; no
-    candidate is capped and no full history is paired. Rest uses the same visible set.
+    Results become known in any order: long withheld, or before their own start. A fact counts from
+    its ``available_at`` until ``window`` contests scheduled after it are known (``departures``), so the
+    form of a probe is a running total of entries less departures: one as-of, no candidates per probe.
+    Scores are whole numbers, so the totals are exact. Rest is from the latest start among the known contests.
     """
     keys = list(keys)
-    one = {"_n": F.lit(1)}
-    p = asof_cumulative(facts, probes, keys, fact_time="scheduled_at", probe_time="decision_at",
-                        sums={"_started": one["_n"]}, chunk_days=chunk_days)
-    p = asof_cumulative(facts, p, keys, fact_time="available_at", probe_time="decision_at",
-                        sums={"_known": one["_n"]}, chunk_days=chunk_days)
-    ranked = running_positions(facts, keys, time="scheduled_at", order=["contest_id"], name="_pos",
-                               chunk_days=chunk_days)
-    # A result known before its own start would make the difference negative: keep it exact.
-    low = F.greatest(F.lit(1), F.col("_started") - F.lit(window)
-                     - F.greatest(F.lit(0), F.col("_started") - F.col("_known")) + 1)
-    wanted = (p.withColumn("_pos", F.explode(F.when(F.col("_started") >= 1, F.sequence(
-        low, F.col("_started").cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))))
-    cand = ranked.select(*keys, "_pos", F.struct(
-        F.col("_pos"), (F.col("scored") - F.col("allowed")).alias("margin"), "scored", "allowed",
-        "win", F.col("scheduled_at").alias("start")).alias("_fact"),
-        F.col("available_at").alias("_avail"))
-    hit = wanted.join(cand, [*keys, "_pos"], "left")
-    visible = F.when(F.col("_avail") < F.col("decision_at"), F.col("_fact"))
-    got = (hit.groupBy(*probes.columns)
-           .agg(F.slice(F.sort_array(F.collect_list(visible), asc=False), 1, window).alias("_last")))
-    mean = {n: F.expr(f"aggregate(_last, 0D, (a, x) -> a + x.{n}) / size(_last)")
-            for n in ("margin", "scored", "allowed")}
-    win = F.expr("aggregate(_last, 0D, (a, x) -> a + IF(x.margin > 0, 1D, 0D)) / size(_last)")
-    n = F.size("_last")
-    # The latest start among the window: entries are ordered by schedule, newest first.
-    gap = F.least(F.lit(float(cap)), elapsed_days("scheduled_at", F.expr("_last[0].start")))
-    return (got.select(*probes.columns, n.cast("bigint").alias("form_n"),
-                       *[F.when(n > 0, v).otherwise(0.0).alias(f"form_{k}") for k, v in mean.items()],
-                       F.when(n > 0, win).otherwise(0.5).alias("form_win"),
+    lives = departures(facts, keys, window=window, order=["contest_id"], chunk_days=chunk_days)
+    lives = lives.where(F.col("_leaves").isNull() | (F.col("_leaves") > F.col("_a")))
+    each = F.array(F.struct(F.col("_a").alias("_at"), F.lit(1).alias("_sign")),
+                   F.struct(F.col("_leaves").alias("_at"), F.lit(-1).alias("_sign")))
+    events = (lives.select(*keys, "scored", "allowed", "scheduled_at", F.explode(each).alias("_e"))
+              .select(*keys, "scored", "allowed", "scheduled_at", "_e.*"))
+    signed = lambda c: F.col("_sign") * c
+    got = asof_cumulative(
+        events, probes, keys, fact_time="_at", probe_time="decision_at",
+        sums={"form_n": F.col("_sign").cast("bigint"), "_scored": signed(F.col("scored")),
+              "_allowed": signed(F.col("allowed")),
+              "_won": signed((F.col("scored") > F.col("allowed")).cast("int"))},
+        maxima={"_start": F.col("scheduled_at")}, chunk_days=chunk_days)
+    n = F.col("form_n")
+    mean = {"margin": F.col("_scored") - F.col("_allowed"), "scored": F.col("_scored"), "allowed": F.col("_allowed")}
+    gap = F.least(F.lit(float(cap)), elapsed_days("scheduled_at", "_start"))
+    return (got.select(*probes.columns, n, *[F.when(n > 0, v / n).otherwise(0.0).alias(f"form_{k}") for k, v in mean.items()],
+                       F.when(n > 0, F.col("_won") / n).otherwise(0.5).alias("form_win"),
                        F.when(n > 0, gap).otherwise(float(cap)).alias("rest"))
             .withColumn("enough_history", F.col("form_n") >= min_history))
 
 
+# The measures of a box line that are summed.
 BOX_SUMS = ("pts", "poss", "fga", "fgm", "fg3m", "fta", "oreb", "tov", "opp_pts", "opp_poss")
 BOX_MEASURES = ("fga", "fgm", "fg3m", "fta", "oreb", "tov")
 

@@ -98,3 +98,34 @@ def test_pending_contests_never_enter_a_history(spark):
         assert {c: got[k][c] for c in ("margin_diff", "elo_diff", "history_count_diff")} == \
                {c: again[k][c] for c in ("margin_diff", "elo_diff", "history_count_diff")}
     assert math.isclose(got[10]["elo_diff"], -got[9]["elo_diff"])
+
+
+def test_scheduled_form_takes_the_newest_known_contests(spark):
+    """Early-known and withheld results, against a plain search; chunks of any width agree."""
+    import random
+    r = random.Random(4)
+    day = dt.timedelta(days=1)
+    start = dt.datetime(2020, 1, 1)
+    facts = []
+    for i in range(160):
+        at = start + day * r.randrange(900)
+        late = r.choice([1, 1, 1, 2, 30, 400, -50])
+        facts.append(("L", i % 2, at + day * late, at, i, r.randrange(5), r.randrange(5)))
+    facts += [(None, 0, start, start, 900, 9, 9), ("L", 0, None, start, 901, 9, 9), ("L", 0, start, None, 902, 9, 9)]
+    probes = [(i, "L", i % 2, start + day * r.randrange(1000)) for i in range(120)] + [(500, None, 0, start), (501, "L", 0, None)]
+    f = spark.createDataFrame(facts, "league string, team int, available_at timestamp_ntz, scheduled_at timestamp_ntz, contest_id int, scored int, allowed int")
+    p = spark.createDataFrame([(*x, x[3]) for x in probes], "probe int, league string, team int, decision_at timestamp_ntz, scheduled_at timestamp_ntz")
+    for chunk in (None, 40, 366):
+        got = {x.probe: x for x in form.scheduled_form(f, p, window=4, min_history=3, cap=14, chunk_days=chunk).collect()}
+        assert len(got) == len(probes)
+        for i, league, team, at in probes:
+            seen = [x for x in facts if None not in x and league and at and x[1] == team and x[2] < at]
+            seen = sorted(seen, key=lambda x: (x[3], x[4]))[-4:]
+            x = got[i]
+            assert x.form_n == len(seen)
+            if seen:
+                assert abs(x.form_margin - sum(s[5] - s[6] for s in seen) / len(seen)) < 1e-12
+                assert x.form_win == sum(s[5] > s[6] for s in seen) / len(seen)
+                assert abs(x.rest - min(14, (at - seen[-1][3]) / day)) < 1e-9
+            else:
+                assert (x.form_margin, x.form_win, x.rest) == (0.0, 0.5, 14.0)
