@@ -75,17 +75,26 @@ def devig(spark, sf_dir):
         "quote_id", r6("q_home", Q.fair_home()), r6("overround", Q.overround()))
 
 
-@query("consensus_reference", "WITH " + LATEST_SQL + """
+@query("consensus_reference", "WITH " + LATEST_SQL + """, used AS (
+  SELECT contest_id, decision_at, (1 / home_odds) / (1 / home_odds + 1 / away_odds) AS q, 1 / home_odds + 1 / away_odds - 1 AS over,
+         (epoch_us(decision_at) - epoch_us(quote_at)) / 60000000.0::DOUBLE AS age,
+         book <> ['click', 'error', 'purchase', 'signup', 'view'][contest_id % 5 + 1] AS counted FROM latest),
+own AS (
+  SELECT contest_id, decision_at, count(*) FILTER (counted) AS books, quantile_cont(q, 0.5) FILTER (counted) AS q,
+         stddev_pop(q) FILTER (counted) AS dispersion, max(q) FILTER (counted) - min(q) FILTER (counted) AS spread,
+         avg(over) FILTER (counted) AS mean_overround, max(age) FILTER (counted) AS age_minutes
+  FROM used GROUP BY contest_id, decision_at)
 SELECT contest_id, decision_at, CAST(books AS BIGINT) AS books,
        CASE WHEN books >= 3 THEN round(q, 6) END AS q, CASE WHEN books >= 3 THEN round(dispersion, 6) END AS dispersion,
        CASE WHEN books >= 3 THEN round(spread, 6) END AS spread,
        CASE WHEN books >= 3 THEN round(mean_overround, 6) END AS mean_overround,
        CASE WHEN books >= 3 THEN round(age_minutes, 6) END AS age_minutes,
-       CASE WHEN books < 3 THEN 'too few reference books' END AS abstain_reason FROM cons""")
+       CASE WHEN books < 3 THEN 'fewer than 3 reference books' END AS abstain_reason FROM own""")
 def consensus_reference(spark, sf_dir):
-    """Median consensus with spread, overround, age and abstention."""
-    ref = latest(spark, sf_dir).where(F.col("book").isin(*V.REFERENCE_BOOKS))
-    out = Q.consensus(ref, ["contest_id", "decision_at"], min_books=3)
+    """Median consensus over all books but the contest's execution book, with spread, overround, age and
+    abstention (D15)."""
+    own = F.element_at(F.array(*[F.lit(b) for b in sorted(V.REFERENCE_BOOKS + V.EXECUTION_BOOKS)]), (F.col("contest_id") % 5 + 1).cast("int"))
+    out = Q.consensus(latest(spark, sf_dir), ["contest_id", "decision_at"], min_books=3, execution_book=own)
     return out.select("contest_id", "decision_at", "books", *[r6(c) for c in (
         "q", "dispersion", "spread", "mean_overround", "age_minutes")], "abstain_reason")
 

@@ -11,12 +11,14 @@ Ties: with ``strict`` a fact at exactly the probe's time is invisible, otherwise
 Unknowns: a fact whose time or key is NULL is visible to nobody. A probe whose time or key is NULL sees
 nothing; such probes are dealt over many groups, so that they never gather in one task.
 
-The plan is the same at every size: the chunks are fixed stretches of time.
+The plan is the same at every size: the chunks are fixed stretches of time. Where an entity may burst (very many facts inside one
+chunk, or even at one instant), ``burst_cuts`` finds cuts by rank, and the operators take them as ``cuts``: the busy chunks
+then fall into pieces of about equal size, with carries between pieces as between chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,6 +28,12 @@ from knowntime.functions.times import DAY_US, as_micros
 CHUNK_DAYS = 366
 #: Probes that can see nothing are dealt over so many groups.
 COLD_GROUPS = 1024
+#: Room for the pieces of a chunk in its number.
+PIECES = 1 << 20
+#: Sampled facts per piece when cuts are looked for.
+SAMPLED = 64
+#: Before all times: what a chunk is carried from the ones before.
+AT_START = -(1 << 62)
 
 
 def _chunk(width: int | None) -> Column:
@@ -41,14 +49,48 @@ def _width(chunk_days: float | None) -> int | None:
     return int(chunk_days * DAY_US) if chunk_days else None
 
 
+def burst_cuts(facts: DataFrame, keys: Sequence[str], *, time: str, order: Sequence[str] = (), rows: int = 1_000_000,
+               chunk_days: float = CHUNK_DAYS) -> DataFrame:
+    """Cuts (struct of time and ``order``) of every chunk of an entity that holds more than ``rows`` facts.
+
+    Facts at one instant are cut by ``order``. Cuts are quantiles of a sample by hash, so pieces hold about ``rows`` facts; any cuts
+    give the same result. The table has one row per busy chunk, at most one for every ``rows`` facts: it is broadcast.
+    """
+    keys, known = list(keys), _dated(facts, keys, time)
+    ties = [f"_o{i}" for i in range(len(order))]
+    f = (known.select(*keys, as_micros(known, time).alias("_t"), *[F.col(c).alias(t) for c, t in zip(order, ties)])
+         .withColumn("_whole", _chunk(_width(chunk_days))))
+    busy = f.groupBy(*keys, "_whole").agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    place = F.struct("_t", *ties)
+    share = F.lit(float(1 << 30)) * SAMPLED / rows
+    sample = f.where(F.pmod(F.xxhash64("_t", *ties), F.lit(1 << 30)) < share) if ties else f.where(F.rand(7) < SAMPLED / rows)
+    found = (sample.join(F.broadcast(busy), [*keys, "_whole"])
+             .groupBy(*keys, "_whole").agg(F.sort_array(F.collect_list(place)).alias("_s"), F.ceil(F.max("_n") / rows).alias("_k")))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_k") - 1, F.lit(1)).cast("int")),
+                      lambda i: F.get("_s", F.floor(i * F.size("_s") / F.col("_k")).cast("int")))
+    return found.select(*keys, "_whole", F.array_distinct(cut).alias("_cuts"))
+
+
+def _cut(frame: DataFrame, keys: Sequence[str], width: int | None, cuts: DataFrame | None,
+         before: Callable[[Column], Column]) -> DataFrame:
+    """Add ``_chunk``: the stretch of time, and within it the number of cuts that lie ``before`` the row."""
+    if cuts is None or not width:
+        return frame.withColumn("_chunk", _chunk(width) * PIECES)
+    j = frame.withColumn("_whole", _chunk(width)).join(F.broadcast(cuts), [*keys, "_whole"], "left")
+    piece = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", before))).otherwise(0)
+    return j.withColumn("_chunk", F.col("_whole") * PIECES + piece).drop("_whole", "_cuts")
+
+
 def _stack_probes(probes: DataFrame, keys: Sequence[str], probe_time: str, strict: bool,
-                  width: int | None) -> DataFrame:
+                  width: int | None, cuts: DataFrame | None = None) -> DataFrame:
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_t"]])
     cold = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("_probe"), F.lit(COLD_GROUPS))
-    return (probes.select(*keys, as_micros(probes, probe_time).alias("_t"),
-                          F.lit(0 if strict else 1).alias("_kind"),
-                          F.struct(*probes.columns).alias("_probe"))
-            .withColumn("_chunk", F.when(known, _chunk(width)).otherwise(cold)))
+    # A probe stands in the last piece that can hold a fact it sees.
+    before = (lambda c: c["_t"] < F.col("_t")) if strict else (lambda c: c["_t"] <= F.col("_t"))
+    placed = _cut(probes.select(*keys, as_micros(probes, probe_time).alias("_t"),
+                                F.lit(0 if strict else 1).alias("_kind"),
+                                F.struct(*probes.columns).alias("_probe")), keys, width, cuts, before)
+    return placed.withColumn("_chunk", F.when(known, F.col("_chunk")).otherwise(cold))
 
 
 def _probe_chunks(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,7 +118,7 @@ def _fill_forward(stack: DataFrame, probes: DataFrame, keys: Sequence[str],
 
 def asof_last(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,
               probe_time: str, order: Sequence[str], values: Sequence[str], strict: bool = True,
-              chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
+              chunk_days: float | None = CHUNK_DAYS, cuts: DataFrame | None = None) -> DataFrame:
     """Attach ``values`` of the latest visible fact per probe; NULLs where there is none.
 
     ``order`` breaks ties between facts at the same time (the greatest wins).
@@ -86,17 +128,17 @@ def asof_last(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       F.lit(1 if strict else 0).alias("_kind"),
                       *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                      F.struct(*values).alias("_value"))
-         .withColumn("_chunk", _chunk(width)))
+                      F.struct(*values).alias("_value")))
     ties = [f"_o{i}" for i in range(len(order))]
-    p = _stack_probes(probes, keys, probe_time, strict, width)
+    f = _cut(f, keys, width, cuts, lambda c: c < F.struct("_t", *ties))
+    p = _stack_probes(probes, keys, probe_time, strict, width, cuts)
     stack = f
     if width:
         ends = f.groupBy(*keys, "_chunk").agg(
             F.max_by("_value", F.struct("_t", *ties)).alias("_last"))
         carry = _carry_last(ends, _probe_chunks(p, keys), keys, "_last")
         stack = f.unionByName(carry.select(
-            *keys, (F.col("_chunk") * F.lit(width)).alias("_t"), F.lit(-1).alias("_kind"),
+            *keys, F.lit(AT_START).alias("_t"), F.lit(-1).alias("_kind"),
             F.col("_carry").alias("_value"), "_chunk"), allowMissingColumns=True)
     stack = stack.unionByName(p, allowMissingColumns=True)
     return _fill_forward(stack, probes, keys, ties, values)
@@ -105,7 +147,7 @@ def asof_last(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_
 def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,
                  probe_time: str, order: Sequence[str], window: int,
                  aggs: Mapping[str, Column], measures: Sequence[str], strict: bool = True,
-                 chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
+                 chunk_days: float | None = CHUNK_DAYS, cuts: DataFrame | None = None) -> DataFrame:
     """Aggregate each entity's last ``window`` visible facts and attach them to its probes.
 
     ``aggs`` maps an output name to an aggregate over the fact columns in ``measures``.
@@ -113,10 +155,10 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
     width = _width(chunk_days)
     ties = [f"_o{i}" for i in range(len(order))]
     facts = _dated(facts, keys, fact_time)
-    f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
-                      *[F.col(c).alias(t) for c, t in zip(order, ties)], *measures)
-         .withColumn("_chunk", _chunk(width)))
-    p = _stack_probes(probes, keys, probe_time, strict, width)
+    f = facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
+                     *[F.col(c).alias(t) for c, t in zip(order, ties)], *measures)
+    f = _cut(f, keys, width, cuts, lambda c: c < F.struct("_t", *ties))
+    p = _stack_probes(probes, keys, probe_time, strict, width, cuts)
     full = f
     if width:
         newest = Window.partitionBy(*keys, "_chunk").orderBy(
@@ -149,9 +191,12 @@ def asof_rolling(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fa
 def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *, fact_time: str,
                     probe_time: str, sums: Mapping[str, Column] | None = None,
                     maxima: Mapping[str, Column] | None = None, strict: bool = True,
-                    chunk_days: float | None = CHUNK_DAYS) -> DataFrame:
+                    chunk_days: float | None = CHUNK_DAYS, cuts: DataFrame | None = None,
+                    order: Sequence[str] = ()) -> DataFrame:
     """Attach running totals (0 without facts) and running maxima (NULL) of all visible facts.
 
+    ``order`` matters only with ``cuts``: the columns by which these cut facts of one instant.
+
     A maximum may be a struct, which makes it "the greatest so far, with its attributes".
     """
     width = _width(chunk_days)
@@ -160,9 +205,11 @@ def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *,
     facts = _dated(facts, keys, fact_time)
     f = (facts.select(*keys, as_micros(facts, fact_time).alias("_t"),
                       F.lit(1 if strict else 0).alias("_kind"),
-                      *[e.alias(n) for n, e in exprs.items()])
-         .withColumn("_chunk", _chunk(width)))
-    p = _stack_probes(probes, keys, probe_time, strict, width)
+                      *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                      *[e.alias(n) for n, e in exprs.items()]))
+    ties = [f"_o{i}" for i in range(len(order))]
+    f = _cut(f, keys, width, cuts, lambda c: c < F.struct("_t", *ties)).drop(*ties)
+    p = _stack_probes(probes, keys, probe_time, strict, width, cuts)
     stack = f
     if width:
         ends = f.groupBy(*keys, "_chunk").agg(*[how[n](n).alias(n) for n in exprs])
@@ -172,7 +219,7 @@ def asof_cumulative(facts: DataFrame, probes: DataFrame, keys: Sequence[str], *,
             ends.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
         carry = (both.select(*keys, "_chunk", "_kind", *[how[n](n).over(w).alias(n) for n in exprs])
                  .where("_kind = 0")
-                 .select(*keys, (F.col("_chunk") * F.lit(width)).alias("_t"),
+                 .select(*keys, F.lit(AT_START).alias("_t"),
                          F.lit(-1).alias("_kind"), *exprs, "_chunk"))
         stack = f.unionByName(carry)
     stack = stack.unionByName(p, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from knowntime.functions.times import micros
-from knowntime.operators.asof import CHUNK_DAYS, asof_cumulative, asof_last, asof_nearest
+from knowntime.operators.asof import CHUNK_DAYS, asof_cumulative, asof_nearest
 
 
 def match_unique(events: DataFrame, games: DataFrame, keys: Sequence[str], *, tolerance_us: int,
@@ -23,16 +23,15 @@ def match_unique(events: DataFrame, games: DataFrame, keys: Sequence[str], *, to
     g = games.select(*keys, micros(game_time).alias("_gt"), F.col(game_id).alias("_gid"))
     one = F.lit(1)
     e = asof_cumulative(g, e, keys, fact_time="_gt", probe_time="_hi", sums={"_upto": one},
-                        strict=False, chunk_days=chunk_days)
+                        maxima={"_latest": F.struct("_gt", "_gid")}, strict=False, chunk_days=chunk_days)
     e = asof_cumulative(g, e, keys, fact_time="_gt", probe_time="_lo", sums={"_below": one},
                         strict=True, chunk_days=chunk_days)
     known = g.select(*keys).distinct().withColumn("_known", F.lit(True))
-    e = asof_last(g, e, keys, fact_time="_gt", probe_time="_hi", order=["_gid"], values=["_gid"],
-                  strict=False, chunk_days=chunk_days).join(known, list(keys), "left")
+    e = e.join(known, list(keys), "left")
     near = F.col("_upto") - F.col("_below")
     reason = (F.when(F.col("_known").isNull(), "no schedule match")
               .when(near != 1, F.concat(near.cast("string"), F.lit(" schedule candidates"))))
-    return e.select(*events.columns, F.when(near == 1, F.col("_gid")).alias(game_id),
+    return e.select(*events.columns, F.when(near == 1, F.col("_latest._gid")).alias(game_id),
                     reason.alias("reason"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from knowntime.functions.times import micros
-from knowntime.operators.asof import window_join
 
 QUOTE_FIELDS = ("quote_id", "quote_at", "available_at", "home_odds", "away_odds")
 
@@ -34,16 +38,73 @@ def latest_quotes(quotes: DataFrame, decisions: DataFrame, *, max_age_us: int,
     """Latest visible revision per decision and book (inclusive cutoff, bounded age).
 
     A quote counts when quoted and available at or before the cutoff and no older than
-    ``max_age_us``. The latest is by (available_at, quote_at, quote_id). Every quote meets only
-    the decisions within its age window, and partial maxima are taken before the shuffle.
+    ``max_age_us``. The latest is by (available_at, quote_at, quote_id). Quotes and decisions pass in
+    order of time, nothing is paired: a book keeps only the quotes that can still become the
+    latest once newer ones expire (``Standing``). A contest is cut into stretches of ``max_age_us``, to
+    which a quote belongs at most twice, so a busy one spreads over time. Rows without a key or time
+    see and show nothing.
     """
-    cut = micros(cutoff)
-    pairs = window_join(quotes, decisions, list(keys), fact_time="quote_at",
-                        low_us=cut - F.lit(max_age_us), high_us=cut, span_us=max_age_us)
-    seen = pairs.where(F.col("available_at") <= F.col(cutoff))
-    best = seen.groupBy(*decisions.columns, "book").agg(F.max_by(
-        F.struct(*fields), F.struct("available_at", "quote_at", "quote_id")).alias("_q"))
-    return best.select(*decisions.columns, "book", "_q.*")
+    keys = list(keys)
+    known = [F.col(c).isNotNull() for c in keys]
+    bucket = lambda c: F.floor(F.col(c) / F.lit(max_age_us)).cast("bigint")
+    q = (quotes.where(reduce(and_, [*known, F.col("quote_at").isNotNull(), F.col("available_at").isNotNull()]))
+         .select(*keys, F.greatest(micros("quote_at"), micros("available_at")).alias("_time"),
+                 (micros("quote_at") + F.lit(max_age_us)).alias("_until"), F.lit(0).alias("_kind"), "book",
+                 micros("available_at").alias("_known"), micros("quote_at").alias("_quoted"), F.col("quote_id").alias("_id"),
+                 F.struct(*fields).alias("_quote"))
+         .where("_time <= _until").withColumn("_stretch", F.explode(F.sequence(bucket("_time"), bucket("_until")))))
+    d = (decisions.where(reduce(and_, [*known, F.col(cutoff).isNotNull()]))
+         .select(*keys, micros(cutoff).alias("_time"), F.lit(1).alias("_kind"), F.struct(*decisions.columns).alias("_decision"))
+         .withColumn("_stretch", bucket("_time")))
+    group = [*keys, "_stretch"]
+    stack = q.unionByName(d, allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group, "_time", "_kind")
+    shape = StructType([stack.schema["_decision"], stack.schema["book"], stack.schema["_quote"]])
+
+    def sweep(batches):
+        now, books = None, {}
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            plain = {n: column[n].to_pylist() for n in (*group, "_kind", "_time", "_until", "book", "_known", "_quoted", "_id", "_quote")}
+            who, book, quote = [], [], []
+            for i, g in enumerate(zip(*[plain[n] for n in group])):
+                if g != now:
+                    now, books = g, {}
+                if plain["_kind"][i] == 0:
+                    rank = (plain["_known"][i], plain["_quoted"][i], plain["_id"][i] is not None, plain["_id"][i])
+                    books.setdefault(plain["book"][i], Standing()).add(rank, plain["_until"][i], plain["_quote"][i])
+                    continue
+                for name, standing in books.items():
+                    best = standing.latest(plain["_time"][i])
+                    if best is not None:
+                        who.append(i), book.append(name), quote.append(best)
+            yield pa.RecordBatch.from_arrays(
+                [column["_decision"].take(pa.array(who, pa.int64())), pa.array(book, column["book"].type),
+                 pa.array(quote, column["_quote"].type)], names=["_decision", "book", "_quote"])
+
+    got = stack.mapInArrow(sweep, shape)
+    return got.select("_decision.*", "book", "_quote.*")
+
+
+class Standing:
+    """One book's quotes that are or may become its latest: the higher a quote ranks, the earlier it expires."""
+
+    def __init__(self):
+        self.ranks, self.until, self.quotes = [], [], []
+
+    def add(self, rank: tuple, until: int, quote) -> None:
+        at = bisect_left(self.ranks, rank)
+        if at < len(self.ranks) and self.until[at] >= until:
+            return                                # one that ranks higher outlives it
+        low = at
+        while low and self.until[low - 1] <= until:
+            low -= 1                              # those that rank lower and expire no later
+        for kept, new in ((self.ranks, rank), (self.until, until), (self.quotes, quote)):
+            kept[low:at] = [new]
+
+    def latest(self, now: int):
+        while self.until and self.until[-1] < now:
+            self.ranks.pop(), self.until.pop(), self.quotes.pop()
+        return self.quotes[-1] if self.quotes else None
 
 
 def later_quotes(quotes: DataFrame, decisions: DataFrame, *, max_age_us: int, delay_minutes: int,
@@ -60,22 +121,28 @@ def later_quotes(quotes: DataFrame, decisions: DataFrame, *, max_age_us: int, de
 
 
 def consensus(latest: DataFrame, keys: Sequence[str], *, min_books: int,
-              cutoff: str = "decision_at") -> DataFrame:
+              cutoff: str = "decision_at", execution_book: Column | str | None = None) -> DataFrame:
     """Median fair probability over the reference books, with spread, age and abstention.
 
-    A group holds at most one row per book, so the exact median is taken per group.
+    The book a bet would be placed at (``execution_book``: a name, or a column of ``latest``) is no reference for
+    itself and is left out. A group holds at most one row per book, so the exact median is taken per group.
     """
-    q = latest.withColumn("_q", fair_home()).withColumn("_over", overround()).withColumn(
-        "_age", (micros(cutoff) - micros("quote_at")) / F.lit(60_000_000.0))
+    if execution_book is not None:
+        own = F.lit(execution_book) if isinstance(execution_book, str) else execution_book
+        counted = ~F.col("book").eqNullSafe(own)
+    else:
+        counted = F.lit(True)
+    q = latest.select("*", F.when(counted, fair_home()).alias("_q"), F.when(counted, overround()).alias("_over"), F.when(
+        counted, (micros(cutoff) - micros("quote_at")) / F.lit(60_000_000.0)).alias("_age"))
     out = q.groupBy(*keys).agg(
-        F.count("*").alias("books"), F.expr("percentile(_q, 0.5D)").alias("q"),
+        F.count("_q").alias("books"), F.expr("percentile(_q, 0.5D)").alias("q"),
         F.stddev_pop("_q").alias("dispersion"), (F.max("_q") - F.min("_q")).alias("spread"),
         F.avg("_over").alias("mean_overround"), F.max("_age").alias("age_minutes"))
     enough = F.col("books") >= min_books
     return out.select(*keys, "books", *[F.when(enough, F.col(c)).alias(c) for c in
                                         ("q", "dispersion", "spread", "mean_overround",
                                          "age_minutes")],
-                      F.when(~enough, "too few reference books").alias("abstain_reason"))
+                      F.when(~enough, f"fewer than {min_books} reference books").alias("abstain_reason"))
 
 
 def best_offers(latest: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from knowntime.operators.asof import (CHUNK_DAYS, asof_cumulative, asof_last, asof_rolling,
-                                      running_positions)
+from knowntime.functions.times import micros
+from knowntime.operators.asof import CHUNK_DAYS, asof_cumulative, asof_rolling, running_positions
 
 
 def weekly_primary(weekly: DataFrame) -> DataFrame:
@@ -39,22 +39,22 @@ def expected_starter(starts: DataFrame, probes: DataFrame, *, window: int = 8,
     grow, so "most used so far" is a running maximum of (count, earliest first start).
     """
     kw = {"fact_time": "available_at", "probe_time": "decision_at", "chunk_days": chunk_days}
-    p = asof_last(starts.withColumn("expected", F.col("starter")), probes, ["team"],
-                  order=["contest_id", "seq"], values=["expected"], **kw)
-    by_starter = starts.withColumn("expected", F.col("starter"))
-    p = asof_rolling(by_starter.where("epa IS NOT NULL"), p, ["expected"], order=["contest_id", "seq"],
-                     window=window, measures=["epa"], aggs={"mean_epa": F.avg("epa")}, **kw)
-    p = asof_cumulative(by_starter, p, ["expected"], sums={"starts": F.lit(1)}, **kw)
     used = running_positions(starts, ["team", "starter"], time="available_at",
                              order=["contest_id", "seq"], name="uses", chunk_days=chunk_days)
     first = starts.groupBy("team", "starter").agg(
         F.min(F.struct("available_at", "contest_id", "seq")).alias("_first"))
-    from knowntime.functions.times import micros
     ranked = used.join(first, ["team", "starter"])
     lead = F.struct(F.col("uses"), (-micros("_first.available_at")).alias("t"),
                     (-F.col("_first.contest_id")).alias("c"), (-F.col("_first.seq")).alias("s"),
                     F.col("starter"))
-    p = asof_cumulative(ranked, p, ["team"], maxima={"_lead": lead}, **kw)
+    latest = F.struct("available_at", "contest_id", "seq", "starter")
+    # The latest start and the most used starter are two running maxima of one pass over the team.
+    p = asof_cumulative(ranked, probes, ["team"], maxima={"_latest": latest, "_lead": lead}, **kw)
+    p = p.withColumn("expected", F.col("_latest.starter")).drop("_latest")
+    by_starter = starts.withColumn("expected", F.col("starter"))
+    p = asof_rolling(by_starter.where("epa IS NOT NULL"), p, ["expected"], order=["contest_id", "seq"],
+                     window=window, measures=["epa"], aggs={"mean_epa": F.avg("epa")}, **kw)
+    p = asof_cumulative(by_starter, p, ["expected"], sums={"starts": F.lit(1)}, **kw)
     known = F.col("expected").isNotNull() & F.col("mean_epa").isNotNull()
     return p.select(
         *probes.columns, F.when(known, F.col("mean_epa")).otherwise(0.0).alias("epa"),

@@ -117,3 +117,63 @@ def test_unknown_times_and_keys_see_and_show_nothing(spark, chunk):
     assert sorted((r.p, r.v) for r in last if r.p < 4) == [(1, None), (2, 7.0), (3, None)] and [r.v for r in last if r.p == 4] == [None, None]
     assert sorted((r.p, r.n or 0) for r in rolled) == [(1, 0), (2, 1), (3, 0), (4, 0), (4, 0)]
     assert sorted((r.p, r.n) for r in total) == [(1, 0), (2, 1), (3, 0), (4, 0), (4, 0)]
+
+
+def test_latest_quotes_by_plain_search(spark):
+    """Late, early-expiring and tied revisions; a quote may be the latest again once a newer one has expired."""
+    import random
+    from knowntime.operators import quotes as Q
+    r = random.Random(8)
+    hour = dt.timedelta(hours=1)
+    start = dt.datetime(2024, 3, 1)
+    rows = []
+    for i in range(600):
+        at = start + hour * r.randrange(400)
+        rows.append((i, r.choice(["a", "b", None]), r.choice("xyz"), at, at + hour * r.choice([0, 0, 1, 5, 30, -2]), float(i), 2.0))
+    rows += [(900, "a", "x", None, start, 1.0, 2.0), (901, "a", "x", start, None, 1.0, 2.0)]
+    cuts = [(c, start + hour * h) for c in "abc" for h in range(0, 420, 7)] + [(None, start), ("a", None)]
+    q = spark.createDataFrame(rows, "quote_id int, contest_id string, book string, quote_at timestamp_ntz, available_at timestamp_ntz, "
+                                    "home_odds double, away_odds double")
+    d = spark.createDataFrame(cuts, "contest_id string, decision_at timestamp_ntz")
+    got = {(x.contest_id, x.decision_at, x.book): x.quote_id for x in Q.latest_quotes(q, d, max_age_us=24 * 3_600_000_000).collect()}
+    want = {}
+    for c, cut in cuts:
+        for row in rows:
+            if c and cut and row[1] == c and row[3] and row[4] and max(row[3], row[4]) <= cut and cut - row[3] <= 24 * hour:
+                k = (c, cut, row[2])
+                if k not in want or (row[4], row[3], row[0]) > want[k][0]:
+                    want[k] = ((row[4], row[3], row[0]), row[0])
+    assert got == {k: v[1] for k, v in want.items()} and len(got) > 100
+
+
+def test_consensus_leaves_out_the_execution_book(spark):
+    from knowntime.operators import quotes as Q
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, b, t, t, o, 2.0, "d") for b, o in (("a", 1.5), ("b", 2.0), ("c", 3.0), ("d", 9.0))] + [(2, b, t, t, 2.0, 2.0, "d") for b in "ad"]
+    df = spark.createDataFrame(rows, "contest_id int, book string, decision_at timestamp_ntz, quote_at timestamp_ntz, home_odds double, away_odds double, own string")
+    for own in ("d", F.col("own")):
+        got = {x.contest_id: x for x in Q.consensus(df, ["contest_id"], min_books=3, execution_book=own).collect()}
+        assert got[1].books == 3 and got[1].q == 0.5 and got[1].abstain_reason is None
+        assert (got[2].books, got[2].q, got[2].abstain_reason) == (1, None, "fewer than 3 reference books")
+
+
+def test_a_burst_is_cut_by_rank(spark):
+    """One entity has a third of all facts in one day, many of them at one instant: pieces are even, results the same."""
+    rng = random.Random(11)
+    day = 86_400_000_000
+    facts = [("hot", 40 * day + (0 if rng.random() < 0.5 else rng.randrange(day)), i, float(rng.randrange(50))) for i in range(2000)]
+    facts += [(rng.choice(["a", "b", "c", "hot"]), rng.randrange(900) * day, 2000 + i, float(rng.randrange(50))) for i in range(4000)]
+    probes = [("hot", 40 * day + (rng.choice([0, 1, -1, rng.randrange(day)])), i) for i in range(60)]
+    probes += [(rng.choice(["a", "hot", None]), rng.randrange(950) * day, 60 + i) for i in range(60)]
+    fd = spark.createDataFrame(facts, "k string, ft long, fid long, v double")
+    pd_ = spark.createDataFrame(probes, "k string, pt long, pid long")
+    cuts = A.burst_cuts(fd, ["k"], time="ft", order=["fid"], rows=100)
+    placed = A._cut(fd.select("k", F.col("ft").alias("_t"), F.col("fid").alias("_o0")), ["k"], A._width(A.CHUNK_DAYS), cuts, lambda c: c < F.struct("_t", "_o0"))
+    sizes = [r["count"] for r in placed.groupBy("k", "_chunk").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 400
+    for strict in (True, False):
+        kw = {"fact_time": "ft", "probe_time": "pt", "strict": strict}
+        for op in (lambda c: A.asof_last(fd, pd_, ["k"], order=["fid"], values=["fid", "v"], cuts=c, **kw),
+                   lambda c: A.asof_rolling(fd, pd_, ["k"], order=["fid"], window=7, measures=["v"], aggs={"s": F.sum("v")}, cuts=c, **kw),
+                   lambda c: A.asof_cumulative(fd, pd_, ["k"], sums={"s": F.col("v")}, maxima={"m": F.col("fid")}, cuts=c, order=["fid"], **kw)):
+            assert sorted(map(str, op(cuts).collect())) == sorted(map(str, op(None).collect()))
