@@ -55,7 +55,7 @@ def stream_fresh_quotes(spark, sf_dir):
     P.write_in_order(d, ds, "decision_at", EVENT_EDGES)
     P.write_in_order(q, qs, "available_at", EVENT_EDGES)
     got = P.run_available(P.fresh_quotes(P.stream_files(spark, ds, d.schema), P.stream_files(spark, qs, q.schema),
-                                         max_age="6 hours", delay="8 days"), out, ck)
+                                         max_age="6 hours", delay="10 minutes"), out, ck)
     return got.select("contest_id", F.col("decision_at").cast("timestamp_ntz").alias("decision_at"), "book", "quote_id",
                       F.col("available_at").cast("timestamp_ntz").alias("available_at"))
 
@@ -71,8 +71,8 @@ def stream_ratings(spark, sf_dir):
     end = rows.select("league").distinct().select(
         "league", F.lit(-1).cast("bigint").alias("contest_id"), F.lit(0).cast("bigint").alias("home_id"), F.lit(1).cast("bigint").alias("away_id"),
         F.lit(0.5).alias("outcome"), F.lit(0).alias("neutral"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("available_at"))
-    append(end.coalesce(1), src)
-    got = P.run_available(R.rating_stream(P.stream_files(spark, src, rows.schema)), out, ck)
+    append(end, src)
+    got = P.run_available(R.rating_stream(P.stream_files(spark, src, rows.schema), stretch_days=28), out, ck, map_state=True)
     return got.select("league", "contest_id", r6("home_rating"), r6("away_rating"))
 
 
@@ -87,15 +87,24 @@ def stream_enrichment(spark, sf_dir):
     return P.run_available(P.enrich(P.stream_files(spark, src, q.schema), static, "contest_id"), out, ck).select("quote_id", "book", "name", "account")
 
 
-@query("stream_missed_alerts", "WITH " + V.CONTESTS + " SELECT contest_id, CAST(1 AS BIGINT) AS alerts FROM contests WHERE contest_id % 10 = 3")
+@query("stream_missed_alerts", "WITH " + V.CONTESTS + """
+SELECT contest_id, decision_at AS cutoff, CAST(1 AS BIGINT) AS alerts FROM contests WHERE contest_id % 10 IN (3, 4, 6)""")
 def stream_missed_alerts(spark, sf_dir):
-    """One alert per missed window over repeated polls."""
-    src, alerts, ck = P.fresh_paths(spark, "alerts", "in", "alerts", "checkpoint")
-    c = V.contests(spark, sf_dir).select("contest_id", "decision_at")
-    for _ in range(2):
-        append(c.coalesce(1), src)
-    P.alert_missed(P.stream_files(spark, src, c.schema), c.where("contest_id % 10 <> 3"), alerts, ck)
-    return spark.read.parquet(alerts).groupBy("contest_id").agg(F.count("*").alias("alerts"))
+    """One alert per contest whose window passed without a record (L6): cutoffs are announced on every poll; records are
+    missing, late, too early, or in time. Nothing is alerted for windows still open."""
+    cs, rs, out, ck = P.fresh_paths(spark, "alerts", "cutoffs", "records", "alerts", "checkpoint")
+    c = V.contests(spark, sf_dir).select("contest_id", F.col("decision_at").cast("timestamp").alias("cutoff"))
+    k = F.col("contest_id") % 10
+    minutes = F.when(k == 4, 1).when(k == 6, -8).otherwise(-2).cast("int")
+    r = c.where(k != 3).select("contest_id", (F.col("cutoff") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("recorded_at"))
+    open_ = c.limit(0).unionByName(spark.createDataFrame([(-1, "2150-01-01 00:00:00")], "contest_id bigint, cutoff string")
+                                   .withColumn("cutoff", F.col("cutoff").cast("timestamp")))
+    P.write_in_order(c.unionByName(c).unionByName(open_), cs, "cutoff", CONTEST_EDGES)
+    P.write_in_order(r, rs, "recorded_at", CONTEST_EDGES)
+    beat = spark.createDataFrame([(None, "2100-01-01 00:00:00")], "contest_id bigint, recorded_at string")
+    append(beat.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")), rs)
+    got = P.run_available(P.missed_windows(P.stream_files(spark, cs, c.schema), P.stream_files(spark, rs, r.schema)), out, ck)
+    return got.groupBy("contest_id", F.col("cutoff").cast("timestamp_ntz").alias("cutoff")).agg(F.count("*").alias("alerts"))
 
 
 @query("stream_new_files", "SELECT event_id AS row_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM events")

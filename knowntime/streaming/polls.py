@@ -10,31 +10,45 @@ from knowntime.sources.tables import append
 from knowntime.session import scratch_path
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, *, per_trigger: int = 1) -> DataFrame:
+#: Files that a slice of arriving data is written as, and read in one micro-batch.
+SLICE_FILES = 4
+
+
+def stream_files(spark: SparkSession, path: str, schema: T.StructType, *, per_trigger: int = SLICE_FILES) -> DataFrame:
     """New files of a folder, oldest first; the checkpoint remembers what was read."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 @contextmanager
-def state_partitions(spark: SparkSession, count: int | None = None):
-    """A new stream fixes its number of state partitions when it first starts: one per core by
-    default instead of the batch setting, which is restored afterwards."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(count or spark.sparkContext.defaultParallelism))
+def stream_settings(spark: SparkSession, count: int | None = None, *, map_state: bool = False):
+    """What a new stream fixes when it first starts, restored afterwards: its number of state partitions (one per core by default
+    instead of the batch setting), and with ``map_state`` the state store that timers and keyed states need."""
+    wanted = {"spark.sql.shuffle.partitions": str(count or spark.sparkContext.defaultParallelism)}
+    if map_state:
+        wanted["spark.sql.streaming.stateStore.providerClass"] = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
 
+def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append", map_state: bool = False,
+                  late: list[int] | None = None) -> DataFrame:
+    """Process everything that is there now into a parquet table, then stop; returns the table.
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> DataFrame:
-    """Process everything that is there now into a parquet table, then stop; returns the table."""
+    ``late``: a list to which the number of rows is added that came after the watermark had passed them.
+    """
     spark = stream.sparkSession
-    with state_partitions(spark):
+    with stream_settings(spark, map_state=map_state):
         q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         q.awaitTermination()
+    if late is not None:
+        late.append(sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]))
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -55,12 +69,23 @@ def refuse_late(issue_time: str = "issued_at", cutoff: str = "decision_at") -> C
     return F.col(issue_time) > F.col(cutoff)
 
 
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """A micro-batch's rows in a folder of its own: writing the batch again replaces them."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def late_writer(issued_path: str, late_path: str):
+    """Sink of two tables: forecasts in time go to one, late ones to the other, never both. A batch that is tried again,
+    wherever it had failed, leaves each row once."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.where(~refuse_late()), issued_path, batch_id)
+        write_batch(batch.where(refuse_late() | refuse_late().isNull()), late_path, batch_id)
+    return handle
+
+
 def split_late(forecasts: DataFrame, issued_path: str, late_path: str, checkpoint: str) -> None:
-    """Forecasts in time go to one table, late ones to another, never both."""
-    def handle(batch: DataFrame, _id: int) -> None:
-        append(batch.where(~refuse_late()), issued_path)
-        append(batch.where(refuse_late()), late_path)
-    run_batches(forecasts, handle, checkpoint)
+    """Run ``late_writer`` over a stream; a forecast without a time is not in time."""
+    run_batches(forecasts, late_writer(issued_path, late_path), checkpoint)
 
 
 def fresh_quotes(decisions: DataFrame, quotes: DataFrame, *, max_age: str = "10 minutes",
@@ -81,19 +106,24 @@ def enrich(stream: DataFrame, schedule: DataFrame, key: str) -> DataFrame:
     return stream.join(schedule, key)
 
 
-def alert_missed(cutoffs: DataFrame, recorded: DataFrame, alerts_path: str, checkpoint: str) -> None:
-    """One alert per contest whose window passed without a record, however often it is polled."""
-    spark = cutoffs.sparkSession
-    append(spark.createDataFrame([], cutoffs.select("contest_id").schema), alerts_path)
+def missed_windows(cutoffs: DataFrame, records: DataFrame, *, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """One alert per (contest_id, cutoff) whose window before the cutoff passed without a record.
 
-    def handle(batch: DataFrame, _id: int) -> None:
-        missed = batch.select("contest_id").distinct().join(recorded.select("contest_id"), "contest_id", "left_anti")
-        append(missed.join(spark.read.parquet(alerts_path), "contest_id", "left_anti"), alerts_path)
-    run_batches(cutoffs, handle, checkpoint)
+    Both are streams: cutoffs may be announced again and again, records are (contest_id, recorded_at). The outer join holds a cutoff until the watermark
+    is past it, so nothing is alerted early; announcements after that are late and dropped. Time goes on with
+    ``recorded_at``, also of heartbeats: rows without a contest.
+    """
+    # A key that is never null: an optimizer's filter on nulls would keep the heartbeats from the watermark.
+    key = F.coalesce(F.concat(F.lit("of "), F.col("contest_id").cast("string")), F.lit("heartbeat")).alias("key")
+    c = (cutoffs.where("contest_id IS NOT NULL").select("contest_id", "cutoff", key).withWatermark("cutoff", delay)
+         .dropDuplicates(["contest_id", "cutoff"]).alias("c"))
+    r = records.select(key, "recorded_at").withWatermark("recorded_at", delay).alias("r")
+    on = F.expr(f"c.key = r.key AND r.recorded_at <= c.cutoff AND r.recorded_at >= c.cutoff - INTERVAL {window}")
+    return c.join(r, on, "left_outer").where("r.key IS NULL").select("c.contest_id", "c.cutoff")
 
 
-def write_in_order(frame: DataFrame, path: str, time: str, edges) -> None:
-    """Write a table as files that follow one another in time (stand-in for arriving data)."""
+def write_in_order(frame: DataFrame, path: str, time: str, edges, *, files: int = SLICE_FILES) -> None:
+    """Write a table as slices that follow one another in time, each of ``files`` files (stand-in for arriving data)."""
     bounds = [None, *edges, None]
     for low, high in zip(bounds, bounds[1:]):
         part = frame
@@ -101,7 +131,7 @@ def write_in_order(frame: DataFrame, path: str, time: str, edges) -> None:
             part = part.where(F.col(time) >= F.lit(low).cast(frame.schema[time].dataType))
         if high:
             part = part.where(F.col(time) < F.lit(high).cast(frame.schema[time].dataType))
-        append(part.coalesce(1), path)
+        append(part.repartition(files), path)
 
 
 def fresh_paths(spark: SparkSession, name: str, *parts: str) -> list[str]:

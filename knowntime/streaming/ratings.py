@@ -1,12 +1,16 @@
 """Incremental ratings: the batch fold as a stateful stream.
 
-State per pool: one rating per competitor and the results whose availability the watermark
-has not passed. A result is applied only then, in (available_at, id) order, so arrival order
-within the watermark delay does not matter and the outcome equals the batch fold.
+State per pool: one rating per competitor, and the results whose availability the watermark has not passed, by stretch of time. A
+stretch has a timer; when the watermark is past its end, its results are applied in (available_at, id) order and dropped. So arrival
+order within the watermark delay does not matter, the outcome equals the batch fold, and a call touches one stretch only.
+
+A result that is delivered again counts once: while it waits it is known by its id, and once it is applied the watermark is past it, so
+it is dropped as late. Late rows are counted by the stream (``polls.run_available``).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,54 +26,52 @@ FIELDS = [f.split()[0] for f in PENDING.split(", ")]
 
 
 class RatingProcessor(StatefulProcessor):
-    def __init__(self, k: float = 20.0, scale: float = 400.0, advantage: float = 65.0):
-        self.k, self.scale, self.advantage = k, scale, advantage
+    def __init__(self, k: float = 20.0, scale: float = 400.0, advantage: float = 65.0, stretch_ms: int = 7 * 86_400_000):
+        self.k, self.scale, self.advantage, self.stretch = k, scale, advantage, stretch_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ratings = handle.getMapState("ratings", "team bigint", "rating double")
-        self.pending = handle.getListState("pending", PENDING)
+        self.ratings = handle.getValueState("ratings", "held binary")
+        self.pending = handle.getMapState("pending", "stretch bigint", "held binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[FIELDS].itertuples(index=False)]
-        yield from self._advance(key, new, timerValues)
+        for pdf in rows:
+            stretches = pdf["available_us"] // (self.stretch * 1000)
+            for stretch, part in pdf.groupby(stretches):
+                stretch = int(stretch)
+                held = pickle.loads(self.pending.getValue((stretch,))[0]) if self.pending.containsKey((stretch,)) else {}
+                if not held:
+                    self.handle.registerTimer((stretch + 1) * self.stretch)
+                for r in part[FIELDS].itertuples(index=False):
+                    held[r.contest_id] = min(held.get(r.contest_id, tuple(r)), tuple(r))
+                self.pending.updateValue((stretch,), (pickle.dumps(held),))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues)
-
-    def _advance(self, key, new, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.pending.get()] + new
-        due = sorted(r for r in held if r[0] < mark)
-        wait = [r for r in held if r[0] >= mark]
-        self.pending.put([tuple(x) for x in wait]) if wait else self.pending.clear()
-        if wait:
-            self.handle.registerTimer(min(r[0] for r in wait) // 1000 + 1)
-        if not due:
+        stretch = expiredTimerInfo.getExpiryTimeInMs() // self.stretch - 1
+        if not self.pending.containsKey((stretch,)):
             return
-        # One read and one write of the pool's ratings per call, not one per result.
-        now = {k[0]: v[0] for k, v in self.ratings.iterator()}
-        changed, out = set(), []
+        due = sorted(pickle.loads(self.pending.getValue((stretch,))[0]).values())
+        self.pending.removeKey((stretch,))
+        now = pickle.loads(self.ratings.get()[0]) if self.ratings.exists() else {}
+        out = []
         for t, cid, home, away, outcome, neutral in due:
             a, b = now.get(home, INITIAL), now.get(away, INITIAL)
             chance = 1.0 / (1.0 + 10.0 ** (-(a - b + self.advantage * (1 - neutral)) / self.scale))
             move = self.k * (outcome - chance)
             now[home], now[away] = a + move, b - move
-            changed.update((home, away))
             out.append((key[0], cid, t, home, away, a + move, b - move))
-        for team in changed:
-            self.ratings.updateValue((team,), (now[team],))
+        self.ratings.update((pickle.dumps(now),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def rating_stream(results: DataFrame, *, delay: str = "1 day", advantage: float = 65.0) -> DataFrame:
-    """Ratings after each result; ``available_at`` is the event time (a TIMESTAMP)."""
-    spark = results.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = results.withWatermark("available_at", delay).withColumn("available_us", F.unix_micros("available_at"))
+def rating_stream(results: DataFrame, *, delay: str = "1 day", advantage: float = 65.0, stretch_days: int = 7) -> DataFrame:
+    """Ratings after each result; ``available_at`` is the event time (a TIMESTAMP). Results are applied once the watermark is past their stretch of
+    ``stretch_days``. To be run with ``map_state``. Results without an id or time are left out."""
+    rows = (results.where("contest_id IS NOT NULL AND available_at IS NOT NULL").withWatermark("available_at", delay)
+            .withColumn("available_us", F.unix_micros("available_at")))
     return rows.groupBy("league").transformWithStateInPandas(
-        RatingProcessor(advantage=advantage), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+        RatingProcessor(advantage=advantage, stretch_ms=stretch_days * 86_400_000), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
