@@ -66,12 +66,14 @@ def column_pruned_scan(spark, sf_dir):
 
 
 @query("snapshot_name_check", """
-SELECT c_custkey AS game_id, sha256(CAST(c_custkey AS VARCHAR)) = sha256(CAST(CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 1 ELSE c_custkey END AS VARCHAR)) AS name_ok FROM customer""")
+SELECT s_suppkey AS game_id, s_nationkey AS home_id, s_suppkey % 9 <> 0 AS name_ok FROM supplier""")
 def snapshot_name_check(spark, sf_dir):
-    """Snapshots filed under another game's hash are set apart."""
-    c, k = V.table(spark, sf_dir, "customer"), F.col("c_custkey")
-    snaps = c.select(k.alias("game_id"), F.sha2(F.when(k % 97 == 0, k + 1).otherwise(k).cast("string"), 256).alias("file_stem"))
-    return S.check_snapshot_names(snaps).select("game_id", "name_ok")
+    """A folder of snapshot files is written and scanned; those filed under another game's hash are set apart."""
+    path = scratch_path(spark, "snapshots")
+    s, k = V.table(spark, sf_dir, "supplier"), F.col("game_id")
+    snaps = s.select(F.col("s_suppkey").alias("game_id"), F.col("s_nationkey").alias("home_id"))
+    S.write_snapshots(snaps, path, stem=F.sha2(F.when(k % 9 == 0, k + 1000000000).otherwise(k).cast("string"), 256))
+    return S.check_snapshot_names(S.read_snapshots(spark, path, snaps.schema)).select("game_id", "home_id", "name_ok")
 
 
 @query("write_once_sink", "WITH " + TEXT_GAMES + " SELECT CAST(count(*) AS BIGINT) AS n, true AS second_refused FROM tg")
@@ -196,6 +198,38 @@ def multi_season_union(spark, sf_dir):
     return S.union_seasons(parts).where("season_type = 'O'").select("season", "player_id", "attempts", "extra")
 
 
+@query("resumable_ingest", """
+WITH s AS (SELECT o_orderkey AS source_id, o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS run FROM orders)
+SELECT source_id, CAST(CASE WHEN source_id % 29 = 0 OR source_id % 31 = 0 THEN 0 ELSE 2 END AS INTEGER) AS n_rows,
+       CASE WHEN source_id % 29 = 0 THEN 'unreadable' WHEN source_id % 31 = 0 THEN 'no rows' END AS reason, run,
+       CASE WHEN source_id % 29 = 0 OR source_id % 31 = 0 THEN NULL ELSE o_custkey END AS player,
+       CAST(0 AS INTEGER) AS taken_again, true AS drift_refused FROM s""")
+def resumable_ingest(spark, sf_dir):
+    """Two runs over growing sources, a third that adds nothing, and one refused because a source changed; bad sources are set
+    aside with their reason (A18)."""
+    o, k = V.table(spark, sf_dir, "orders"), F.col("source_id")
+    body = F.when(k % 29 == 0, "{broken").when(k % 31 == 0, '{"rows": []}').otherwise(
+        F.to_json(F.struct(F.array(*[F.struct(F.col("o_custkey").alias("player"), F.lit(n).alias("no")) for n in (1, 2)]).alias("rows"))))
+    src = o.withColumn("source_id", F.col("o_orderkey")).select("source_id", body.alias("body")).withColumn("digest", F.sha2("body", 256))
+
+    def parse(sources):
+        read = F.from_json("body", "rows array<struct<player: bigint, no: int>>")["rows"]
+        return sources.select("source_id", read.alias("parsed")).withColumn("reason", F.when(F.col("parsed").isNull(), "unreadable"))
+
+    journal = S.Journal(spark, scratch_path(spark, "ingest"), "source_id", "1")
+    journal.ingest(src.where(k % 3 != 0), "digest", parse)
+    journal.ingest(src, "digest", parse)
+    again = journal.ingest(src, "digest", parse)
+    try:
+        journal.ingest(src.withColumn("digest", F.when(k % 50 == 0, "other").otherwise(F.col("digest"))), "digest", parse)
+        refused = False
+    except ValueError:
+        refused = True
+    player = journal.rows().groupBy("source_id").agg(F.max("player").alias("player"))
+    return journal.sources().join(player, "source_id", "left").select(
+        "source_id", "n_rows", "reason", "run", "player", F.lit(again).alias("taken_again"), F.lit(refused).alias("drift_refused"))
+
+
 @query("table_fingerprint", "WITH " + V.CONTESTS + """, d AS (SELECT ('0x' || substr(md5(concat_ws('|', contest_id, home_id, away_id, home_score, away_score)), 1, 8))::UBIGINT::BIGINT AS d FROM contests)
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(d) AS BIGINT) AS digest_sum, bit_xor(d) AS digest_xor FROM d""")
 def table_fingerprint(spark, sf_dir):

@@ -154,3 +154,51 @@ def test_malformed_payloads(spark):
     mapping = spark.createDataFrame([("e", 7, "A", "B")], "event_id string, contest_id int, home_name string, away_name string")
     quotes = payload.archived_quotes(payload.parse_body(raw), mapping, "c").collect()
     assert [(q["contest_id"], q["home_odds"], q["away_odds"]) for q in quotes] == [(7, 1.7, 2.5)]
+
+
+def test_one_of_many_writers_gets_the_claim(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: S.claim(spark, f"{root}/claim", str(i)), range(8)))
+    assert sum(got) == 1 and not S.claim(spark, f"{root}/claim")
+    with S.only_writer(spark, f"{root}/t"):
+        with pytest.raises(RuntimeError):
+            S.insert_only(spark, spark.createDataFrame([(1,)], "k int"), f"{root}/t", ["k"])
+    S.insert_only(spark, spark.createDataFrame([(1,)], "k int"), f"{root}/t", ["k"])           # the table is made
+    S.insert_only(spark, spark.createDataFrame([(1,), (2,)], "k int"), f"{root}/t", ["k"])
+    assert sorted(r.k for r in spark.read.parquet(f"{root}/t").collect()) == [1, 2]
+
+
+def test_ingest_resumes_sets_bad_sources_aside_and_refuses_drift(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/in"
+    schema = "source string, digest string, body string"
+    one = [("a", "1", "x y"), ("b", "1", ""), ("c", "1", "!")]
+    calls = []
+
+    def parse(df):
+        calls.append(df.count())
+        return df.select("source", F.transform(F.filter(F.split("body", " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"))).alias("parsed"),
+                         F.when(F.col("body") == "!", "bad mark").alias("reason"))
+
+    j = S.Journal(spark, root, "source", "v1")
+    assert j.ingest(spark.createDataFrame(one, schema), "digest", parse) == 3
+    assert {(r.source, r.n_rows, r.reason) for r in j.sources().collect()} == {("a", 2, None), ("b", 0, "no rows"), ("c", 0, "bad mark")}
+    more = spark.createDataFrame([*one, ("d", "1", "z")], schema)
+    assert j.ingest(more, "digest", parse) == 1 and j.ingest(more, "digest", parse) == 0 and calls == [3, 1, 0]
+    assert sorted((r.source, r.word, r.run) for r in j.rows().collect()) == [("a", "x", 1), ("a", "y", 1), ("d", "z", 2)]
+    with pytest.raises(ValueError, match="changed sources: 1"):
+        j.ingest(spark.createDataFrame([("a", "2", "x")], schema), "digest", parse)
+    with pytest.raises(ValueError, match="parser changed: True"):
+        S.Journal(spark, root, "source", "v2").ingest(more, "digest", parse)
+    more.limit(1).write.parquet(f"{root}/rows/run=9")                                           # a run that died before its journal
+    assert j.rows().count() == 3
+
+
+def test_snapshot_folder_is_scanned_with_its_names(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/snaps"
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "game_id int, v string")
+    S.write_snapshots(df.where("game_id < 3"), root)
+    S.write_snapshots(df.where("game_id = 3"), root, stem=F.lit("elsewhere"))
+    got = {(r.game_id, r.v, r.name_ok) for r in S.check_snapshot_names(S.read_snapshots(spark, root, df.schema)).collect()}
+    assert got == {(1, "x", True), (2, "y", True), (3, "z", False)}
