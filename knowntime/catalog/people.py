@@ -13,7 +13,8 @@ from knowntime.operators import availability as A, starter as P
 from knowntime.operators.form import home_minus_away
 from knowntime.sources import report_text as R
 
-KEYS = ["team_id", "game_day"]
+# A report belongs to one game: the team may play another on the same day.
+KEYS = ["team_id", "game_day", "home_id", "away_id"]
 # The stand-in files reports on the game's own day, so "stale" is hours here (48 by default).
 STALE_HOURS = 4
 
@@ -28,7 +29,7 @@ def game_sides(spark, sf_dir):
     side = F.array(F.struct(F.lit("home").alias("side"), F.col("home_id").alias("team_id")),
                    F.struct(F.lit("away").alias("side"), F.col("away_id").alias("team_id")))
     return (g.withColumn("game_day", utc_to_local("scheduled_at").cast("date"))
-            .withColumn("_s", F.explode(side)).select("game_id", "decision_at", "game_day", "_s.*"))
+            .withColumn("_s", F.explode(side)).select("game_id", "decision_at", "game_day", "home_id", "away_id", "_s.*"))
 
 
 def states(spark, sf_dir):
@@ -38,18 +39,18 @@ def states(spark, sf_dir):
 
 # January and February only, so Eastern time is UTC - 5 in the checking SQL.
 STATES_SQL = V.REPORTS + ", " + V.REPORT_GAMES + """, rep AS (SELECT *, CAST(report_at - INTERVAL 5 HOUR AS DATE) AS game_day FROM reports),
-gs AS (SELECT game_id, decision_at, CAST(scheduled_at - INTERVAL 5 HOUR AS DATE) AS game_day, 'home' AS side, home_id AS team_id FROM report_games
-       UNION ALL SELECT game_id, decision_at, CAST(scheduled_at - INTERVAL 5 HOUR AS DATE), 'away', away_id FROM report_games),
-pick AS (SELECT g.*, (SELECT max(r.report_at) FROM rep r WHERE r.team_id = g.team_id AND r.game_day = g.game_day AND r.report_at < g.decision_at) AS snapshot_at FROM gs g),
-per AS (SELECT team_id, game_day, report_at, count(DISTINCT source) AS files, count(player_id) > count(DISTINCT player_id) AS dup,
+gs AS (SELECT game_id, decision_at, CAST(scheduled_at - INTERVAL 5 HOUR AS DATE) AS game_day, home_id, away_id, 'home' AS side, home_id AS team_id FROM report_games
+       UNION ALL SELECT game_id, decision_at, CAST(scheduled_at - INTERVAL 5 HOUR AS DATE), home_id, away_id, 'away', away_id FROM report_games),
+pick AS (SELECT g.*, (SELECT max(r.report_at) FROM rep r WHERE r.team_id = g.team_id AND r.game_day = g.game_day AND r.home_id = g.home_id AND r.away_id = g.away_id AND r.report_at < g.decision_at) AS snapshot_at FROM gs g),
+per AS (SELECT team_id, game_day, home_id, away_id, report_at, count(DISTINCT source) AS files, count(player_id) > count(DISTINCT player_id) AS dup,
         count(*) FILTER (status = 'NotSubmitted') > 0 AS ns, count(*) FILTER (status = 'Out') AS o, count(*) FILTER (status = 'Doubtful') AS d,
         count(*) FILTER (status = 'Questionable') AS q, count(*) FILTER (status = 'Probable') AS p, count(*) FILTER (status = 'Available') AS a
         FROM rep GROUP BY ALL),
 st AS (SELECT k.*, x.o, x.d, x.q, x.p, x.a, (epoch_us(k.decision_at) - epoch_us(k.snapshot_at)) / 3600000000.0::DOUBLE AS age_hours,
        CASE WHEN k.snapshot_at IS NULL THEN 'missing' WHEN x.files > 1 OR x.dup THEN 'invalid'
             WHEN (epoch_us(k.decision_at) - epoch_us(k.snapshot_at)) > 4 * 3600000000 THEN 'stale' WHEN x.ns THEN 'not_submitted' ELSE 'usable' END AS state
-       FROM pick k LEFT JOIN per x ON x.team_id = k.team_id AND x.game_day = k.game_day AND x.report_at = k.snapshot_at),
-cnt AS (SELECT game_id, decision_at, game_day, side, team_id, snapshot_at, age_hours, state,
+       FROM pick k LEFT JOIN per x ON x.team_id = k.team_id AND x.game_day = k.game_day AND x.home_id = k.home_id AND x.away_id = k.away_id AND x.report_at = k.snapshot_at),
+cnt AS (SELECT game_id, decision_at, game_day, home_id, away_id, side, team_id, snapshot_at, age_hours, state,
         CAST(CASE WHEN state = 'usable' THEN o ELSE 0 END AS BIGINT) AS "out", CAST(CASE WHEN state = 'usable' THEN d ELSE 0 END AS BIGINT) AS doubtful,
         CAST(CASE WHEN state = 'usable' THEN q ELSE 0 END AS BIGINT) AS questionable, CAST(CASE WHEN state = 'usable' THEN p ELSE 0 END AS BIGINT) AS probable,
         CAST(CASE WHEN state = 'usable' THEN a ELSE 0 END AS BIGINT) AS available, CAST(state = 'not_submitted' AS BIGINT) AS notsubmitted FROM st)"""
@@ -103,7 +104,7 @@ def listed_with_prior(spark, sf_dir):
 
 
 IMPACT_SQL = "WITH " + LOGS_SQL + ", " + STATES_SQL + """, listed AS (
-  SELECT c.game_id, c.side, c.team_id, r.player_id, r.status, c.decision_at, r.row_id FROM cnt c JOIN rep r ON r.team_id = c.team_id AND r.game_day = c.game_day
+  SELECT c.game_id, c.side, c.team_id, r.player_id, r.status, c.decision_at, r.row_id FROM cnt c JOIN rep r ON r.team_id = c.team_id AND r.game_day = c.game_day AND r.home_id = c.home_id AND r.away_id = c.away_id
          AND r.report_at = c.snapshot_at WHERE c.state = 'usable' AND r.status IN ('Out', 'Doubtful', 'Questionable', 'Probable') AND r.player_id IS NOT NULL),
 need AS (SELECT DISTINCT team_id, player_id, decision_at FROM listed),
 prior AS (SELECT team_id, player_id, decision_at, avg(minutes) AS m, avg(points) AS pts FROM (

@@ -10,7 +10,7 @@ from knowntime.catalog.market import LATEST_SQL, market_rows
 from knowntime.catalog.registry import query
 from knowntime.functions.prob import log_loss
 from knowntime.functions.times import epoch_block, micros
-from knowntime.operators import bootstrap as B, metrics as M, policy as P
+from knowntime.operators import bootstrap as B, gates as Gate, metrics as M, policy as P
 
 LL = "-(y * ln({p}) + (1 - y) * ln(1 - {p}))"
 LONG = V.PREDICTIONS + """, lf AS (SELECT contest_id, league, season, neutral, decision_at, y, is_tie, 'model' AS model, p_model AS p FROM predictions
@@ -197,37 +197,6 @@ def delay_sensitivity(spark, sf_dir):
         "hours", r6("log_loss_change", F.col("_l")), r6("mean_abs_change", F.col("_m")))
 
 
-@query("forecast_gate", "WITH " + V.PREDICTIONS + f", x AS (SELECT league, CAST(floor(epoch_us(decision_at) / (7 * 86400000000)) AS BIGINT) AS block, {LL.format(p='p_base')} - {LL.format(p='p_model')} AS v FROM predictions),"
-       + " b AS (SELECT league, avg(" + LL.format(p="p_base") + ") AS base FROM predictions GROUP BY league)" + BOOT.format(reps=1000, least=10, **BY_LEAGUE).replace(
-           "SELECT t.league, CAST(blocks AS BIGINT) AS blocks, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high FROM tot t LEFT JOIN ci ON ci.league = t.league",
-           "SELECT t.league, round(difference / base, 6) AS relative_improvement, difference / base >= 0.0025 AND low IS NOT NULL AND low > 0 AS passes FROM tot t LEFT JOIN ci ON ci.league = t.league JOIN b ON b.league = t.league"))
-def forecast_gate(spark, sf_dir):
-    """Relative improvement and interval gate."""
-    p = V.predictions(spark, sf_dir).withColumn("block", epoch_block("decision_at", 7))
-    sums = B.block_sums(p, ["league"], M.paired_difference("y", "p_base", "p_model", 1e-9))
-    ci = B.bootstrap_interval(sums, ["league"], reps=1000, min_blocks=10)
-    base = p.groupBy("league").agg(F.avg(log_loss("y", "p_base")).alias("base"))
-    rel = F.col("difference") / F.col("base")
-    return ci.join(base, "league").select("league", r6("relative_improvement", rel), ((rel >= 0.0025) & F.coalesce(F.col("low") > 0, F.lit(False))).alias("passes"))
-
-
-@query("advancement_rule", "WITH " + LONG + THREE + """, f AS (
-  SELECT season, model, avg(""" + LL.format(p="p") + """) FILTER (is_tie = 0) AS dl FROM c WHERE season IN (1998, 1999, 2000) GROUP BY ALL),
-w AS (SELECT bool_and(m.dl < b.dl) AS all_folds_better FROM f m JOIN f b ON b.season = m.season AND b.model = 'base' WHERE m.model = 'model'),
-p AS (SELECT avg(-ln(chosen)) FILTER (model = 'model') <= avg(-ln(chosen)) FILTER (model = 'base') AS three_way_not_worse FROM c WHERE season IN (1998, 1999, 2000))
-SELECT all_folds_better, three_way_not_worse, all_folds_better AND three_way_not_worse AS criteria_met FROM w, p""")
-def advancement_rule(spark, sf_dir):
-    """All folds better and the three-way loss not worse."""
-    f = with_tie(spark, sf_dir).where("season IN (1998, 1999, 2000)")
-    per = M.three_way_score(f, ["season", "model"])
-    pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    total = lambda m: F.sum(F.when(F.col("model") == m, F.col("three_way_log_loss") * F.col("games")))
-    folds = per.groupBy("season").agg((pick("model", "decided_log_loss") < pick("base", "decided_log_loss")).alias("better"),
-                                      total("model").alias("tm"), total("base").alias("tb"))
-    out = folds.agg(F.bool_and("better").alias("all_folds_better"), (F.sum("tm") <= F.sum("tb")).alias("three_way_not_worse"))
-    return out.withColumn("criteria_met", F.col("all_folds_better") & F.col("three_way_not_worse"))
-
-
 CAND = """, sd AS (SELECT *, greatest(0.0::DOUBLE, p_model - 0.02::DOUBLE) AS rh, greatest(0.0::DOUBLE, 1 - p_model - 0.02::DOUBLE) AS ra FROM {src}),
 ev AS (SELECT *, rh * home_odds - 1 - 0.005::DOUBLE AS eh, ra * away_odds - 1 - 0.005::DOUBLE AS ea FROM sd),
 ch AS (SELECT *, CASE WHEN ea > eh THEN 'away' ELSE 'home' END AS side, greatest(eh, ea) AS ev, CASE WHEN ea > eh THEN away_odds ELSE home_odds END AS odds,
@@ -238,6 +207,79 @@ cand AS (SELECT *, CASE WHEN risk > 0 THEN (1 + 0.005::DOUBLE + 0.02::DOUBLE) /
 bet AS (SELECT * FROM cand WHERE ev >= 0.02 AND kelly > 0)"""
 
 
+BOOT_BODY = BOOT[:BOOT.index("\nSELECT")]
+PREDICTED = V.PREDICTIONS[len(V.CONTESTS):]
+# The least relative improvement, and the block length in days of both gates.
+GATE_GAIN, GATE_DAYS = 0.0025, 7
+SYNTHETIC = "5-LOW"
+
+GATE_SQL = "WITH " + V.BETS + PREDICTED + CAND.format(src="bets") + f""",
+pairs AS (SELECT league, CAST(floor(epoch_us(decision_at) / ({GATE_DAYS} * 86400000000)) AS BIGINT) AS block, y, p_base, p_model FROM predictions),
+gain AS (WITH x AS (SELECT league, block, {LL.format(p='p_base')} - {LL.format(p='p_model')} AS v FROM pairs)"""
+GATE_SQL += BOOT_BODY.format(reps=1000, least=10, **BY_LEAGUE) + """
+  SELECT t.league, difference, low FROM tot t LEFT JOIN ci USING (league)),
+returns AS (WITH x AS (SELECT c.league, CAST(floor(epoch_us(b.decision_at) / (7 * 86400000000)) AS BIGINT) AS block, b.odds * b.won - 1 - 0.005::DOUBLE AS v
+                       FROM bet b JOIN contests c USING (contest_id))"""
+GATE_SQL += BOOT_BODY.format(reps=1000, least=10, **BY_LEAGUE) + f"""
+  SELECT t.league, difference AS mean_yield, low AS yield_low FROM tot t LEFT JOIN ci USING (league)),
+base AS (SELECT league, avg({LL.format(p='p_base')}) AS base FROM predictions GROUP BY league)
+SELECT g.league, CASE WHEN g.league = '{SYNTHETIC}' THEN 'synthetic' ELSE 'observed' END AS mode, round(difference / base, 6) AS relative_improvement,
+       g.league <> '{SYNTHETIC}' AND difference / base >= {GATE_GAIN} AND low IS NOT NULL AND low > 0 AS passes,
+       round(mean_yield, 6) AS mean_yield, g.league <> '{SYNTHETIC}' AND yield_low IS NOT NULL AND yield_low > 0 AS economic_evidence
+FROM gain g JOIN base USING (league) LEFT JOIN returns USING (league)"""
+
+
+@query("forecast_gate", GATE_SQL)
+def forecast_gate(spark, sf_dir):
+    """Forecast gate and economic gate (E15): improvement, its interval, and the yield interval of the bets made; what is made
+    up passes neither."""
+    league = V.contests(spark, sf_dir).select("contest_id", "league")
+    bets = candidates(V.bets(spark, sf_dir)).where("choice.qualifies").join(league, "contest_id").select(
+        "league", "decision_at", (F.col("choice.odds") * F.col("won") - 1 - 0.005).alias("return_per_stake"))
+    mode = F.when(F.col("league") == SYNTHETIC, "synthetic").otherwise("observed")
+    out = Gate.forecast_gates(V.predictions(spark, sf_dir), bets, ["league"], mode, least_gain=GATE_GAIN, block_days=GATE_DAYS)
+    return out.select("league", "mode", r6("relative_improvement"), "passes", r6("mean_yield"), "economic_evidence")
+
+
+RATE = """, rt AS (SELECT season, sum(sum(y)) OVER before / sum(count(*)) OVER before AS rate FROM predictions WHERE is_tie = 0 GROUP BY season
+  WINDOW before AS (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lf AS (SELECT contest_id, season, decision_at, y, is_tie, 'model' AS model, p_model AS p FROM predictions UNION ALL
+       SELECT contest_id, season, decision_at, y, is_tie, 'base', p_base FROM predictions UNION ALL
+       SELECT contest_id, season, decision_at, y, is_tie, 'rate', rate FROM predictions JOIN rt USING (season))"""
+BY_BASELINE = dict(keys="baseline,", part="PARTITION BY baseline", group="GROUP BY baseline", dkeys="d.baseline,", joink="AND ix.baseline = d.baseline")
+
+
+def _advancement_sql(model: str) -> str:
+    return "WITH " + V.PREDICTIONS + RATE + THREE + f""", s AS (SELECT * REPLACE (CASE model WHEN 'model' THEN '{model}' WHEN '{model}' THEN 'model' ELSE model END AS model) FROM c WHERE season IN (1998, 1999, 2000)),
+f AS (SELECT season, model, avg({LL.format(p='p')}) FILTER (is_tie = 0) AS dl FROM s GROUP BY ALL),
+pooled AS (SELECT model, avg({LL.format(p='p')}) FILTER (is_tie = 0) AS dl, avg(-ln(chosen)) AS three FROM s GROUP BY model),
+best AS (SELECT model AS b FROM pooled WHERE model <> 'model' ORDER BY dl, model LIMIT 1),
+x AS (SELECT o.model AS baseline, m.season || '-' || week(m.decision_at) AS block, {LL.format(p='p').replace('p)', 'm.p)').replace('(y', '(m.y').replace('- y', '- m.y')}
+             - {LL.format(p='p').replace('p)', 'o.p)').replace('(y', '(o.y').replace('- y', '- o.y')} AS v
+      FROM s m JOIN s o USING (contest_id) WHERE m.model = 'model' AND o.model <> 'model' AND m.is_tie = 0)""" + BOOT_BODY.format(reps=2000, least=10, **BY_BASELINE) + """,
+folds AS (SELECT bool_and(m.dl < o.dl) AS better FROM f m JOIN f o ON o.season = m.season AND o.model = (SELECT b FROM best) WHERE m.model = 'model'),
+iv AS (SELECT coalesce(bool_or(high < 0 OR low > 0), false) AS apart FROM ci WHERE baseline = (SELECT b FROM best)),
+tw AS (SELECT max(three) FILTER (model = 'model') <= max(three) FILTER (model = (SELECT b FROM best)) AS ok FROM pooled)
+SELECT '""" + model + """' AS candidate, CASE b WHEN '""" + model + """' THEN 'model' ELSE b END AS stronger_baseline, better AS all_folds_better, apart AS pooled_interval_excludes_zero,
+       ok AS three_way_not_worse, better AND apart AND ok AS criteria_met FROM best, folds, iv, tw"""
+
+
+@query("advancement_rule", " UNION ALL ".join(f"SELECT * FROM ({_advancement_sql(m)})" for m in ("model", "base", "rate")))
+def advancement_rule(spark, sf_dir):
+    """Whether a candidate advances (E24): all folds better than the stronger baseline, the pooled weekly interval apart from
+    zero, and the three-way loss not worse. Each of three models stands for the candidate once."""
+    from pyspark.sql import Window
+    p = V.predictions(spark, sf_dir)
+    before = Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)      # one row per season
+    rate = p.where("is_tie = 0").groupBy("season").agg(F.sum("y").alias("s"), F.count("*").alias("n")).select(
+        "season", (F.sum("s").over(before) / F.sum("n").over(before)).alias("p_rate"))
+    rows = M.long_form(p.join(rate, "season").where("season IN (1998, 1999, 2000)"), ["model", "base", "rate"])
+    rows = rows.withColumn("p_tie", F.lit(0.002) + (F.col("contest_id") % 7) / F.lit(1000.0))
+    names = ("base", "model", "rate")
+    out = [Gate.advancement(rows, m, [b for b in names if b != m]) for m in ("model", "base", "rate")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def candidates(frame):
     return frame.withColumn("choice", P.binary_candidate("p_model")).withColumn(
         "won", F.when(F.col("choice.side") == "home", F.col("y")).otherwise(1 - F.col("y")))

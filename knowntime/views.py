@@ -20,10 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Give heavy per-row work a partition per core when the scan has fewer (one small file);
-    a scan with enough partitions is left as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    """Deal rows evenly before heavy per-row work, whatever files they came in."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +125,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v))
                           for k, v in STATUS_OF_TYPE.items()])
     status = F.when(F.col("event_id") % 11 == 0, F.lit("Available")).otherwise(status)
+    team, gap = F.col("user_id") % 30, F.col("event_id") % 3
+    # A report is about one game of its team: at home, or away.
+    home = F.when(F.floor(F.col("event_id") / 3) % 2 == 0, team).otherwise((team + 29 - gap) % 30)
     return e.select(
-        F.col("event_id").alias("row_id"), (F.col("user_id") % 30).alias("team_id"),
+        F.col("event_id").alias("row_id"), team.alias("team_id"), home.alias("home_id"), ((home + 1 + gap) % 30).alias("away_id"),
         F.when(status != "NotSubmitted", F.col("user_id")).alias("player_id"),
         status.alias("status"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("report_at"),
@@ -136,9 +137,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPORTS = """reports AS (
-  SELECT row_id, team_id, CASE WHEN status <> 'NotSubmitted' THEN user_id END AS player_id, status,
+  SELECT row_id, team_id, home_id, (home_id + 1 + row_id % 3) % 30 AS away_id, CASE WHEN status <> 'NotSubmitted' THEN user_id END AS player_id, status,
          report_at, source
   FROM (SELECT event_id AS row_id, user_id % 30 AS team_id, user_id,
+               CASE WHEN event_id // 3 % 2 = 0 THEN user_id % 30 ELSE (user_id % 30 + 29 - event_id % 3) % 30 END AS home_id,
                CASE WHEN event_id % 11 = 0 THEN 'Available'
                     ELSE CASE event_type WHEN 'click' THEN 'Out' WHEN 'error' THEN 'Doubtful'
                          WHEN 'purchase' THEN 'Questionable' WHEN 'signup' THEN 'Probable'
@@ -152,7 +154,7 @@ def report_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     home = F.col("user_id") % 30
     start = shift(F.date_trunc("day", "ts").cast("timestamp_ntz"), hours=20)
-    return (e.select(home.alias("home_id"), ((home + 1 + F.col("event_id") % 29) % 30).alias("away_id"),
+    return (e.select(home.alias("home_id"), ((home + 1 + F.col("event_id") % 3) % 30).alias("away_id"),
                      start.alias("scheduled_at")).distinct()
             .withColumn("decision_at", shift("scheduled_at", hours=-1))
             .withColumn("game_id", F.concat_ws("-", F.date_format("scheduled_at", "yyyyMMdd"),
@@ -162,7 +164,7 @@ def report_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPORT_GAMES = """report_games AS (
   SELECT *, scheduled_at - INTERVAL 1 HOUR AS decision_at,
          strftime(scheduled_at, '%Y%m%d') || '-' || home_id || '-' || away_id AS game_id
-  FROM (SELECT DISTINCT user_id % 30 AS home_id, (user_id % 30 + 1 + event_id % 29) % 30 AS away_id,
+  FROM (SELECT DISTINCT user_id % 30 AS home_id, (user_id % 30 + 1 + event_id % 3) % 30 AS away_id,
                date_trunc('day', ts)::TIMESTAMP + INTERVAL 20 HOUR AS scheduled_at FROM events))"""
 
 
