@@ -5,6 +5,9 @@ The stand-in contests run from 1995 to 2001, so the calendars below are those ye
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from knowntime import views as V
@@ -16,10 +19,11 @@ from knowntime.catalog.rules import BOUNDS, _calendar_case
 from knowntime.functions.times import epoch_block
 from knowntime.operators import availability as A, form, metrics as M, splits as S
 from knowntime.operators.bootstrap import block_sums, bootstrap_interval, season_week
-from knowntime.plans import boosted as G, jobs as J
+from knowntime.plans import boosted as G, certificate as C, jobs as J
 from knowntime.plans.logit import Spec, apply_models, fit_calibration, fit_logistic, materialize, materialize_shared, parameter_table
-from knowntime.session import scratch_path
-from knowntime.sources.tables import write_once
+from knowntime.plans.holdout import Consumed, Holdout
+from knowntime.session import scratch_path, scratch_root
+from knowntime.sources.tables import fingerprint, write_once
 
 YEARS, START = (1997, 1998, 1999), "1995-07-01"
 
@@ -47,6 +51,82 @@ def logistic_fold_parameters(spark, sf_dir):
     return long_parameters(params)
 
 
+def _fold_counts(years=YEARS, variants=("base",)) -> str:
+    """SQL: rows per fold by what they are for, and the certificate that every model must earn."""
+    folds = " UNION ALL ".join(f"SELECT '{y}' AS fold, {_calendar_case(y)} AS split FROM predictions WHERE is_tie = 0 AND decision_at >= TIMESTAMP '{START}'" for y in years)
+    names = ", ".join(f"('{v}')" for v in variants)
+    return "WITH " + V.PREDICTIONS + f""", f AS ({folds}),
+c AS (SELECT fold, count(*) FILTER (split IN ('train', 'tune')) AS n, count(*) FILTER (split = 'calibration') AS n_calibration,
+             count(*) FILTER (split = 'validation') AS n_validation FROM f GROUP BY fold), v AS (SELECT * FROM (VALUES {names}) t(variant))
+"""
+
+
+CERTIFIED = "SELECT fold, variant, CAST(n AS BIGINT) AS n, true AS rows_agree, true AS scaled, true AS optimal, CAST(n_calibration AS BIGINT) AS n_calibration, true AS calibrated"
+
+
+def _certified(rows, params, inputs):
+    """Fit and calibration certificates of every fold and variant, side by side."""
+    fit = C.fit_certificates(params, rows.where("split IN ('train', 'tune')"), inputs)
+    cal = C.calibration_certificates(params, rows.where("split = 'calibration'"), inputs)
+    both = fit.join(cal, "model").withColumn("fold", F.split("model", r"\|")[0]).withColumn("variant", F.split("model", r"\|")[1])
+    return both.select("fold", "variant", "n", "rows_agree", "scaled", "optimal", "n_calibration", "calibrated")
+
+
+@query("logistic_fold_certificates", _fold_counts(variants=J.ablations()) + CERTIFIED + " FROM c, v")
+def logistic_fold_certificates(spark, sf_dir):
+    """Every fold and variant is at its optimum, recomputed from the rows."""
+    rows = fold_rows(spark, sf_dir)
+    params, _ = J.fit_folds(rows, J.ablations())
+    return _certified(rows, params, J.BASE)
+
+
+@query("logistic_score_replay", _fold_counts() + "SELECT fold, CAST(n_validation AS BIGINT) AS n, true AS raw_agrees, true AS calibrated_agrees FROM c")
+def logistic_score_replay(spark, sf_dir):
+    """Every validation probability follows from the emitted parameters."""
+    rows = fold_rows(spark, sf_dir)
+    params, scored = J.fit_folds(rows, {"base": J.BASE})
+    again = C.scores_of(params, rows.where("split = 'validation'"), J.BASE).select(F.split("model", r"\|")[0].alias("fold"), "contest_id", F.col("raw").alias("raw_again"), F.col("p").alias("p_again"))
+    j = scored.join(again, ["fold", "contest_id"])
+    same = lambda a, b: F.max(F.abs(F.col(a) - F.col(b))) <= 1e-12
+    return j.groupBy("fold").agg(F.count("*").alias("n"), same("p_raw", "raw_again").alias("raw_agrees"), same("p", "p_again").alias("calibrated_agrees"))
+
+
+@query("penalty_certificates", _fold_counts() + """, n AS (SELECT fold, count(*) FILTER (split = 'train') AS n, count(*) FILTER (split = 'tune') AS n_tune FROM f GROUP BY fold)
+SELECT fold, l2, CAST(n AS BIGINT) AS n, CAST(n_tune AS BIGINT) AS n_tune, true AS optimal, true AS selection_agrees FROM n, (VALUES (0.001::DOUBLE), (0.01), (0.1), (1.0)) t(l2)""")
+def penalty_certificates(spark, sf_dir):
+    """Every penalty's fit is at its optimum, and the selected one has the least recomputed tuning loss."""
+    rows = fold_rows(spark, sf_dir)
+    chosen, params = J.penalty_trials(rows)
+    fit = C.fit_certificates(params, rows.where("split = 'train'"), J.BASE)
+    tuned = C.scores_of(params, rows.where("split = 'tune'"), J.BASE).groupBy("model").agg(F.avg(M.log_loss("y", "raw")).alias("loss"), F.count("*").alias("n_tune"))
+    each = fit.join(tuned, "model").join(params.select("model", "fold_key", "l2"), "model")
+    least = each.groupBy("fold_key").agg(F.min_by("l2", F.struct("loss", -F.col("l2"))).alias("least"))
+    picked = chosen.select(F.col("fold").alias("fold_key"), "selected_l2")
+    return each.join(least, "fold_key").join(picked, "fold_key").select(
+        F.col("fold_key").alias("fold"), "l2", "n", "n_tune", "optimal", (F.col("least") == F.col("selected_l2")).alias("selection_agrees"))
+
+
+@query("deployment_certificate", "SELECT 'deployed' AS model, true AS rows_agree, true AS scaled, true AS optimal, true AS calibrated")
+def deployment_certificate(spark, sf_dir):
+    """The deployed model is at its optimum on train and tune, its calibration on the rows after."""
+    rows = binary_rows(spark, sf_dir).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL").withColumn("fold", F.lit("deployed"))
+    params = J.deploy(rows, {"deployed": J.BASE})
+    fit = C.fit_certificates(params, rows.where("split IN ('train', 'tune')"), J.BASE)
+    cal = C.calibration_certificates(params, rows.where("split = 'calibration'"), J.BASE)
+    return fit.join(cal, "model").select("model", "rows_agree", "scaled", "optimal", "calibrated")
+
+
+@query("tie_fit_certificates", "SELECT CAST(s AS VARCHAR) AS fold, true AS rows_agree, true AS scaled, true AS optimal, true AS calibrated FROM (VALUES (1998), (1999), (2000)) t(s)")
+def tie_fit_certificates(spark, sf_dir):
+    """The season folds' fits on decided contests are at their optimum."""
+    folds = materialize(S.season_folds(tie_rows(spark, sf_dir), (1998, 1999, 2000)), "tie-folds")
+    used = folds.where("is_tie = 0 OR split = 'validation'")
+    params, _ = J.fit_folds(used, {"logistic": TIE_BASE})
+    fit = C.fit_certificates(params, used.where("split = 'fit'"), TIE_BASE)
+    cal = C.calibration_certificates(params, used.where("split = 'calibration'"), TIE_BASE)
+    return fit.join(cal, "model").select(F.split("model", r"\|")[0].alias("fold"), "rows_agree", "scaled", "optimal", "calibrated")
+
+
 @query("logistic_fold_scores")
 def logistic_fold_scores(spark, sf_dir):
     """Calibrated validation scores against the rating and the base rate."""
@@ -253,19 +333,39 @@ def pending_forecast_batch(spark, sf_dir):
                       r6("p_elo"), r6("elo_diff", F.col("features")["elo_diff"]), "provenance")
 
 
-@query("guarded_holdout")
+@query("guarded_holdout", "WITH " + V.PREDICTIONS + f"""
+SELECT contest_id, decision_at, y, true AS forecast_kept, true AS later_use_refused, true AS other_candidate_refused FROM predictions
+WHERE is_tie = 0 AND decision_at >= TIMESTAMP '{BOUNDS["calibration"]}' AND decision_at < TIMESTAMP '{BOUNDS["validation"]}'""")
 def guarded_holdout(spark, sf_dir):
-    """Dry-run forecasts of the reserved season without outcomes; its one claim is taken once."""
-    rows = binary_rows(spark, sf_dir).withColumn("fold", F.lit("final")).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
-    _, scored = J.fit_folds(rows, {"logistic": J.BASE})
-    claim, first = scratch_path(spark, "claim"), spark.createDataFrame([("logistic",)], "model string")
-    write_once(first, claim)
+    """The reserved season, forecast without outcomes and scored once (J15, A8). The run's folder is named after data and candidate, so another
+    run of this query finds the claim taken and reads what the first has written."""
+    c = V.contests(spark, sf_dir)
+    mark = fingerprint(c, c.columns).first()
+    record = {"rows": mark["rows"], "digest_sum": mark["digest_sum"], "digest_xor": mark["digest_xor"], "features": list(J.BASE), "bounds": BOUNDS}
+    name = hashlib.sha256(json.dumps(record, sort_keys=True).encode()).hexdigest()[:16]
+    run = Holdout(spark, f"{scratch_root(spark).rstrip('/')}/knowntime/holdout-{name}")
+    run.freeze(record)
+
+    def forecast():
+        rows = binary_rows(spark, sf_dir).withColumn("fold", F.lit("final")).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
+        _, scored = J.fit_folds(rows, {"logistic": J.BASE})
+        return scored.select("contest_id", "decision_at", "y", "p")
+
+    outcomes = lambda: binary_rows(spark, sf_dir).select("contest_id", "y")
     try:
-        write_once(first, claim)
-        once = False
-    except Exception as e:
-        once = "already" in str(e).lower() or "EXISTS" in str(e)
-    return scored.select("contest_id", "decision_at", r6("p"), r6("p_raw"), r6("p_elo"), F.lit(once).alias("claimed_once"))
+        run.score(forecast, outcomes, "contest_id")
+    except Consumed:
+        pass                                           # scored before: the record stands
+    refused = {}
+    for what, attempt in (("later", lambda: run.score(forecast, outcomes, "contest_id")), ("other", lambda: run.freeze({**record, "features": ["elo_diff"]}))):
+        try:
+            attempt()
+            refused[what] = False
+        except (Consumed, ValueError):
+            refused[what] = True
+    kept = F.col("p").isNotNull() & (F.col("p") > 0) & (F.col("p") < 1)
+    return run.scored().select("contest_id", "decision_at", "y", kept.alias("forecast_kept"), F.lit(refused["later"]).alias("later_use_refused"),
+                               F.lit(refused["other"]).alias("other_candidate_refused"))
 
 
 # Registered with smaller ensembles than the library's default grid, for the checking time.

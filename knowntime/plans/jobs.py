@@ -80,8 +80,8 @@ def pooled_report(scored: DataFrame, variants: Sequence[str]) -> DataFrame:
     return M.score(scored, ["variant"])
 
 
-def select_penalty(rows: DataFrame, inputs: Sequence[str] = BASE, grid: Sequence[float] = PENALTIES) -> DataFrame:
-    """Per fold: the penalty with the lowest raw tuning loss, exact ties to the stronger one."""
+def penalty_trials(rows: DataFrame, inputs: Sequence[str] = BASE, grid: Sequence[float] = PENALTIES) -> tuple[DataFrame, DataFrame]:
+    """Per fold the penalty with the lowest raw tuning loss, exact ties to the stronger one; and the parameters of every trial."""
     t = materialize(rows.where("split IN ('train', 'tune')").select("fold", "split", "y", *inputs)
                     .withColumn("group", F.concat_ws(":", "split", F.col("fold").cast("string"))), "penalty-rows")
     folds = [str(r[0]) for r in t.select("fold").distinct().collect()]
@@ -91,7 +91,12 @@ def select_penalty(rows: DataFrame, inputs: Sequence[str] = BASE, grid: Sequence
     trials = (apply_models(tune, params.withColumn("penalty", F.col("l2")), inputs, on="fold", params_on="fold_key")
               .groupBy("fold", "penalty").agg(F.avg(M.log_loss("y", "p_raw")).alias("tune_log_loss")))
     return trials.groupBy("fold").agg(F.min_by("penalty", F.struct("tune_log_loss", -F.col("penalty"))).alias("selected_l2"),
-                                      F.min("tune_log_loss").alias("tune_log_loss"))
+                                      F.min("tune_log_loss").alias("tune_log_loss")), params
+
+
+def select_penalty(rows: DataFrame, inputs: Sequence[str] = BASE, grid: Sequence[float] = PENALTIES) -> DataFrame:
+    """``penalty_trials`` without the parameters."""
+    return penalty_trials(rows, inputs, grid)[0]
 
 
 def deploy(rows: DataFrame, variants: Mapping[str, Sequence[str]]) -> DataFrame:

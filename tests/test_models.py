@@ -120,3 +120,45 @@ def test_probability_one_falls_out_of_half_open_bins(spark):
     t = spark.createDataFrame([(1.0,), (0.95,), (0.0,), (0.3,)], "p double").select("p", M.decile_bin().alias("a"), M.clipped_bin().alias("b"))
     got = {r["p"]: (r["a"], r["b"]) for r in t.collect()}
     assert got[1.0] == (None, 9) and got[0.95] == (9, 9) and got[0.0] == (0, 0) and got[0.3][0] == 2
+
+
+def test_certificates_refuse_wrong_parameters(spark):
+    import random
+    from knowntime.plans import certificate as C, jobs as J
+    r = random.Random(2)
+    rows = []
+    for i in range(900):
+        a, b = r.gauss(0, 1), r.gauss(2, 3)
+        rows.append((i, "f", ("train", "tune", "calibration", "validation")[i % 4], a, b, 7.0, int(r.random() < 1 / (1 + 2.7 ** (-a + 0.2 * b - 0.3)))))
+    df = spark.createDataFrame(rows, "contest_id int, fold string, split string, a double, b double, c double, y int").withColumn(
+        "decision_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    inputs = ("a", "b", "c")
+    params, _ = J.fit_folds(df, {"all": inputs, "one": ("b",)})
+    fitted, held = df.where("split IN ('train', 'tune')"), df.where("split = 'calibration'")
+    good = C.fit_certificates(params, fitted, inputs).collect()
+    assert len(good) == 2 and all(x.n == 450 and x.rows_agree and x.scaled and x.optimal for x in good)
+    assert all(x.calibrated and x.n_calibration == 225 for x in C.calibration_certificates(params, held, inputs).collect())
+    moved = params.withColumn("coef", F.transform("coef", lambda x, i: F.when(i == 1, x + 1e-4).otherwise(x)))
+    assert not any(x.optimal for x in C.fit_certificates(moved, fitted, inputs).collect())
+    assert not any(x.scaled for x in C.fit_certificates(params.withColumn("mean", F.transform("mean", lambda x: x + 1e-3)), fitted, inputs).collect())
+    assert not any(x.calibrated for x in C.calibration_certificates(params.withColumn("slope", F.col("slope") * 1.01), held, inputs).collect())
+
+
+def test_a_holdout_is_scored_once(spark):
+    import tempfile
+    from knowntime.plans.holdout import Consumed, Holdout
+    run = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/final"
+    forecasts = spark.createDataFrame([(1, 0.4, 1), (2, 0.6, 0)], "contest_id int, p double, y int")
+    read = []
+    outcomes = lambda: (read.append(1), forecasts.select("contest_id", "y"))[1]
+    one, two = Holdout(spark, run), Holdout(spark, run)
+    with pytest.raises(ValueError, match="freeze"):
+        one.score(lambda: forecasts, outcomes, "contest_id")
+    one.freeze({"l2": 0.01}), two.freeze({"l2": 0.01})
+    with pytest.raises(ValueError, match="frozen record"):
+        two.freeze({"l2": 0.1})
+    assert one.dry_run(lambda: forecasts).columns == ["contest_id", "p"] and not read
+    assert sorted(map(tuple, one.score(lambda: forecasts, outcomes, "contest_id").collect())) == [(1, 0.4, 1), (2, 0.6, 0)]
+    with pytest.raises(Consumed):
+        two.score(lambda: forecasts, outcomes, "contest_id")
+    assert len(read) == 1
