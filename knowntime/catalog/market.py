@@ -88,7 +88,7 @@ SELECT contest_id, decision_at, CAST(books AS BIGINT) AS books,
        CASE WHEN books >= 3 THEN round(q, 6) END AS q, CASE WHEN books >= 3 THEN round(dispersion, 6) END AS dispersion,
        CASE WHEN books >= 3 THEN round(spread, 6) END AS spread,
        CASE WHEN books >= 3 THEN round(mean_overround, 6) END AS mean_overround,
-       CASE WHEN books >= 3 THEN round(age_minutes, 6) END AS age_minutes,
+       CASE WHEN books >= 3 THEN round(60 * age_minutes, 6) END AS age_seconds,
        CASE WHEN books < 3 THEN 'fewer than 3 reference books' END AS abstain_reason FROM own""")
 def consensus_reference(spark, sf_dir):
     """Median consensus over all books but the contest's execution book, with spread, overround, age and
@@ -96,7 +96,7 @@ def consensus_reference(spark, sf_dir):
     own = F.element_at(F.array(*[F.lit(b) for b in sorted(V.REFERENCE_BOOKS + V.EXECUTION_BOOKS)]), (F.col("contest_id") % 5 + 1).cast("int"))
     out = Q.consensus(latest(spark, sf_dir), ["contest_id", "decision_at"], min_books=3, execution_book=own)
     return out.select("contest_id", "decision_at", "books", *[r6(c) for c in (
-        "q", "dispersion", "spread", "mean_overround", "age_minutes")], "abstain_reason")
+        "q", "dispersion", "spread", "mean_overround")], r6("age_seconds", 60 * F.col("age_minutes")), "abstain_reason")
 
 
 @query("best_offer_per_side", "WITH " + LATEST_SQL + """
