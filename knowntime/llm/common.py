@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -61,11 +63,25 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_count(docs: DataFrame, size: int, column: str = "text") -> int:
+    """How many blocks of about ``size`` bytes the texts make."""
+    return max(1, -(-(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0) // size))
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on, and the next stage needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_text(df: DataFrame, column: str, schema: str, fn: Callable[[list[str]], list[tuple]],
-             drop: tuple[str, ...] = (), max_chars: int = 1 << 22) -> DataFrame:
+             drop: tuple[str, ...] = (), max_chars: int = 1 << 22, ended: Callable | None = None) -> DataFrame:
     """Append columns that ``fn`` computes from the texts of ``column`` (null counts as empty).
 
-    ``fn`` gets runs of whole texts of about ``max_chars`` characters and returns one tuple for each.
+    ``fn`` gets runs of whole texts of about ``max_chars`` characters and returns one tuple for each; ``ended`` is called at a task's end.
     Columns of ``df`` that clash with the new names give way; those in ``drop`` are not carried on.
     """
     spark = df.sparkSession
@@ -88,6 +104,9 @@ def per_text(df: DataFrame, column: str, schema: str, fn: Callable[[list[str]],
                 arrays = [part.column(part.schema.get_field_index(c)) for c in carried]
                 arrays += [pa.array(v, f.type) for v, f in zip(cols, new_arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *new.names])
+        if ended:
+            ended()
+        give_back()
 
     return df.mapInArrow(run, out)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm.common import partitions, saved
+from knowntime.llm.common import block_count, give_back, partitions, saved
 from knowntime.llm.components import connected_components
 
 #: Lists up to this length pair up directly; longer ones go by leaders. Any value gives the same result.
@@ -37,13 +37,15 @@ ONE_TASK = 8_000_000
 #: Verifying a pair costs about as much as scanning this many postings.
 VERIFY = 16
 MOST_MATCHES = 6
+#: Bytes of the texts of a block, on average.
+BLOCK_BYTES = 8 << 20
 
 
 class WordHashes(dict):
     """64-bit hash of a word; a table of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -93,6 +95,8 @@ def measure_sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())], names=["block", "doc_id", "n_shingles", "sig"])
+        del words
+        give_back()
     return docs.mapInArrow(run, "block int, doc_id long, n_shingles long, sig binary")
 
 
@@ -108,7 +112,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     empty set and link with nothing; equal sets are joined as one. Repeated rows are rows of one class; a null doc_id is never
     the least. Shingles are told apart by 64-bit hashes.
     """
-    blocks = partitions(docs)
+    blocks = block_count(docs, BLOCK_BYTES)
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     sets = saved(measure_sets(dealt, n), "sets")
@@ -116,7 +120,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                    .where("rows > 1").select("sig", "rep"), "sets")
     others = saved(sets.where("n_shingles > 0").join(groups, "sig").where("struct(doc_id, block) <> rep").select("block", "doc_id", "sig").distinct(), "sets")
 
-    posts, stored = prefixes(dealt, others, blocks, n, percent)
+    posts, stored = prefixes(dealt, others, n, percent)
     parts = join_lists(posts, stored, percent)
 
     named = sets.join(parts.select(F.col("node").alias("sig"), "component"), "sig", "left").select(
@@ -127,16 +131,16 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return full.unionByName(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def prefixes(dealt: DataFrame, others: DataFrame, blocks: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def prefixes(dealt: DataFrame, others: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Postings of the documents' prefixes, and the sets of the documents that have any.
 
     One document stands for each set. Frequencies are counted exactly for all shingles (40 bits of hash besides the bucket; they
     only order the shingles): each block sends its distinct ones to bucket tasks and gets their counts back.
     """
-    seen: dict = {}                                    # per worker: the hash table of words
+    parts = partitions(dealt)
 
     def members(left: pa.Table, right: pa.Table) -> Iterator[tuple[bytes, np.ndarray]]:
-        words = seen.setdefault("words", WordHashes())
+        words = WordHashes()
         skip = set(zip(right.column("doc_id").to_pylist(), right.column("sig").to_pylist())) if right.num_rows else set()
         done = set()
         rows = sorted(zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
@@ -148,23 +152,32 @@ def prefixes(dealt: DataFrame, others: DataFrame, blocks: int, n: int, percent:
                 yield sig, s
 
     def bucket(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+        return ((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
 
-    def code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (bucket, low 40 bits) in order, and counts."""
-        return np.unique((bucket(keys) << np.uint64(40)) | (keys & np.uint64((1 << 40) - 1)), return_counts=True)
+    def code(keys: np.ndarray) -> np.ndarray:
+        """(bucket, low 40 bits) of each key."""
+        return (bucket(keys) << np.uint64(40)) | (keys & np.uint64((1 << 40) - 1))
 
     def emit(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [s for _, s in members(left, right)] if left.num_rows else []
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        found = [code(s) for _, s in members(left, right)] if left.num_rows else []
         if not found:
-            return _table("part block keys counts", [pa.int32(), pa.int32(), pa.binary(), pa.binary()], [])
-        codes, counts = code(np.concatenate(found))
+            return _table("part block keys counts", kinds, [])
+        flat = np.concatenate(found)
+        del found
+        flat.sort()
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        few = np.minimum(np.diff(starts, append=len(flat)), 65535).astype("<u2")
+        codes = flat[starts]
+        del flat, starts
         low = np.ascontiguousarray(codes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-        edges = np.searchsorted(codes, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(40))
-        me, few = left.column("block")[0].as_py(), np.minimum(counts, 65535).astype("<u2")
-        rows = [(i, me, low[a:b].tobytes(), pa.compress(few[a:b].tobytes(), "zstd", asbytes=True))
-                for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        return _table("part block keys counts", [pa.int32(), pa.int32(), pa.binary(), pa.binary()], rows)
+        edges = np.searchsorted(codes, np.arange(parts + 1, dtype=np.uint64) << np.uint64(40))
+        me = left.column("block")[0].as_py()
+        out = _table("part block keys counts", kinds, [(i, me, low[a:b].tobytes(), pa.compress(few[a:b].tobytes(), "zstd", asbytes=True))
+                                                       for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a])
+        del low, codes, few
+        give_back()
+        return out
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -190,8 +203,10 @@ def prefixes(dealt: DataFrame, others: DataFrame, blocks: int, n: int, percent:
         got = list(members(left, right.filter(pa.compute.is_valid(right.column("sig"))))) if left.num_rows else []
         if not got:
             return _table(names, kinds, [])
-        codes, _ = code(np.concatenate([s for _, s in got]))
-        edges = np.searchsorted(codes, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(40))
+        codes = np.concatenate([code(s) for _, s in got])
+        codes.sort()
+        codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
+        edges = np.searchsorted(codes, np.arange(parts + 1, dtype=np.uint64) << np.uint64(40))
         grade = np.zeros(len(codes), np.uint8)
         for r in rows:
             if r["grades"] is not None:
@@ -199,7 +214,7 @@ def prefixes(dealt: DataFrame, others: DataFrame, blocks: int, n: int, percent:
                 grade[a:b] = np.frombuffer(pa.decompress(r["grades"], int(b - a), "zstd", asbytes=True), np.uint8)
         out = []
         for sig, s in got:
-            df = grade[np.searchsorted(codes, (bucket(s) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1)))]
+            df = grade[np.searchsorted(codes, code(s))]
             if df.max() < 2:
                 continue
             order = np.lexsort((s, df))
@@ -209,7 +224,11 @@ def prefixes(dealt: DataFrame, others: DataFrame, blocks: int, n: int, percent:
             upto = first_size(size, percent) + ell - 1
             if alone < min(upto, size):
                 out.append((sig, size, alone, ell, 1 - alone / size, s[alone:upto].tolist(), list(range(alone, min(upto, size))), s[alone:].tobytes()))
-        return _table(names, kinds, out)
+        del got, codes, grade
+        made = _table(names, kinds, out)
+        del out
+        give_back()
+        return made
 
     copies = others.select("block", "doc_id", "sig")
     sent = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(emit, "part int, block int, keys binary, counts binary")

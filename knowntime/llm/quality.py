@@ -93,7 +93,7 @@ def repeated_words(codes: np.ndarray, n_codes: int) -> int:
     return int(covered.sum())
 
 
-def measure(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, drop: tuple[str, ...] = (), cache: int = 500_000) -> DataFrame:
+def measure(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, drop: tuple[str, ...] = (), cache: int = 250_000) -> DataFrame:
     """Append the base counts and the fertility metrics of each text; one pass, no shuffle.
 
     ``vocabulary``: a sentencepiece model with byte fallback; ``ranks``: a tiktoken rank file for another, cut by
@@ -101,7 +101,9 @@ def measure(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, drop: tu
     words per token of each vocabulary, share of byte-fallback tokens, and token entropy over the log of the token count (1
     where all tokens differ). A text without words has 0 words and null metrics.
     """
-    def fn(texts: list[str], held: dict = {}) -> list[tuple]:  # noqa: B006  one table per worker
+    held: dict = {}                                    # a task's table
+
+    def fn(texts: list[str]) -> list[tuple]:
         cuts = held.get("cuts") or held.setdefault("cuts", Cuts(vocabulary, ranks, pattern, cache))
         split = [text.encode("utf-8", "replace").split() for text in texts]
         all_codes = cuts.codes(list(chain.from_iterable(split)))
@@ -125,7 +127,10 @@ def measure(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, drop: tu
                         chars / m, chars / int(cuts.n_units[codes].sum()), float(cuts.is_byte[tokens].mean()), entropy))
         return out
 
-    return per_text(docs, "text", METRICS, fn, drop)
+    def ended() -> None:
+        held.clear()
+
+    return per_text(docs, "text", METRICS, fn, drop, ended=ended)
 
 
 def base_failed() -> Column:
