@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from knowntime.functions.prob import expit, logit
+from knowntime.plans.logit import materialize
 
 
 def laid_out(params: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -42,7 +43,9 @@ def fit_certificates(params: DataFrame, fitted: DataFrame, inputs: Sequence[str]
     z, eta = _linear(inputs)
     if offset:
         eta = eta + logit(offset)
-    rows = rows.select("model", "y", eta.alias("eta"), *[x.alias(f"z_{i}") for i, x in enumerate(z)], *[F.col(c).cast("double").alias(f"x_{i}") for i, c in enumerate(inputs)])
+    # Written, so that the sums below read columns and do not repeat the expressions behind them.
+    rows = materialize(rows.select("model", "y", eta.alias("eta"), *[x.alias(f"z_{i}") for i, x in enumerate(z)],
+                                   *[F.col(c).cast("double").alias(f"x_{i}") for i, c in enumerate(inputs)]), "certificate-rows")
     miss = expit("eta") - F.col("y")
     k = range(len(inputs))
     sums = rows.groupBy("model").agg(F.count("*").alias("n"), F.avg(miss).alias("g"), *[F.avg(miss * F.col(f"z_{i}")).alias(f"g_{i}") for i in k],
@@ -63,7 +66,7 @@ def scores_of(params: DataFrame, rows: DataFrame, inputs: Sequence[str], *, offs
     _, eta = _linear(list(inputs))
     if offset:
         eta = eta + logit(offset)
-    raw = joined.withColumn("raw", expit(eta))
+    raw = materialize(joined.select("model", "contest_id", "y", "intercept", "slope", expit(eta).alias("raw")), "certificate-scores")
     return raw.select("model", "contest_id", "y", "raw", expit(F.col("intercept") + F.col("slope") * logit("raw")).alias("p"), "intercept", "slope")
 
 
