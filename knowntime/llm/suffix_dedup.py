@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -31,9 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from knowntime.llm.common import partitions, saved
+from knowntime.llm.common import block_count, give_back, partitions, saved
 
 LAST = (1 << 63) - 1
+#: Bytes of the texts of a block, on average.
+BLOCK_BYTES = 12 << 20
+#: What a block sends to itself: anchors with their marks, and the places of a pass.
+KEPT = ("anchors", "first", "hits", "wanted", "second")
 MESSAGE = "block int, kind string, part int, blob binary"
 RUN = "part int, block int, kind string, lcps binary, tails binary, docs binary"
 
@@ -89,8 +92,43 @@ def gram_keys(rows: np.ndarray) -> np.ndarray:
     return h & ~np.uint64(1)
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays for a later pass: growing places as steps, marks as bits."""
+    plain = [np.packbits(a) if a.dtype == bool else a for a in arrays]
+    raw = pickle.dumps([(len(a), a.dtype == bool, p) for a, p in zip(arrays, plain)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+    return [np.unpackbits(p, count=n).astype(bool) if bits else p for n, bits, p in raw]
+
+
+def steps(places: np.ndarray) -> np.ndarray:
+    return np.diff(places, prepend=0).astype(np.uint32)
+
+
+def from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.int64)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, an order that sorts the keys, and where each distinct one starts in it."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return ordered[starts], order, starts
+
+
+def index_of(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each place's number among the distinct ones of ``grouped``."""
+    index = np.empty(len(order), np.uint32)
+    index[order] = np.repeat(np.arange(len(starts), dtype=np.uint32), np.diff(starts, append=len(order)))
+    return index
+
+
 class Block:
-    """The documents of one block in a fixed order, their anchors, and what has been learnt about them."""
+    """The documents of one block in a fixed order, their anchors, and what earlier passes have found."""
 
     def __init__(self, table: pa.Table, messages: pa.Table, width: int, gram: int):
         self.width, self.gram, self.slack = width, gram, width - gram + 1
@@ -103,25 +141,39 @@ class Block:
         self.copies, self.docs = [], []
         for d, k, t, x in rows:
             (self.copies if d.to_bytes(8, "little", signed=True) + k in copies else self.docs).append((d, t, x))
-        self.answers = {kind: b"".join(m["blob"] for m in sorted((m for m in known if m["kind"] == kind), key=lambda m: m["part"]))
-                        for kind in ("first", "second", "state", "least")}
-        self.bitmaps = {kind: sorted((m["part"], m["blob"]) for m in known if m["kind"] == kind) for kind in ("gram", "want", "string")}
+        self.told: dict[str, list[tuple[int, bytes]]] = {}
+        for m in known:
+            if m["kind"] != "copy":
+                self.told.setdefault(m["kind"], []).append((m["part"], m["blob"]))
         lengths = np.array([len(t) for _, t, _ in self.docs], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.ids = np.array([d for d, _, _ in self.docs], np.int64)
         self.data = np.frombuffer(b"".join(t for _, t, _ in self.docs), np.uint8)
-        self._anchors()
 
-    def _anchors(self, chunk: int = 1 << 20) -> None:
+    def state(self, kind: str) -> list[np.ndarray]:
+        return unpacked(self.told[kind][0][1])
+
+    def bits(self, kind: str, sizes: np.ndarray) -> np.ndarray:
+        """The answers of all parts in a row; ``sizes``: how many strings or keys each part was asked about."""
+        out = np.zeros(int(sizes.sum()), bool)
+        ends = np.cumsum(sizes)
+        for part, blob in self.told.get(kind, ()):
+            out[ends[part] - sizes[part]:ends[part]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=int(sizes[part])).astype(bool)
+        return out
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
+
+    def recall_anchors(self) -> None:
+        """Anchors and which of them are shared, as an earlier pass found them."""
+        places, self.shared = self.state("anchors")
+        self.at = from_steps(places)
+        self.doc = self.doc_of(self.at)
+        self.hash = np.empty(0, np.uint32) if not len(self.at) else row_hashes(self.windows(self.at, self.gram))
+
+    def find_anchors(self, chunk: int = 1 << 20) -> None:
         """Places of least grams: of every ``width`` bytes of a document, at least one (all of them where they tie)."""
-        if self.answers["state"]:                      # found in an earlier pass
-            places, shared = pickle.loads(zlib.decompress(self.answers["state"]))
-            self.at = np.cumsum(places).astype(np.int64)
-            self.shared = np.unpackbits(shared, count=len(self.at)).astype(bool)
-            self.doc = np.searchsorted(self.ends, self.at, "right")
-            self.hash = np.empty(0, np.uint32) if not len(self.at) else row_hashes(self.windows(self.at, self.gram))
-            return
         found, hashes, lo, w = [], [], 0, self.slack
         while lo < len(self.docs):
             hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + chunk, "right")))
@@ -138,45 +190,31 @@ class Block:
             lo = hi
         self.at = np.concatenate(found) if found else np.empty(0, np.int64)
         self.hash = np.concatenate(hashes) if found else np.empty(0, np.uint32)
-        self.doc = np.searchsorted(self.ends, self.at, "right")
+        self.doc = self.doc_of(self.at)
 
     def windows(self, at: np.ndarray, size: int) -> np.ndarray:
         if not len(at):
             return np.empty((0, size), np.uint8)
         return np.lib.stride_tricks.sliding_window_view(self.data, size)[at]
 
-    def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of the strings at the places, each place's index into them, and whether two documents here hold the key."""
-        keys, first, index = np.unique(gram_keys(self.windows(at, size)), return_index=True, return_inverse=True)
-        doc = np.searchsorted(self.ends, at, "right")
-        many = np.zeros(len(keys), bool)
-        many[index[doc != doc[first][index]]] = True
-        return keys, index, many
-
-    def state(self) -> bytes:
-        """Anchors and which of them are shared, for later passes."""
-        return zlib.compress(pickle.dumps((np.diff(self.at, prepend=0).astype(np.uint32), np.packbits(self.shared))), 1)
-
-    def flags(self, kind: str, keys: np.ndarray, buckets: int) -> np.ndarray:
-        """The answers of a duplicate detection about sorted keys."""
-        cuts = [0, *np.searchsorted(keys, bucket_edges(buckets)), len(keys)]
-        flag = np.zeros(len(keys), bool)
-        for bucket, blob in self.bitmaps[kind]:
-            lo, hi = cuts[bucket], cuts[bucket + 1]
-            flag[lo:hi] = np.unpackbits(np.frombuffer(blob, np.uint8), count=hi - lo).astype(bool)
-        return flag
+    def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``grouped`` keys of the strings at the places, and whether two documents here hold each key."""
+        keys, order, starts = grouped(gram_keys(self.windows(at, size)))
+        doc = self.doc_of(at)[order]
+        many = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(at) else np.zeros(0, bool)
+        return keys, order, starts, many
 
     def learn_shared(self, buckets: int) -> None:
         """Which anchors' grams another document has."""
-        if not self.answers["state"]:
-            keys, index, _ = self.keys(self.at, self.gram)
-            self.shared = self.flags("gram", keys, buckets)[index]
+        keys, order, starts, _ = self.keys(self.at, self.gram)
+        self.shared = self.bits("gram", bucket_sizes(keys, buckets))[index_of(order, starts)]
 
-    def shared_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of shared anchors in order, the anchors, and each one's index into the keys."""
+    def shared_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of shared anchors in order, the anchors, each one's index into the keys, and the least document (number) of each key."""
         here = np.flatnonzero(self.shared)
-        keys, index = np.unique(gram_keys(self.windows(self.at[here], self.gram)), return_inverse=True)
-        return keys, here, index
+        keys, order, starts = grouped(gram_keys(self.windows(self.at[here], self.gram)))
+        first = np.minimum.reduceat(self.doc[here][order], starts) if len(here) else np.empty(0, np.int64)
+        return keys, here, index_of(order, starts), first
 
     def least_anchor(self, at: np.ndarray) -> np.ndarray:
         """For each place the anchor (index) of its string's least gram, leftmost of ties; -1 where the string leaves the text."""
@@ -208,13 +246,15 @@ class Block:
         least = self.least_anchor(at)
         return at[(least >= 0) & self.sampled(at, least) & self.shared[least]] if len(self.at) else at
 
-    def open_grams(self, hits: np.ndarray) -> np.ndarray:
-        """Anchors whose gram is the least of a place that the first merge left open, and stands in a smaller document."""
-        _, here, index = self.shared_grams()
+    def open_grams(self, hits: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of shared anchors, and which of them are the least gram of a place that the first merge left open while a
+        smaller document has them."""
+        keys, here, index, first = self.shared_grams()
+        earlier = self.bits("least", bucket_sizes(keys, buckets))
         follows = np.zeros(len(self.at), bool)
-        follows[here] = np.frombuffer(self.answers["least"], np.int64)[index] < self.ids[self.doc[here]]
+        follows[here] = earlier[index] | (self.ids[self.doc[here]] > self.ids[first][index])
         mark = self.around(np.flatnonzero(follows))
-        doc = np.searchsorted(self.ends, hits, "right")
+        doc = self.doc_of(hits)
         near = (np.diff(hits) <= self.width) & (doc[1:] == doc[:-1])
         step = np.zeros(len(self.data) + 2, np.int32)
         np.add.at(step, hits[:-1][near], 1)
@@ -222,37 +262,43 @@ class Block:
         at = np.flatnonzero(mark & (np.cumsum(step[:-2]) == 0))
         least = self.least_anchor(at)
         open_ = (least >= 0) & follows[least] & ~self.sampled(at, least) if len(at) else np.empty(0, bool)
-        return np.unique(least[open_])
+        wanted = np.zeros(len(keys), bool)
+        number = np.zeros(len(self.at), np.uint32)
+        number[here] = index
+        wanted[number[least[open_]]] = True
+        return keys, wanted
 
     def wanted_places(self, buckets: int) -> np.ndarray:
         """All places, but for those of the first merge, whose least gram some document has at an open place."""
-        keys, here, index = self.shared_grams()
+        keys, here, index, _ = self.shared_grams()
         wanted = np.zeros(len(self.at), bool)
-        wanted[here] = self.flags("want", keys, buckets)[index]
+        wanted[here] = self.bits("want", bucket_sizes(keys, buckets))[index]
         at = np.flatnonzero(self.around(np.flatnonzero(wanted)))
         least = self.least_anchor(at)
         return at[(least >= 0) & wanted[least] & ~self.sampled(at, least)] if len(at) else at
 
-    def second_places(self, buckets: int) -> np.ndarray:
-        """The wanted places whose whole string another document seems to have."""
-        at = self.wanted_places(buckets)
-        keys, index, _ = self.keys(at, self.width)
-        return at[self.flags("string", keys, buckets)[index]]
+    def second_places(self, at: np.ndarray, buckets: int) -> np.ndarray:
+        """Those of the wanted places whose whole string another document seems to have."""
+        keys, order, starts = grouped(gram_keys(self.windows(at, self.width)))
+        return at[self.bits("string", bucket_sizes(keys, buckets))[index_of(order, starts)]]
 
-    def sorted_run(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct strings at the places in byte order, each place's index into them, and the least id of each here."""
+    def sorted_run(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings at the places in byte order, the least id of each here, each place's index into them, and whether its
+        document comes after that of the least id."""
         strings, first, index = np.unique(np.ascontiguousarray(self.windows(at, self.width)).view(f"S{self.width}").ravel(),
                                           return_index=True, return_inverse=True)
-        docs = self.ids[np.searchsorted(self.ends, at[first], "right")]      # documents are in id order
-        return strings, index, docs
+        docs = self.ids[self.doc_of(at[first])]        # documents are in id order
+        return strings, docs, index.astype(np.uint32), self.ids[self.doc_of(at)] > docs[index]
 
-    def hits(self, kind: str, at: np.ndarray) -> np.ndarray:
-        """The places whose string stands in a document of smaller id."""
-        if not len(at):
-            return at
-        _, index, _ = self.sorted_run(at)
-        least = np.frombuffer(self.answers[kind], np.int64)
-        return at[least[index] < self.ids[np.searchsorted(self.ends, at, "right")]]
+    def hits(self, kind: str) -> np.ndarray:
+        """The places of a merge whose string stands in a document of smaller id: one of another block, or one of this."""
+        places, index, later, sizes = self.state(kind)
+        return from_steps(places)[self.bits(f"{kind} run", sizes)[index] | later]
+
+
+def bucket_sizes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """How many of the sorted keys lie in each hash range."""
+    return np.diff(np.searchsorted(keys, bucket_edges(buckets)), prepend=0, append=len(keys))
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
@@ -378,11 +424,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
     never cross documents. Null text counts as empty; texts under ``width`` bytes lose nothing; rows of one doc_id do not remove each
     other's bytes; a null doc_id comes after all others. Repeated rows get one result each.
     """
-    n = partitions(docs)
+    n = partitions(docs)                               # ranges of the merges, and of the detections
     key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     hashed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
                          key.alias("key"), *carry)
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(n)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(block_count(docs, BLOCK_BYTES))).cast("int").alias("block")
     dealt = hashed.select(block, "doc_id", "key", "text", *carry)
     rank = F.coalesce("doc_id", F.lit(LAST))
 
@@ -395,83 +441,98 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
 
     cuts = splitters(docs, n, width)
 
+    def opened(left: pa.Table, right: pa.Table) -> tuple[Block, int]:
+        return Block(left, right, width, gram), left.column("block")[0].as_py()
+
     def emit_grams(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(_MESSAGE, [])
-        b = Block(left, right, width, gram)
-        keys, _, many = b.keys(b.at, gram)
-        return to_buckets(left.column("block")[0].as_py(), "gram", keys, many)
+        b, me = opened(left, right)
+        b.find_anchors()
+        keys, _, _, many = b.keys(b.at, gram)
+        return _rows(_MESSAGE, to_buckets(me, "gram", keys, many))
 
     def detect(table: pa.Table) -> pa.Table:
-        """Flag keys that any block marked by the lowest bit, or (but for kind want) that two blocks sent."""
+        """Flag keys that any block marked by the lowest bit, or (but for kind want) that two blocks sent. What a block keeps for
+        itself passes through."""
         rows = table.to_pylist()
-        sent = [np.frombuffer(r["blob"], np.uint64) for r in rows]
-        flat = np.concatenate(sent)
-        keys, index, counts = np.unique(flat & ~np.uint64(1), return_inverse=True, return_counts=True)
-        flag = np.zeros(len(keys), bool) if rows[0]["kind"] == "want" else counts > 1
-        flag[index[(flat & np.uint64(1)) == 1]] = True
-        parts = np.split(flag[index], np.cumsum([len(s) for s in sent])[:-1])
-        return _rows(_MESSAGE, [(r["block"], r["kind"], r["part"], np.packbits(p).tobytes()) for r, p in zip(rows, parts)])
-
-    def to_buckets(me: int, kind: str, keys: np.ndarray, marked: np.ndarray) -> pa.Table:
+        out = [(r["block"], r["kind"], 0, r["blob"]) for r in rows if r["kind"] in KEPT]
+        rows = [r for r in rows if r["kind"] not in KEPT]
+        if rows:
+            sent = [np.frombuffer(r["blob"], np.uint64) for r in rows]
+            flat = np.concatenate(sent)
+            keys, order, starts = grouped(flat & ~np.uint64(1))
+            index = index_of(order, starts)
+            flag = np.zeros(len(keys), bool) if rows[0]["kind"] == "want" else np.diff(starts, append=len(flat)) > 1
+            flag[index[(flat & np.uint64(1)) == 1]] = True
+            parts = np.split(flag[index], np.cumsum([len(x) for x in sent])[:-1])
+            out += [(r["block"], r["kind"], r["part"], np.packbits(p).tobytes()) for r, p in zip(rows, parts)]
+        return _rows(_MESSAGE, out)
+
+    def to_buckets(me: int, kind: str, keys: np.ndarray, marked: np.ndarray) -> list[tuple]:
+        at = [0, *np.cumsum(bucket_sizes(keys, n))]
         keys = keys | marked.astype(np.uint64)
-        at = [0, *np.searchsorted(keys, bucket_edges(n)), len(keys)]
-        return _rows(_MESSAGE, [(me, kind, i, keys[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo])
+        return [(me, kind, i, keys[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
 
     def runs_of(b: Block, me: int, kind: str, at: np.ndarray) -> list[tuple]:
-        strings, _, least = b.sorted_run(at)
+        """The sorted run of the places, cut by range; and what the block must know to read the answers."""
+        strings, least, index, later = b.sorted_run(at)
         edges = [0, *np.searchsorted(strings, cuts), len(strings)]
-        return [(i, me, kind, *front_code(strings[lo:hi]), least[lo:hi].tobytes())
-                for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        out = [(i, me, f"{kind} run", *front_code(strings[lo:hi]), least[lo:hi].tobytes())
+               for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        return [*out, (me % n, me, kind, packed(steps(at), index, later, np.diff(edges)), b"", b"")]
 
     def emit_first(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(_RUN, [])
-        b, me = Block(left, right, width, gram), left.column("block")[0].as_py()
+        b, me = opened(left, right)
+        b.find_anchors()
         b.learn_shared(n)
         out = runs_of(b, me, "first", b.first_places())
-        keys, here, index = b.shared_grams()
-        own = b.ids[b.doc[here[np.unique(index, return_index=True)[1]]]]           # documents are in id order
-        at = [0, *np.searchsorted(keys, bucket_edges(n)), len(keys)]
+        keys, _, _, first = b.shared_grams()
+        at, own = [0, *np.cumsum(bucket_sizes(keys, n))], b.ids[first]
         out += [(i, me, "least", keys[lo:hi].tobytes(), b"", own[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
-        return _rows(_RUN, [*out, (me % n, me, "state", b.state(), b"", b"")])
+        return _rows(_RUN, [*out, (me % n, me, "anchors", packed(steps(b.at), b.shared), b"", b"")])
 
     def emit_wanted(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(_MESSAGE, [])
-        b = Block(left, right, width, gram)
-        keys, here, index = b.shared_grams()
-        wanted = np.zeros(len(keys), bool)
-        wanted[index[np.isin(here, b.open_grams(b.hits("first", b.first_places())))]] = True
-        return to_buckets(left.column("block")[0].as_py(), "want", keys, wanted)
+        b, me = opened(left, right)
+        b.recall_anchors()
+        hits = b.hits("first")
+        return _rows(_MESSAGE, [*to_buckets(me, "want", *b.open_grams(hits, n)), (me, "hits", me % n, packed(steps(hits)))])
 
     def emit_strings(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(_MESSAGE, [])
-        b = Block(left, right, width, gram)
-        keys, _, many = b.keys(b.wanted_places(n), width)
-        return to_buckets(left.column("block")[0].as_py(), "string", keys, many)
+        b, me = opened(left, right)
+        b.recall_anchors()
+        at = b.wanted_places(n)
+        keys, _, _, many = b.keys(at, width)
+        return _rows(_MESSAGE, [*to_buckets(me, "string", keys, many), (me, "wanted", me % n, packed(steps(at)))])
 
     def emit_second(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(_RUN, [])
-        b = Block(left, right, width, gram)
-        return _rows(_RUN, runs_of(b, left.column("block")[0].as_py(), "second", b.second_places(n)))
+        b, me = opened(left, right)
+        return _rows(_RUN, runs_of(b, me, "second", b.second_places(from_steps(b.state("wanted")[0]), n)))
 
     def merge_range(table: pa.Table) -> pa.Table:
+        """Which strings of the runs, and which keys, another block has with a smaller id."""
         rows = table.to_pylist()
-        runs = [r for r in rows if r["kind"] in ("first", "second")]
+        runs = [r for r in rows if r["kind"].endswith(" run")]
         grams = [r for r in rows if r["kind"] == "least"]
-        out = [(r["block"], "state", 0, r["lcps"]) for r in rows if r["kind"] == "state"]
+        out = [(r["block"], r["kind"], 0, r["lcps"]) for r in rows if r["kind"] in KEPT]
+        ids = lambda r: np.frombuffer(r["docs"], np.int64)
         if runs:
             found = least_ids([(r["lcps"], r["tails"], r["docs"]) for r in runs], width)
-            out += [(r["block"], r["kind"], r["part"], f.tobytes()) for r, f in zip(runs, found)]
+            out += [(r["block"], r["kind"], r["part"], np.packbits(f < ids(r)).tobytes()) for r, f in zip(runs, found)]
         if grams:
-            keys, index = np.unique(np.concatenate([np.frombuffer(r["lcps"], np.uint64) for r in grams]), return_inverse=True)
-            least = np.full(len(keys), LAST)
-            np.minimum.at(least, index, np.concatenate([np.frombuffer(r["docs"], np.int64) for r in grams]))
+            keys, order, starts = grouped(np.concatenate([np.frombuffer(r["lcps"], np.uint64) for r in grams]))
+            own = np.concatenate([ids(r) for r in grams])
+            earlier = np.minimum.reduceat(own[order], starts)[index_of(order, starts)] < own
             ends = np.cumsum([len(r["docs"]) // 8 for r in grams])[:-1]
-            out += [(r["block"], "least", r["part"], f.tobytes()) for r, f in zip(grams, np.split(least[index], ends))]
+            out += [(r["block"], "least", r["part"], np.packbits(f).tobytes()) for r, f in zip(grams, np.split(earlier, ends))]
         return _rows(_MESSAGE, out)
 
     shape = docs.select(F.col("doc_id").cast("long"), *carry).schema
@@ -484,11 +545,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
     def finish(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _rows(result, [])
-        b = Block(left, right, width, gram)
-        first = b.hits("first", b.first_places())
-        second = b.hits("second", b.second_places(n))
+        b, _ = opened(left, right)
         step = np.zeros(len(b.data) + 1, np.int32)
-        for at in (first, second):
+        for at in (from_steps(b.state("hits")[0]), b.hits("second")):
             np.add.at(step, at, 1)
             np.add.at(step, at + width, -1)
         gone = np.cumsum(step[:-1]) > 0
@@ -509,16 +568,21 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
         return _rows(result, out)
 
     def to_blocks(messages: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
-        return dealt.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(fn, schema)
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = fn(key, left, right)
+            give_back()
+            return out
+        return dealt.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(run, schema)
 
+    told = lambda known, *kinds: copies.unionByName(known.where(F.col("kind").isin(*kinds)))
     shared = to_blocks(copies, emit_grams, MESSAGE).groupBy("part").applyInArrow(detect, MESSAGE)
-    first = to_blocks(copies.unionByName(shared), emit_first, RUN).groupBy("part").applyInArrow(merge_range, MESSAGE)
-    known = copies.unionByName(saved(first, "suffixes"))
-    wanted = saved(to_blocks(known, emit_wanted, MESSAGE).groupBy("part").applyInArrow(detect, MESSAGE), "suffixes")
-    known = known.unionByName(wanted)
-    known = known.unionByName(saved(to_blocks(known, emit_strings, MESSAGE).groupBy("part").applyInArrow(detect, MESSAGE), "suffixes"))
-    second = to_blocks(known, emit_second, RUN).groupBy("part").applyInArrow(merge_range, MESSAGE)
-    return to_blocks(known.unionByName(second), finish, shape)
+    first = saved(to_blocks(copies.unionByName(shared), emit_first, RUN).groupBy("part").applyInArrow(merge_range, MESSAGE), "suffixes")
+    wanted = saved(to_blocks(told(first, "anchors", "first", "first run", "least"), emit_wanted, MESSAGE)
+                   .groupBy("part").applyInArrow(detect, MESSAGE), "suffixes")
+    strings = saved(to_blocks(told(first, "anchors").unionByName(wanted.where("kind = 'want'")), emit_strings, MESSAGE)
+                    .groupBy("part").applyInArrow(detect, MESSAGE), "suffixes")
+    second = to_blocks(told(strings, "wanted", "string"), emit_second, RUN).groupBy("part").applyInArrow(merge_range, MESSAGE)
+    return to_blocks(told(wanted, "hits").unionByName(second), finish, shape)
 
 
 def splitters(docs: DataFrame, n: int, width: int, oversample: int = 20) -> np.ndarray:
