@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -69,6 +70,19 @@ NAMES = {
 }
 SENTENCES |= {f"{k.lower()}.short": "|".join(f"{verb} under {terms}{n}" for verb in ("licensed", "released", "distributed", "available", "made available", "published")
                                              for terms in ("", "the ", "the terms of the ") for n in names.split("|")) for k, names in NAMES.items()}
+#: A line that is only a licence's name is its title; "mit licensed" follows "this project is".
+SENTENCES |= {f"{k.lower()}.named": "|".join([t for n in names.split("|") if " " in n for t in (n, f"the {n}")] + [f"{n} licensed" for n in names.split("|")])
+              for k, names in NAMES.items()}
+#: Long names of the Creative Commons licences.
+SENTENCES |= {"cc-by.long": "licensed under a creative commons attribution # international license|licensed under the creative commons attribution # international license",
+              "cc-by-sa.long": "licensed under a creative commons attribution sharealike # international license|licensed under the creative commons attribution sharealike # international license",
+              "cc-by-nc.long": "licensed under a creative commons attribution noncommercial # international license|licensed under the creative commons attribution noncommercial # international license"}
+#: Identifiers in SPDX lines, by licence.
+SPDX = {"MIT": "MIT", "Apache": "Apache", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "Unlicense": "Unlicense", "BSL": "BSL",
+        "EPL": "EPL", "AGPL": "AGPL", "LGPL": "LGPL", "GPL": "GPL", "MPL": "MPL", "CC-BY-NC": "CC-BY-NC", "CC-BY-SA": "CC-BY-SA", "CC-BY": "CC-BY", "CC0": "CC0"}
+SPDX_LINE = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() \t-]+)", re.I)
+SPDX_ID = re.compile(r"[A-Za-z][A-Za-z0-9.+-]*")
+SPDX_VERSION = re.compile(r"(.*?)(?:-v?(\d+(?:\.\d+)*))?(?:-only|-or-later|\+)?\Z", re.I)
 #: Ordered rules (licence, identifiers that must follow each other in this order); the first that fits names the licence.
 RULES = (
     ("MIT", ("mit.grant", "mit.notice", "mit.as-is")), ("MIT", ("mit.grant",)), ("MIT", ("mit.released",)), ("MIT", ("mit.licensed",)),
@@ -77,7 +91,8 @@ RULES = (
     ("ISC", ("isc.grant",)), ("Unlicense", ("unlicense.released",)), ("BSL", ("boost.grant",)), ("BSL", ("boost.licensed",)), ("EPL", ("epl.terms",)),
     ("AGPL", ("agpl.program",)), ("LGPL", ("lgpl.program",)), ("LGPL", ("lgpl.licensed",)), ("GPL", ("gpl.program",)), ("GPL", ("gpl.work",)), ("GPL", ("gpl.licensed",)), ("MPL", ("mpl.subject",)),
     ("CC-BY-NC", ("cc-by-nc.licensed",)), ("CC-BY-SA", ("cc-by-sa.licensed",)), ("CC-BY", ("cc-by.licensed",)), ("CC0", ("cc0.dedicated",)),
-    *((k, (f"{k.lower()}.short",)) for k in NAMES), ("proprietary", ("reserved.all",)),
+    *((k, (f"{k.lower()}.long",)) for k in ("CC-BY-NC", "CC-BY-SA", "CC-BY")), *((k, (f"{k.lower()}.short",)) for k in NAMES),
+    *((k, (f"spdx.{k.lower()}",)) for k in SPDX), *((k, (f"{k.lower()}.named",)) for k in NAMES), ("proprietary", ("reserved.all",)),
 )
 #: What may stand between a known sentence and its end.
 TAILS = tuple(tuple(t.split()) for t in ("", "the license", "license", "only", "or later", "or any later version", "or at your option any later version",
@@ -105,6 +120,26 @@ def fits(known: tuple, words: list[str], i: int) -> tuple[int, str] | None:
     return i, version
 
 
+def marks(sentences: dict[str, str]) -> list[str]:
+    """Patterns of which every known sentence has one (or an SPDX line): two neighbours, at best with a word of six letters or more, or
+    the word of a sentence of one.
+
+    Again and again the one is taken that most of the sentences left have. What may stand between neighbours is no part of a word.
+    """
+    def of(text: str) -> set[str]:
+        words = text.split()
+        pairs = [(a, b) for a, b in zip(words, words[1:]) if a.isalpha() and b.isalpha()]
+        pairs = [p for p in pairs if max(map(len, p)) > 5] or pairs
+        return {f"{a}[^A-Za-z0-9]+{b}" for a, b in pairs} or {w for w in words if w.isalpha()}
+    left, out = [of(text) for texts in sentences.values() for text in texts.split("|")], ["spdx"]
+    while left:
+        counts = Counter(p for found in left for p in found)
+        best = max(counts, key=lambda p: (counts[p], len(p), p))
+        out.append(best)
+        left = [found for found in left if best not in found]
+    return out
+
+
 class Finder:
     """Known sentences by their first word."""
 
@@ -117,9 +152,13 @@ class Finder:
         for found in self.by_start.values():
             found.sort(key=lambda x: -len(x[0]))       # of equal lengths the one named first
         self.rules = rules
-        #: every known sentence has one of these words, so other texts are passed over
-        self.marks = re.compile("licen[sc]e|licensed|(?:released|distributed|available|published)\\s+under|rights reserved|permi(?:ssion|tted)"
-                                "|redistribut|public\\W+domain|warrant|copyright|made\\s+available", re.I)
+        #: every known sentence has one of these, so other texts are passed over
+        self.marks = [(max(m.split("[^A-Za-z0-9]+"), key=len), re.compile(m)) for m in marks(sentences)]
+
+    def may_hold(self, text: str) -> bool:
+        """Whether a text can hold a known sentence: first by a mark's longest word, then by the mark."""
+        low = text.lower()
+        return any(word in low and mark.search(low) for word, mark in self.marks)
 
     def at(self, words: list[str], breaks: set[int], i: int) -> tuple[str, str, int] | None:
         """(identifier, version, end) of the known sentence at word i, alone or with a tail, up to a break."""
@@ -133,7 +172,7 @@ class Finder:
 
     def sentences(self, text: str) -> list[tuple[str, str, int, int]]:
         """(identifier, version, start, end) of known sentences, from sentence start to sentence end, in order."""
-        if not self.marks.search(text):
+        if not self.may_hold(text):
             return []
         words, starts, ends, breaks = [], [], [], {0}
         for m in PIECE.finditer(text):
@@ -153,6 +192,19 @@ class Finder:
             if found:
                 name, version, free = found
                 out.append((name, version, starts[i], ends[free - 1]))
+        return sorted([*out, *self.spdx(text)], key=lambda x: x[2:])
+
+    @staticmethod
+    def spdx(text: str) -> list[tuple[str, str, int, int]]:
+        """(identifier, version, start, end) of the known licences in SPDX lines."""
+        out = []
+        for line in SPDX_LINE.finditer(text):
+            for m in SPDX_ID.finditer(line[1]):
+                name, version = SPDX_VERSION.match(m[0]).groups()
+                known = next((k for k, v in SPDX.items() if v.lower() in (name.lower(), m[0].lower())), None)
+                if known:
+                    at = line.start(1)
+                    out.append((f"spdx.{known.lower()}", version or "", at + m.start(), at + m.end()))
         return out
 
     def licence(self, names: list[str]) -> str | None:

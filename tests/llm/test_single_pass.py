@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -147,6 +148,64 @@ def test_full_notices_heads_tails_and_all_licences():
     assert named("we say licensed under the mit license here") == []
 
 
+def test_names_titles_spdx_and_broken_lines():
+    finder = licenses.Finder(licenses.SENTENCES, licenses.RULES)
+
+    def named(text):
+        return [x[:2] for x in finder.licences(finder.sentences(text))]
+
+    for text in ("All rights\nreserved.", "All rights  reserved.", "# All rights\n# reserved."):
+        assert named(text) == [("proprietary", None)], text
+    assert named("This project is MIT licensed.") == [("MIT", None)] and named("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007") == [("GPL", None)]
+    assert named("GNU General Public License v3") == [("GPL", "3")] and named("The MIT License\n\nCopyright") == [("MIT", None)]
+    assert named("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == [("CC-BY-SA", "4.0")]
+    assert named("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint main;") == [("MIT", None), ("Apache", "2.0")]
+    assert named("# spdx-license-identifier: (GPL-3.0-or-later AND BSD-3-Clause)") == [("BSD-3-Clause", None), ("GPL", "3.0")]
+    assert named("SPDX-License-Identifier: Zlib") == [] and named("we like the mit license a lot") == []
+
+
+def plain_sentences(text):
+    """Identifiers by plain search: every stretch between two marks or line ends, as it is, against every known sentence."""
+    import itertools
+    import re
+    tokens = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z]+|\d+(?:\.\d+)*|[.!?;:]+(?=\s|$)|\n", text, re.A)]
+    words, ends = [], {0}
+    for t, a, b in tokens:
+        if t[0].isalnum():
+            words.append((t, a, b))
+        else:
+            ends.add(len(words))
+    ends = sorted(ends | {len(words)})
+    found = {}
+    for i, j in itertools.combinations(ends, 2):
+        stretch = " ".join(w for w, _, _ in words[i:j])
+        for name, texts in licenses.SENTENCES.items():
+            for known in texts.split("|"):
+                rule = " ".join(r"\d+(?:\.\d+)*" if w == "#" else r"\S+(?: \S+){0,7}" if w == "*" else re.escape(w) for w in known.split())
+                if re.fullmatch(rule, stretch):
+                    found.setdefault((words[i][1], words[j - 1][2]), set()).add(name)
+    return found
+
+
+def test_sentences_by_plain_search(spark, sf):
+    """What the scan finds without heads and tails is what plain search finds at the same place, and it misses no stretch."""
+    finder = licenses.Finder(licenses.SENTENCES, licenses.RULES)
+    r = random.Random(3)
+    pool = [t for v in licenses.SENTENCES.values() for t in v.split("|")]
+    made = []
+    for _ in range(40):
+        parts = [r.choice([r.choice(pool).replace("#", "2.0").replace("*", "the holder"), "Some words of ours", "Copyright 2020 us"]) for _ in range(r.randrange(1, 4))]
+        made.append(r.choice(["\n", ". ", ".\n# "]).join(p.upper() if r.random() < 0.3 else p for p in parts) + r.choice(["", "."]))
+    given = [t.text for t in spark.read.parquet(f"{sf}/documents.parquet").where("char_length(text) < 1500").collect() if "licen" in t.text.lower() or "rights" in t.text]
+    for text in [*made, *given[:20]]:
+        want = plain_sentences(text)
+        got = {(a, b): name for name, _, a, b in finder.sentences(text)}
+        for span, name in got.items():
+            assert span not in want or name in want[span] or name.startswith("spdx"), (text, span)
+        for a, b in want:
+            assert any(x <= a and b <= y or (a < y and x < b) for x, y in got), (text, want[a, b])
+
+
 def test_licence_scan_on_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
