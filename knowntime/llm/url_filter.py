@@ -56,7 +56,9 @@ def judged(df: DataFrame, rules: Sequence[tuple[str, str, str]], host_col: str =
                         F.lit(h + p).alias("rule"), F.lit(p).alias("path"))
 
     book = F.create_map(*[x for h, rs in by_host.items() for x in (F.lit(h), F.array(*[entry(*r) for r in rs]))])
+    deepest = max(h.count(".") + 1 for h in by_host)
     labels = F.split(F.col(host_col), r"\.")
+    labels = F.slice(labels, F.greatest(F.size(labels) - deepest + 1, F.lit(1)), deepest)      # no rule has a longer host
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = F.filter(F.flatten(F.transform(ends, lambda e: F.coalesce(F.try_element_at(book, e), F.array().cast(
         "array<struct<size:int,allow:int,rule:string,path:string>>")))), lambda r: F.col(path_col).startswith(r["path"]))
