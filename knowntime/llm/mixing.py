@@ -115,14 +115,16 @@ def fit_rates(members: DataFrame, targets: Sequence[float] = TARGETS, iterations
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, keep: Sequence[str] = ("doc_id",), most: int = 5000) -> DataFrame:
     """Posteriors, rate and copies of every document (doc_id, text): copies is the rate's whole part, plus one with the chance of the
-    rest, drawn from a hash of id and text (so a rerun draws alike).
+    rest, drawn from a hash of id, word count and posteriors (so a rerun draws alike).
 
-    A null or empty text has no tokens: it weighs nothing and its rate follows its priors. Repeated rows are rated alike.
+    ``reached`` (alike in all rows) has the expected share of each domain in words, over all words of the input: how far it is from
+    ``targets`` tells whether they can be met, as rates are nonnegative but a domain may lack words. A null or empty text has no tokens: it weighs nothing and its rate follows its priors. Repeated rows are rated alike.
     """
     model = fit_domains(docs.select("doc_id", "text"), labels, most=most)
     members = saved(posteriors(docs, model, keep), "members")
-    rated, _ = fit_rates(members, targets)
+    rated, shares = fit_rates(members, targets)
+    reached = F.array(*[F.lit(float(x)) for x in shares]).alias("reached")
     names = [d for d, _ in DOMAINS]
     draw = F.pmod(F.xxhash64("doc_id", "n_tokens", "p"), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int")).select(
-        *keep, "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(names)], "rate", "copies")
+        *keep, "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(names)], "rate", "copies", reached)
