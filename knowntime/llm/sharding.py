@@ -60,10 +60,28 @@ def hilbert_index(levels: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, walk, lambda acc: acc["h"])
 
 
-def text_order(c: Column) -> Column:
-    """A number that sorts like the first seven bytes of a string; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def text_cuts(df: DataFrame, column: str, bits: int) -> list[str]:
+    """Values that begin a level: whole strings in order, cut so that each of up to 2^bits levels has about as many rows.
+
+    Rows are counted per value, values are numbered by running sums inside range partitions; at most 2^bits values reach the
+    driver. A value that fills several levels begins one.
+    """
+    levels = 1 << bits
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = saved(counts.repartitionByRange(partitions(df), "value").withColumn("_part", F.spark_partition_id()), "values")
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)      # one row per range partition
+    whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    starts = ordered.groupBy("_part").agg(F.sum("n").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"))
+    inside = F.sum("n").over(W.partitionBy("_part").orderBy("value").rowsBetween(W.unboundedPreceding, -1))
+    placed = ordered.withColumn("_before", F.coalesce(inside, F.lit(0))).join(starts, "_part").select(
+        "value", F.expr(f"((_start + _before) * {levels}) div _total").alias("level"))
+    return sorted(r["value"] for r in placed.groupBy("level").agg(F.min("value").alias("value")).collect())
+
+
+def text_level(value: Column, cuts: Sequence[str]) -> Column:
+    """How many cuts but the first lie at or below the value; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts[1:]]), lambda c: c <= value)), F.lit(0)) if len(cuts) > 1 else F.lit(0)
 
 
 def level_bounds(df: DataFrame, codes: Sequence[Column], bits: int) -> list[list[int]]:
@@ -107,9 +125,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, bits: int = 5) -> DataFra
     text = whole_text()
     rows = docs.select("doc_id", "lang", "source", (F.octet_length(text).cast("long") + 16).alias("size"),
                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_hash"))
-    codes = [text_order(F.col("source")), text_order(F.col("lang")), F.col("size")]
-    bounds = level_bounds(docs.select("lang", "source", (F.octet_length(text).cast("long") + 16).alias("size")), codes, bits)
-    cell = hilbert_index([level(c, b) for c, b in zip(codes, bounds)], bits)
+    sizes, = level_bounds(docs.select((F.octet_length(text).cast("long") + 16).alias("size")), [F.col("size")], bits)
+    by_text = [text_level(F.when(F.col(c).isNotNull(), F.col(c)), text_cuts(docs.select(c), c, bits)) for c in ("source", "lang")]
+    cell = hilbert_index([*by_text, level(F.col("size"), sizes)], bits)
     ranked = global_rank(rows.withColumn("cell", cell), ["cell", "_hash", "doc_id", "source", "lang"], "shards")
     shard = F.expr(f"(_rank * {shards}) div _total")
     return (ranked.withColumn("shard", shard)

@@ -180,3 +180,49 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert passage[:50] not in cut.text and cut.n_chars == len(cut.text) and cut.text.startswith(" ".join(fresh[:half])[:-10])
     assert {r.doc_id for r in seen["packing"]} == ids["mixing"] and 900003 in ids["mixing"]
     assert sum(r.start == 0 for r in seen["packing"]) == len(seen["mixing"])
+
+
+def test_sources_that_begin_alike_lie_in_different_levels(spark):
+    names = [f"https://www.example.com/feed/{i:03d}" for i in range(64)]
+    rows = [(i, "t" * (i % 7), "en" if i % 3 else None, names[i % 64] if i % 97 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = sharding.text_cuts(df, "source", 5)
+    assert len(cuts) == 32 and cuts == sorted(cuts) and set(cuts) <= set(names)
+    levels = {r.source: r.l for r in df.select("source", sharding.text_level(F.col("source"), cuts).alias("l")).distinct().collect()}
+    found = [levels[n] for n in names]
+    assert levels[None] == 0 and found == sorted(found) and len(set(found)) == 32 and max(found.count(x) for x in found) <= 3
+    out = sharding.shard_documents(df).collect()
+    assert len(out) == 2000 and {sum(r.shard == s for r in out) for s in range(40)} == {50}
+    per = [len({r.source for r in out if r.shard == s}) for s in range(40)]
+    assert sum(per) / 40 < 32                              # a shard holds few of the 64 sources
+    flat = df.withColumn("source", F.lit(None).cast("string"))
+    assert sharding.text_cuts(flat, "source", 5) == [] and sharding.shard_documents(flat.where("false")).collect() == []
+
+
+def test_hosts_of_many_labels_take_linear_time(spark):
+    import time
+    long = "http://" + "a." * 60_000 + "com/de/x"
+    pages = spark.createDataFrame([(1, long, None), (2, "http://com/fr/", None)], "page_id long, url string, html string")
+    start = time.time()
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()} == {1: ("com/de/", "block"), 2: ("com/fr/", "allow")}
+    assert time.time() - start < 60
+
+
+def test_long_chains_and_hubs_of_redirects(spark):
+    n = 3000
+    chain = [(f"http://c.net/{i}", f"http://c.net/{i + 1}") for i in range(n)] + [(f"http://h.net/{i}", "http://hub.net/") for i in range(n)]
+    chain += [(f"http://c.net/{n}", "http://y.com/de/"), ("http://hub.net/", "http://x.com/fr/"), ("http://h.net/7", "http://y.com/de/2")]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(["http://c.net/0", f"http://c.net/{n // 2}", "http://h.net/5", "http://other.net/"])],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, redirects=spark.createDataFrame(chain, "url string, target string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
+def test_mixing_tells_the_shares_it_reached(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "vile things there ") * 20) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0, 0 if i % 2 else 1) for i in range(0, 200)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs, labels).collect()
+    (reached,) = {tuple(r.reached) for r in out}
+    for i in range(3):
+        names = ("p_clean", "p_rough", "p_toxic")
+        assert abs(sum(r.rate * r.n_tokens * r[names[i]] for r in out) / sum(r.n_tokens for r in out) - reached[i]) < 1e-9
