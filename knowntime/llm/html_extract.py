@@ -33,21 +33,28 @@ HINTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising
                   "consent contentinfo cookie cookies copyright dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter "
                   "notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
                   "sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Pseudo-words outside the article with which a hinted place starts.
+HINTED = 1000
 #: Words that may follow a hint in a name ("ad-container"), and words that turn one off ("no-sidebar").
 GENERIC = frozenset("area bar block body bottom box container content inner item items left list outer panel right section slot top unit wrap wrapper".split())
 NOT = frozenset("has no not with without".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Raw elements whose content HTML ends at their end tag alone.
+PLAIN = frozenset("script style title textarea".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[^\s/>=][^\s/>=]*")
+SPACE = re.compile(r"[\s/]*")
+SET_TO = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+TELLING = frozenset("class id role hidden style aria-hidden".split())
 WORD = re.compile(r"[^\W\d_]+")
 WORDS = re.compile(r"\S+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "boiler", "content", "block", "depth", "closed", "own", "hinted")
+    __slots__ = ("name", "parent", "boiler", "content", "block", "holder", "number", "last", "own", "hinted")
 
-    def __init__(self, name: str, parent: Element | None, attributes: str):
-        self.name, self.parent = name, parent
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, name: str, parent: Element | None, attributes: list[tuple[str, str]], number: int):
+        self.name, self.parent, self.number, self.last = name, parent, number, number
         self.content = name in CONTENT or bool(parent and parent.content)
         hints = boilerplate(attributes) if attributes else ""
         if name in ("body", "html") and hints != "hidden":
@@ -58,12 +65,13 @@ class Element:
         self.own, self.hinted = own, name not in BOILER and own != "hidden"
         self.boiler = ""                               # set by tokens(), when all of the page is read
         self.block = name if name in BLOCK else parent.block if parent else "body"
+        self.holder = self if name in BLOCK or not parent else parent.holder
 
 
-def boilerplate(attributes: str) -> str:
+def boilerplate(attributes: list[tuple[str, str]]) -> str:
     """The hint that an element's attributes give, or nothing; of a name only its head word counts."""
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in attributes:
+        value = value.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return "hidden"
         if name in ("class", "id", "role"):
@@ -76,6 +84,101 @@ def boilerplate(attributes: str) -> str:
     return ""
 
 
+class Reader:
+    """Reads a page's tags in one pass; every search that fails is not tried again further on."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Place of the next ``what``, or -1."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of(self, name: str, at: int) -> int:
+        """Place after the next end tag of a raw element, or -1."""
+        if name in self.gone:
+            return -1
+        found = CLOSERS[name].search(self.page, at)
+        if not found:
+            self.gone.add(name)
+        return found.end() if found else -1
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """The attributes that tell something, whether the tag closes itself, and the place after its end (-1: it has none).
+
+        A value whose quote is never closed ends at the next white space.
+        """
+        page, size, out = self.page, len(self.page), []
+        while True:
+            at = SPACE.match(page, at).end()
+            if at >= size:
+                return out, False, -1
+            if page[at] == ">":
+                return out, page[at - 1] == "/", at + 1
+            m = ATTRIBUTE.match(page, at)
+            if not m:                                  # a stray equals sign
+                at += 1
+                continue
+            at, value = m.end(), ""
+            sign = SET_TO.match(page, at)
+            if sign:
+                at = sign.end()
+                quote = page[at:at + 1]
+                close = self.find(quote, at + 1) if quote in ("'", '"') else -1
+                if close >= 0:
+                    value, at = page[at + 1:close], close + 1
+                else:
+                    m2 = UNQUOTED.match(page, at)
+                    value, at = m2[0], m2.end()
+            name = m[0].lower()
+            if name in TELLING:
+                out.append((name, value))
+
+    def marks(self) -> Iterator[tuple[int, int, str, bool, list, bool]]:
+        """(start, end, name, is an end tag, attributes, closes itself) of every tag; name "" for comments and the like."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                yield at, end + 3 if end >= 0 else len(page), "", False, [], False
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if page.startswith(("<!", "<?"), at):
+                end = self.find(">", at)
+                yield at, end + 1 if end >= 0 else len(page), "", False, [], False
+                at = end + 1 if end >= 0 else len(page)
+                continue
+            closing = page.startswith("/", at + 1)
+            m = NAME.match(page, at + 1 + closing)
+            if not m:
+                at += 1
+                continue
+            end = self.find(">", m.end())
+            if end < 0:                                # the page breaks off inside a tag
+                yield at, len(page), "", False, [], False
+                return
+            if end == m.end():
+                attributes, alone = [], False
+            else:
+                attributes, alone, end = self.attributes(m.end())
+                end = len(page) if end < 0 else end - 1
+            name = m[0].lower()
+            skip = end + 1
+            if not closing and name in RAW and not alone:
+                close = self.end_of(name, skip)
+                skip = close if close >= 0 else len(page) if name in PLAIN else skip
+            yield at, skip, name, closing, attributes, alone
+            at = skip
+
+
+CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+
+
 def tokens(page: str) -> list[tuple[str, str, Element]]:
     """(kind, value, element): text runs, and tags as "+name" or "-name"; hints on the page's main element, its first article (inside
     main, if there is one) and whatever holds these do not count."""
@@ -90,46 +193,52 @@ def tokens(page: str) -> list[tuple[str, str, Element]]:
             node = node.parent
     for e in made:                                     # parents come before children
         e.boiler = e.parent and e.parent.boiler or e.own
+    for e in reversed(made):
+        if e.parent:
+            e.parent.last = max(e.parent.last, e.last)
     return runs
 
 
 def scan(page: str, made: list[Element]) -> Iterator[tuple[str, str, Element]]:
     """Runs of a page; its elements go to ``made``."""
-    root = here = Element("html", None, "")
+    root = here = Element("html", None, [], 0)
     made.append(root)
-    at, raw = 0, ""
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            yield "text", page[at:m.start()], here
-        at = m.end()
-        name = (m[2] or "").lower()
+    at, opened = 0, Counter()                          # opened: open elements by name
+
+    def leave(node: Element) -> Element:
+        """Close everything up to and with ``node``."""
+        e = here
+        while True:
+            opened[e.name] -= 1
+            if e is node:
+                return node.parent or root
+            e = e.parent
+
+    for start, end, name, closing, attributes, alone in Reader(page).marks():
+        if start > at:
+            yield "text", page[at:start], here
+        at = end
         if not name:
             continue
-        if m[1]:
-            node = here
-            while node and node.name != name:
-                node = node.parent
-            if node and node is not root:
-                here = node.parent
+        if closing:
+            if opened[name] > 0:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = leave(node)
             yield "tag", "-" + name, here
-        elif name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            yield "tag", "+" + name, here
-        elif name in VOID or m[3].endswith("/"):
+        elif name in RAW or name in VOID or alone:
             yield "tag", "+" + name, here
         else:
             if name in ("body", "html"):
                 here = root
+                opened.clear()
             if name in BLOCK:                          # an open paragraph ends where a block begins
-                node = here
-                while node and node.name not in BLOCK:
-                    node = node.parent
-                if node and (node.name == "p" or (node.name == name and name in ("li", "dt", "dd", "td", "th", "tr", "option"))):
-                    here = node.parent or root
-            here = Element(name, here, m[3])
+                node = here.holder
+                if node is not root and (node.name == "p" or (node.name == name and name in ("li", "dt", "dd", "td", "th", "tr"))):
+                    here = leave(node)
+            here = Element(name, here, attributes, len(made))
+            opened[name] += 1
             made.append(here)
             yield "tag", "+" + name, here
     if at < len(page):
@@ -157,21 +266,21 @@ def count_features(pages: list[str]) -> Counter:
             if kind == "text":
                 n = len(WORDS.findall(value))
                 if n:
-                    out[place(e), e.content and not e.boiler] += n
+                    out[place(e), e.content] += n
             elif known(value):
-                out[known(value), e.content and not e.boiler] += 1
+                out[known(value), e.content] += 1
     return out
 
 
 def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log-odds, one pseudo-word each way; tags never score above a small charge, boilerplate never for."""
+    """Log-odds, one pseudo-word each way; tags never score above a small charge. A hinted place starts with HINTED words outside
+    the article: the labelled pages decide, but a few words do not."""
     out = {}
     for feature in {f for f, _ in counts}:
-        odds = math.log((counts.get((feature, True), 0) + 1) / (counts.get((feature, False), 0) + 1))
+        start = HINTED if feature.startswith("boiler:") else 1
+        odds = math.log((counts.get((feature, True), 0) + 1) / (counts.get((feature, False), 0) + start))
         if feature[0] in "+-":
             out[feature] = min(-0.1, max(-3.0, odds / 4))
-        elif feature.startswith("boiler:"):
-            out[feature] = min(-1.0, max(-4.0, odds))
         else:
             out[feature] = max(-4.0, min(4.0, odds))
     return out
@@ -226,9 +335,7 @@ def block_of(e: Element) -> Element:
 
 
 def above(top: Element, e: Element | None) -> bool:
-    while e and e.depth > top.depth:
-        e = e.parent
-    return e is top
+    return e is not None and top.number <= e.number <= top.last
 
 
 def fit_weights(pages: DataFrame, most: int = 2000) -> dict[str, float]:

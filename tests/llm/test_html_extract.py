@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from knowntime.llm import html_extract as he
 
@@ -41,6 +42,45 @@ def test_hints_on_wrappers_and_inside_names_do_not_empty_a_page():
     assert he.main_text("<body>" + inner.format("<article>", "</article>") + late + "</body>", WEIGHTS) == text
 
 
+def test_attributes_are_read_whole():
+    text = "Words of an article that count. More of them."
+    body = "<p>Words of an article that count.{} More of them.</p>"
+    for tag in ('<article data-title="The hidden valley">', '<article title="hidden">', "<article data-hidden>", '<article data-class="ad" data-id=nav>',
+                "<article title='a > b' class=post>", '<article class = "post" ="odd" / x>', '<article title="never closed class=post>'):
+        assert he.main_text(tag + body.format("") + "</article>", WEIGHTS) == text, tag
+    for tag in ('<p title="hidden gems of Rome">', '<p data-id="comment">', "<p data-class=ad>", "<p xhidden>"):
+        assert he.main_text(f"<div><p>First words here.</p>{tag}Second words.</p></div>", WEIGHTS) == "First words here.\nSecond words.", tag
+    for tag in ("<p hidden>", "<p class=ad>", "<p ID='comment'>", '<p style="color:red;display : none">', "<p aria-hidden=true>"):
+        assert he.main_text(f"<div><p>First words here.</p>{tag}Second words.</p></div>", WEIGHTS) == "First words here.", tag
+
+
+def test_elements_without_content_do_not_eat_the_page():
+    for odd in ("<svg/>", "<math />", "<iframe src=x />", "<object/>", "<canvas/>", "<svg>", "<iframe src=x>", "<object><object>", "<select>", "<svg viewBox='0 > 1'><path/></svg >"):
+        assert he.main_text(f"<div><p>First words{odd} here.</p><p>Second words.</p></div>", WEIGHTS) == "First words here.\nSecond words.", odd
+    assert he.main_text("<div><p>First words here.</p><script>var x='</p>';<p>no", WEIGHTS) == "First words here."
+    assert he.main_text("<p>First words here.</p><a href=", WEIGHTS) == "First words here."
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1 << 20
+    pages = {"open": "<p>Words here.</p>" + "<a" * (n // 2), "quotes": "<p>Words here.</p>" + '<a "' * (n // 4) + ">", "values": "<p>Words here.</p>" + '<a b="c' * (n // 7),
+             "single": "<p>Words here.</p>" + "<a b='" * (n // 6) + ">", "nested": "<div>" * (n // 5) + "<p>Words here.</p>", "inline": "<p>Words here.</p>" + "<b>" * 8000 + "<p>x" * 100_000,
+             "closers": "<p>Words here.</p>" + "<div>" * 8000 + "</x>" * 100_000, "raw": "<p>Words here.</p>" + "<svg>" * (n // 5), "comments": "<p>Words here.</p>" + "<!--" * (n // 4),
+             "signs": "<p>Words here.</p>" + "<" * n, "declared": "<p>Words here.</p>" + "<!x" * (n // 3)}
+    for name, page in pages.items():
+        start = time.thread_time()
+        text = he.main_text(page, WEIGHTS)
+        assert text.startswith("Words here."), name
+        assert time.thread_time() - start < 6, name    # about a second on an idle machine
+
+
+def test_labelled_pages_outweigh_a_hint():
+    page = "<article><div class=notice>" + "<p>Every word stands in a notice here.</p>" * 20 + "</div></article>"
+    for pages, kept in ((1, False), (60, True)):
+        weights = he.weigh(he.count_features([page] * pages))
+        assert (weights["boiler:notice"] > 0) is kept
+
+
 def test_pages_without_content():
     assert he.main_text("", WEIGHTS) == ""
     assert he.main_text("<nav>only a menu</nav>", WEIGHTS) == ""
