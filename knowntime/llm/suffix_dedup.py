@@ -92,16 +92,26 @@ def gram_keys(rows: np.ndarray) -> np.ndarray:
     return h & ~np.uint64(1)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers by byte planes: the high ones are nearly constant."""
+    flat = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize)
+    return pa.compress(np.ascontiguousarray(flat.T).tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, count: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob, size * count, "zstd", asbytes=True), np.uint8).reshape(size, count)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays for a later pass: growing places as steps, marks as bits."""
-    plain = [np.packbits(a) if a.dtype == bool else a for a in arrays]
-    raw = pickle.dumps([(len(a), a.dtype == bool, p) for a, p in zip(arrays, plain)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Arrays for a later pass, marks as bits."""
+    return pickle.dumps([(len(a), a.dtype.str, np.packbits(a).tobytes() if a.dtype == bool else squeezed(a)) for a in arrays])
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
-    raw = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
-    return [np.unpackbits(p, count=n).astype(bool) if bits else p for n, bits, p in raw]
+    return [np.unpackbits(np.frombuffer(p, np.uint8), count=n).astype(bool) if kind == "|b1" else unsqueezed(p, n, np.dtype(kind))
+            for n, kind, p in pickle.loads(blob)]
 
 
 def steps(places: np.ndarray) -> np.ndarray:
@@ -285,10 +295,10 @@ class Block:
     def sorted_run(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings at the places in byte order, the least id of each here, each place's index into them, and whether its
         document comes after that of the least id."""
-        strings, first, index = np.unique(np.ascontiguousarray(self.windows(at, self.width)).view(f"S{self.width}").ravel(),
-                                          return_index=True, return_inverse=True)
-        docs = self.ids[self.doc_of(at[first])]        # documents are in id order
-        return strings, docs, index.astype(np.uint32), self.ids[self.doc_of(at)] > docs[index]
+        strings, order, starts = grouped(np.ascontiguousarray(self.windows(at, self.width)).view(f"S{self.width}").ravel())
+        index, doc = index_of(order, starts), self.doc_of(at)
+        docs = self.ids[np.minimum.reduceat(doc[order], starts) if len(at) else doc]      # documents are in id order
+        return strings, docs, index, self.ids[doc] > docs[index]
 
     def hits(self, kind: str) -> np.ndarray:
         """The places of a merge whose string stands in a document of smaller id: one of another block, or one of this."""
@@ -394,16 +404,16 @@ def merge(runs: list[Iterator[tuple[int, bytes]]], width: int) -> tuple[list[int
     return order, new
 
 
-def least_ids(runs: list[tuple[bytes, bytes, bytes]], width: int) -> list[np.ndarray]:
+def least_ids(runs: list[tuple[bytes, bytes, np.ndarray]], width: int) -> list[np.ndarray]:
     """For each string of each front-coded run the least document id with which any run holds it."""
     order, new = merge([decode(lcps, tails, width) for lcps, tails, _ in runs], width)
-    docs = np.concatenate([np.frombuffer(d, np.int64) for _, _, d in runs])
+    docs = np.concatenate([d for _, _, d in runs])
     place = np.argsort(np.array(order), kind="stable")         # of each run's strings in the merged order
     merged = np.empty(len(docs), np.int64)
     merged[place] = docs
     starts = np.flatnonzero(new)
     least = np.minimum.reduceat(merged, starts)[np.cumsum(new) - 1][place]
-    return np.split(least, np.cumsum([len(d) // 8 for _, _, d in runs])[:-1])
+    return np.split(least, np.cumsum([len(d) for _, _, d in runs])[:-1])
 
 
 def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -478,7 +488,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
         """The sorted run of the places, cut by range; and what the block must know to read the answers."""
         strings, least, index, later = b.sorted_run(at)
         edges = [0, *np.searchsorted(strings, cuts), len(strings)]
-        out = [(i, me, f"{kind} run", *front_code(strings[lo:hi]), least[lo:hi].tobytes())
+        out = [(i, me, f"{kind} run", *front_code(strings[lo:hi]), squeezed(least[lo:hi]))
                for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
         return [*out, (me % n, me, kind, packed(steps(at), index, later, np.diff(edges)), b"", b"")]
 
@@ -491,7 +501,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
         out = runs_of(b, me, "first", b.first_places())
         keys, _, _, first = b.shared_grams()
         at, own = [0, *np.cumsum(bucket_sizes(keys, n))], b.ids[first]
-        out += [(i, me, "least", keys[lo:hi].tobytes(), b"", own[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
+        out += [(i, me, "least", keys[lo:hi].tobytes(), b"", squeezed(own[lo:hi])) for i, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
         return _rows(_RUN, [*out, (me % n, me, "anchors", packed(steps(b.at), b.shared), b"", b"")])
 
     def emit_wanted(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -523,16 +533,16 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20, carry: Sequ
         runs = [r for r in rows if r["kind"].endswith(" run")]
         grams = [r for r in rows if r["kind"] == "least"]
         out = [(r["block"], r["kind"], 0, r["lcps"]) for r in rows if r["kind"] in KEPT]
-        ids = lambda r: np.frombuffer(r["docs"], np.int64)
         if runs:
-            found = least_ids([(r["lcps"], r["tails"], r["docs"]) for r in runs], width)
-            out += [(r["block"], r["kind"], r["part"], np.packbits(f < ids(r)).tobytes()) for r, f in zip(runs, found)]
+            ids = [unsqueezed(r["docs"], len(r["lcps"]), np.int64) for r in runs]
+            found = least_ids([(r["lcps"], r["tails"], d) for r, d in zip(runs, ids)], width)
+            out += [(r["block"], r["kind"], r["part"], np.packbits(f < d).tobytes()) for r, f, d in zip(runs, found, ids)]
         if grams:
             keys, order, starts = grouped(np.concatenate([np.frombuffer(r["lcps"], np.uint64) for r in grams]))
-            own = np.concatenate([ids(r) for r in grams])
+            sizes = [len(r["lcps"]) // 8 for r in grams]
+            own = np.concatenate([unsqueezed(r["docs"], k, np.int64) for r, k in zip(grams, sizes)])
             earlier = np.minimum.reduceat(own[order], starts)[index_of(order, starts)] < own
-            ends = np.cumsum([len(r["docs"]) // 8 for r in grams])[:-1]
-            out += [(r["block"], "least", r["part"], np.packbits(f).tobytes()) for r, f in zip(grams, np.split(earlier, ends))]
+            out += [(r["block"], "least", r["part"], np.packbits(f).tobytes()) for r, f in zip(grams, np.split(earlier, np.cumsum(sizes)[:-1]))]
         return _rows(_MESSAGE, out)
 
     shape = docs.select(F.col("doc_id").cast("long"), *carry).schema

@@ -74,3 +74,18 @@ def test_merge_equals_sort_and_marks_repeats():
     merged = [next(at[i]) for i in order]
     assert merged == sorted(x for r in runs for x in r)
     assert new == [i == 0 or merged[i] != merged[i - 1] for i in range(len(merged))]
+
+
+def test_what_a_block_keeps_comes_back_unchanged():
+    arrays = [np.empty(0, np.uint32), np.array([3, -2, 1 << 40]), np.array([True, False, True]), np.empty(0, bool), np.arange(1000, dtype=np.uint32)]
+    for a, b in zip(arrays, sd.unpacked(sd.packed(*arrays))):
+        assert a.dtype == b.dtype and (a == b).all() and len(a) == len(b)
+
+
+def test_texts_too_short_long_and_copied(spark):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=300_000))
+    rows = [(1, "x" * 49), (2, "x" * 49), (3, long), (4, long[:150_000] + "!" + long[150_000:]), (5, long), (None, None), (6, ""), (6, ""), (7, "y" * 400), (8, "y" * 50)]
+    assert found(spark, rows) == brute(rows)
+    df = spark.createDataFrame([(1, "a" * 60, 5, "k"), (2, "a" * 60, 6, "k")], "doc_id long, text string, block int, key string")
+    assert sorted((r.doc_id, r.n_removed) for r in sd.remove_repeats(df, give="digest").collect()) == [(1, 0), (2, 60)]
+    assert sd.remove_repeats(df.where("false")).collect() == []
