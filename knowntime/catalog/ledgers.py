@@ -11,6 +11,7 @@ from knowntime.catalog.scores import BOOT, BY_LEAGUE, CAND, candidates
 from knowntime.functions.times import epoch_block, shift
 from knowntime.operators import bootstrap as B, policy as P
 from knowntime.plans import ledger as L
+from knowntime.plans.logit import materialize
 
 
 @query("binary_candidate", "WITH " + V.BETS + CAND.format(src="bets") + """
@@ -77,6 +78,17 @@ def allocation_replay_summary(spark, sf_dir):
     return _replayed(spark, sf_dir).where("kind = 'summary'").select("account", "multiplier", "bets", *[r6(c) for c in P.SUMMARY if c != "bets"])
 
 
+@query("allocation_replay_certificate", "WITH " + V.BETS + ", m AS (SELECT b.* REPLACE (1 + (home_odds - 1) * x AS home_odds, 1 + (away_odds - 1) * x AS away_odds), x AS multiplier FROM bets b, (VALUES (1.0::DOUBLE), (0.99::DOUBLE)) v(x))"
+       + CAND.format(src="m") + """
+SELECT account, multiplier, CAST(count(*) AS BIGINT) AS decisions, CAST(count(*) FILTER (ev >= 0.02 AND kelly > 0) AS BIGINT) AS qualified,
+       true AS stakes_allowed, true AS sums_agree FROM cand GROUP BY ALL""")
+def allocation_replay_certificate(spark, sf_dir):
+    """Every stake of the replay, also each that was not placed, is the one that the policy allows (K5)."""
+    rows = P.worse_prices(V.bets(spark, sf_dir), (1.0, 0.99)).withColumn("choice", P.binary_candidate("p_model"))
+    replayed = materialize(P.replay(rows, ["account", "multiplier"]), "replay")
+    return P.replay_certificate(rows, replayed, ["account", "multiplier"]).drop("bets")
+
+
 def book(spark, sf_dir):
     """A ledger in mid-season: issued decisions, price checks and settlements."""
     c = candidates(V.bets(spark, sf_dir))
