@@ -5,6 +5,7 @@ The stand-in contests run from 1995 to 2001, so the calendars below are those ye
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 
@@ -19,7 +20,7 @@ from knowntime.catalog.rules import BOUNDS, _calendar_case
 from knowntime.functions.times import epoch_block
 from knowntime.operators import availability as A, form, metrics as M, splits as S
 from knowntime.operators.bootstrap import block_sums, bootstrap_interval, season_week
-from knowntime.plans import boosted as G, certificate as C, jobs as J
+from knowntime.plans import boosted as G, certificate as C, jobs as J, prospective as Pr
 from knowntime.plans.logit import Spec, apply_models, fit_calibration, fit_logistic, materialize, materialize_shared, parameter_table
 from knowntime.plans.holdout import Consumed, Holdout
 from knowntime.session import scratch_path, scratch_root
@@ -333,6 +334,47 @@ def pending_forecast_batch(spark, sf_dir):
                       r6("p_elo"), r6("elo_diff", F.col("features")["elo_diff"]), "provenance")
 
 
+@query("prospective_poll", "WITH " + V.CONTESTS + """, best AS (SELECT decision_at AS t FROM contests WHERE home_id <> away_id GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT contest_id AS game_id, 'prospective' AS mode, t - INTERVAL 1 MINUTE AS issued_at, t - INTERVAL 2 MINUTE AS inputs_observed_at, decision_at AS cutoff, true AS paired,
+       CAST(0 AS INTEGER) AS recorded_again, true AS late_refused, true AS drift_refused
+FROM contests, best WHERE home_id <> away_id AND decision_at BETWEEN t - INTERVAL 2 MINUTE AND t + INTERVAL 3 MINUTE""")
+def prospective_poll(spark, sf_dir):
+    """Polls around the busiest cutoff: deployed and control forecasts are recorded side by side once, not after the cutoff, and not by a
+    changed release (J14)."""
+    c = V.contests(spark, sf_dir).where("home_id <> away_id")
+    cut = c.groupBy("decision_at").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "decision_at").first()["decision_at"]
+    minute = dt.timedelta(minutes=1)
+    schedule = c.select(F.col("contest_id").alias("game_id"), "home_id", "away_id", "scheduled_at", "decision_at", F.col("observed_at").alias("schedule_observed_at"))
+    rows = binary_rows(spark, sf_dir).withColumn("split", S.split_column(BOUNDS, start="1995-01-01")).where("split IS NOT NULL")
+    control = tuple(f for f in J.BASE if f not in J.GROUPS["elo"])
+    params = materialize(J.deploy(rows, {"deployed": J.BASE, "control": control}), "release")
+    settled = c.where(F.col("available_at") < F.lit(cut).cast("timestamp_ntz")).where("home_score <> away_score")
+
+    def forecast(due):
+        asked = c.join(due.select(F.col("game_id").alias("contest_id"), F.col("decision_at").alias("_at")), "contest_id").withColumn("decision_at", F.col("_at")).drop("_at")
+        seen = materialize(probe_rows(settled, asked), "due-inputs")
+        none = seen.limit(0).select("contest_id")
+        made = J.paired_forecasts(seen, params, J.BASE, none, issued_at=F.lit(None).cast("timestamp_ntz"), provenance="poll")
+        return made.select(F.col("contest_id").alias("game_id"), "predictions", "features", F.array().cast("array<struct<source: string>>").alias("selected_reports"))
+
+    path = scratch_path(spark, "poll")
+    mark = fingerprint(schedule, schedule.columns).first()
+    marks = {"schedule": f"{mark['rows']}-{mark['digest_sum']}-{mark['digest_xor']}", "release": "1"}
+    kw = {"issued_at": cut - 2 * minute, "frozen": marks, "record": True}
+    refused = {}
+    for what, now, facts in (("late", cut + minute, marks), ("drift", cut - minute, {**marks, "release": "2"})):
+        try:
+            Pr.poll(schedule, forecast, path, clock=lambda: now, provenance=facts, **kw)
+            refused[what] = False
+        except Pr.Refused:
+            refused[what] = True
+    Pr.poll(schedule, forecast, path, clock=lambda: cut - minute, provenance=marks, **kw)
+    again = Pr.poll(schedule, forecast, path, clock=lambda: cut - minute, provenance=marks, **kw)
+    both = (F.size("predictions") == 2) & F.forall(F.map_values("predictions"), lambda p: (p > 0) & (p < 1))
+    return spark.read.parquet(f"{path}/recorded").select("game_id", "mode", "issued_at", "inputs_observed_at", "cutoff", both.alias("paired"), F.lit(again).alias("recorded_again"),
+                                                         F.lit(refused["late"]).alias("late_refused"), F.lit(refused["drift"]).alias("drift_refused"))
+
+
 @query("guarded_holdout", "WITH " + V.PREDICTIONS + f"""
 SELECT contest_id, decision_at, y, true AS forecast_kept, true AS later_use_refused, true AS other_candidate_refused FROM predictions
 WHERE is_tie = 0 AND decision_at >= TIMESTAMP '{BOUNDS["calibration"]}' AND decision_at < TIMESTAMP '{BOUNDS["validation"]}'""")

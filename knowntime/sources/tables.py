@@ -60,7 +60,8 @@ def unseen(incoming: DataFrame, recorded: DataFrame, keys: Sequence[str]) -> Dat
     others = [c for c in incoming.columns if c not in keys]
     if not others:
         return incoming.distinct().join(recorded.select(*keys), list(keys), "left_anti")
-    one = incoming.groupBy(*keys).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row"))
+    plain = [F.to_json(c) if "map<" in incoming.schema[c].dataType.simpleString() else F.col(c) for c in others]     # maps have no hash
+    one = incoming.groupBy(*keys).agg(F.min_by(F.struct(*others), F.xxhash64(*plain)).alias("_row"))
     return (one.select(*keys, "_row.*").select(*incoming.columns)
             .join(recorded.select(*keys), list(keys), "left_anti").select(*incoming.columns))
 

@@ -162,3 +162,36 @@ def test_a_holdout_is_scored_once(spark):
     with pytest.raises(Consumed):
         two.score(lambda: forecasts, outcomes, "contest_id")
     assert len(read) == 1
+
+
+def test_prospective_polls_record_once_and_never_late(spark):
+    import datetime as dt
+    import tempfile
+    from knowntime.plans.prospective import Refused, poll
+    cut = dt.datetime(2026, 1, 10, 18)
+    minute = dt.timedelta(minutes=1)
+    schema = "game_id string, home_id string, away_id string, scheduled_at timestamp_ntz, decision_at timestamp_ntz, schedule_observed_at timestamp_ntz"
+    game = lambda i, m, **kw: tuple({"id": i, "h": "A", "a": "B", "s": cut + (60 + m) * minute, "d": cut + m * minute, "o": cut - 600 * minute, **kw}.values())
+    schedule = spark.createDataFrame([game("g1", 0), game("g2", 3), game("g3", 30)], schema)
+
+    def forecast(due):
+        assert {r.decision_at for r in due.select("decision_at").collect()} == {cut - 2 * minute}
+        one = lambda name, x: F.create_map(F.lit(name), F.lit(x))
+        return due.select("game_id", one("deployed", 0.6).alias("predictions"), one("home_missing", 1.0).alias("features"),
+                          F.array(F.struct(F.lit("none").alias("source"))).alias("selected_reports"))
+
+    path, marks = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), {"model": "m1", "schedule": "s1"}
+    kw = {"issued_at": cut - 2 * minute, "provenance": marks, "frozen": marks}
+    assert poll(schedule, forecast, path, clock=lambda: cut, **kw) == 2 and poll(schedule, forecast, path, clock=lambda: cut, **kw) == 0     # simulated
+    with pytest.raises(Refused, match="crossed a cutoff"):
+        poll(schedule, forecast, path, clock=lambda: cut + minute, record=True, **kw)
+    assert poll(schedule, forecast, path, clock=lambda: cut - minute, record=True, **kw) == 2
+    assert poll(schedule, forecast, path, clock=lambda: cut - minute, record=True, **kw) == 0
+    rows = spark.read.parquet(path + "/recorded").collect()
+    assert {r.game_id for r in rows} == {"g1", "g2"} and {r.mode for r in rows} == {"prospective"}
+    assert {r.issued_at for r in rows} == {cut - minute} and rows[0].provenance == marks and rows[0].predictions == {"deployed": 0.6}
+    with pytest.raises(Refused, match="changed since freezing: model"):
+        poll(schedule, forecast, path, clock=lambda: cut, **{**kw, "provenance": {**marks, "model": "m2"}})
+    for wrong, what in ((game("g1", 1), "listed twice"), (game("g9", 1, a="A"), "identical"), (game("g9", 1, s=cut), "another time"), (game("g9", 1, o=cut), "observed after")):
+        with pytest.raises(Refused, match=what):
+            poll(schedule.unionByName(spark.createDataFrame([wrong], schema)), forecast, path + "/x", clock=lambda: cut, **kw)
