@@ -129,3 +129,25 @@ def test_scheduled_form_takes_the_newest_known_contests(spark):
                 assert abs(x.rest - min(14, (at - seen[-1][3]) / day)) < 1e-9
             else:
                 assert (x.form_margin, x.form_win, x.rest) == (0.0, 0.5, 14.0)
+
+
+def test_assembled_inputs_equal_the_separate_operators_and_are_dealt_once(spark, sf):
+    c = V.contests(spark, sf)
+    got = model_rows(c)
+    want = form_rows(c, 20, 14).join(elo_table(c, ["league"], advantage=65).select("contest_id", "elo_diff", "p_elo"), "contest_id")
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count() == c.count()
+    exchanges = got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges <= 12, exchanges
+
+
+def test_history_over_small_batches_ties_and_unknown_scores(spark, sf):
+    c = V.contests(spark, sf).withColumn("home_score", F.when(F.col("contest_id") % 11 != 0, F.col("home_score")))
+    c = c.withColumn("decision_at", F.when(F.col("contest_id") % 13 != 0, F.col("decision_at")))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        want = form_rows(c, 20, 14).join(elo_table(c, ["league"], advantage=65).select("contest_id", "elo_diff", "p_elo"), "contest_id")
+        got = model_rows(c).select(want.columns)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
