@@ -195,3 +195,26 @@ def test_prospective_polls_record_once_and_never_late(spark):
     for wrong, what in ((game("g1", 1), "listed twice"), (game("g9", 1, a="A"), "identical"), (game("g9", 1, s=cut), "another time"), (game("g9", 1, o=cut), "observed after")):
         with pytest.raises(Refused, match=what):
             poll(schedule.unionByName(spark.createDataFrame([wrong], schema)), forecast, path + "/x", clock=lambda: cut, **kw)
+
+
+def test_scores_are_built_from_plain_columns_and_group_sums_from_matrices(spark):
+    from knowntime.plans.logit import group_sums
+    rows = spark.range(300).select(F.concat(F.lit("g"), F.col("id") % 3).alias("group"), (F.col("id") % 7).alias("a"), F.lit(1).alias("y"))
+    got = group_sums(rows, "group", ["a", "y"], lambda key, x: {key: np.array([len(x), x[:, 0].sum(), x[:, 1].sum()])})
+    assert {k: v.tolist() for k, v in got.items()} == {f"g{g}": [100.0, float(sum(i % 7 for i in range(300) if i % 3 == g)), 100.0] for g in range(3)}
+    params = spark.createDataFrame([("m", "fit:f", ["a"], [1.0], [2.0], [0.5, 0.25], 0.01, 9, 0.1, 1.2)], "model string, group string, features array<string>, "
+                                   "mean array<double>, scale array<double>, coef array<double>, l2 double, refit_rows long, intercept double, slope double")
+    scored = apply_models(rows.drop("group"), params, ["a"])
+    assert "lambda" not in scored._jdf.queryExecution().executedPlan().toString()
+    r = scored.first()
+    raw = 1 / (1 + np.exp(-(0.5 + (r["a"] - 1.0) / 2.0 * 0.25)))
+    assert r["p_raw"] == pytest.approx(raw, abs=1e-15) and set(scored.columns) >= {"model", "p_raw", "p"}
+
+
+def test_trials_alone_refit_nothing(spark, monkeypatch):
+    from knowntime.plans import boosted as G
+    rows = spark.range(400).select(F.when(F.col("id") % 4 < 3, "train").otherwise("tune").alias("split"), (F.col("id") % 17).alias("x"), (F.col("id") % 17 > 8).cast("int").alias("y"))
+    fits, make = [], G._learner
+    monkeypatch.setattr(G, "_learner", lambda *a: fits.append(a) or make(*a))
+    trials = G.tune(rows, ["x"], depths=(2,), trees=(1, 2))
+    assert len(fits) == 1 and [t["trees"] for t in trials] == [1, 2]
