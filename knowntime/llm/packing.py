@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knowntime.llm.common import slices
+from knowntime.llm.common import give_back, slices
 
 #: Fixed value: plain Latin letters (each has one lower-case letter and no combining form), then a run of ASCII marks
 #: (without the apostrophe of contractions and the bracket that opens special tokens).
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{-~]*)"
 
+#: Fixed value: so many runs of closing marks are kept.
+MARKS = 1000
+
 
 def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves and the rest as letters from 256 on."""
@@ -29,31 +32,39 @@ class WordIds(dict):
 
     The vocabulary drops white space, so a text's ids are those of its space-separated pieces in a row. Frequent pieces
     come from this table; a plain word is split from its closing mark, so "Word," and "word." share one lookup.
+    ``limit`` bounds the pieces that are kept: half of it new, half of it from before, out of which those that are met again come back.
     """
 
     def __init__(self, path: str, limit: int):
         super().__init__()
         from tokenizers import Tokenizer
-        self.tokenizer, self.limit, self.cores = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.old, self.marks = Tokenizer.from_file(path), max(1, limit // 2), {}, {}
         self.model, self.plain, self.letters = self.tokenizer.model, re.compile(PLAIN).fullmatch, byte_letters()
 
     def core(self, word: str) -> bytes:
-        ids = self.cores.get(word)
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+
+    def closing(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
         if ids is None:
-            if len(self.cores) >= self.limit:
-                self.cores.clear()
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.model.tokenize(written)]
-            ids = self.cores[word] = np.array(found, "<u4").tobytes()
+            if len(self.marks) >= MARKS:
+                self.marks.clear()
+            ids = self.marks[marks] = self.core(marks)
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        m = self.plain(piece)
-        if m:
-            ids = self.core(m[1].lower()) + (self.core(m[2]) if m[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            m = self.plain(piece)
+            if m:
+                word = m[1].lower()
+                ids = (self.core(word) if word == piece else self[word]) + (self.closing(m[2]) if m[2] else b"")
+            else:
+                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.limit:
+            self.old = None
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -74,21 +85,23 @@ def binary_pieces(n: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 1, cache: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 1, cache: int = 150_000,
+         run_bytes: int = 1 << 20) -> DataFrame:
     """Cut the ids of every text (doc_id, text), closed by ``end_id``, into power-of-two sequences of at most ``most`` ids.
 
     Returns one row per piece: doc_id, start, length, doc_tokens, sequence_id, offset (0: a piece is a whole sequence),
     bucket (log2 of the length) and ids (little-endian 32-bit). A null or empty text is its closing id alone; repeated
-    rows are packed once each. One pass, no shuffle; a task holds one batch of texts and the ``cache`` bounded tables.
+    rows are packed once each. One pass, no shuffle; a task holds one batch of texts, the ids of about ``run_bytes`` of text and ``cache`` pieces.
     """
     if most & (most - 1):
         raise ValueError("most must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what this worker's last stage left
         words = WordIds(vocabulary, cache)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 1 << 22):
+            for lo, hi in slices(batch.column(1), run_bytes):
                 part = batch.slice(lo, hi - lo)
                 who, start, length, total, ids = [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -101,6 +114,8 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 1, ca
                     [pa.array(who, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"])
+        del words
+        give_back()
 
     cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, ids binary")
