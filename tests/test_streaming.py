@@ -1,7 +1,9 @@
 """The stateful stream equals the batch fold, whatever order results arrive in."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from knowntime import views as V
@@ -89,3 +91,69 @@ def test_a_quote_past_the_watermark_is_lost_and_counted(spark):
         got = P.run_available(P.fresh_quotes(P.stream_files(spark, ds, spark.createDataFrame([], d_schema).schema),
                                              P.stream_files(spark, qs, spark.createDataFrame([], q_schema).schema)), out, ck, late=late)
     assert sorted(r.quote_id for r in got.collect()) == [1, 2, 4] and sum(late) == 1
+
+
+class HeldStates:
+    """Stands for a state handle: counts what is written and read."""
+
+    def __init__(self):
+        self.values, self.timers, self.read, self.written = {}, set(), 0, 0
+
+    def getMapState(self, name, *_):
+        return HeldMap(self, name)
+
+    def getValueState(self, name, *_):
+        return HeldMap(self, name)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class HeldMap:
+    def __init__(self, states, name):
+        self.states, self.held = states, {}
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def getValue(self, key):
+        self.states.read += sum(len(v) for v in self.held[key] if isinstance(v, bytes))
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.states.written += sum(len(v) for v in value if isinstance(v, bytes))
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+def test_waiting_results_are_not_rewritten_by_each_batch():
+    n, batches = 100, 30
+    rows = pd.DataFrame({"available_us": range(n * batches), "contest_id": range(n * batches), "home_id": [i % 7 for i in range(n * batches)],
+                         "away_id": [8 + i % 5 for i in range(n * batches)], "outcome": [float(i % 2) for i in range(n * batches)], "neutral": 0})
+    shuffled = rows.sample(frac=1.0, random_state=1)
+    states, fold = HeldStates(), R.RatingProcessor()
+    fold.init(states)
+    for i in range(batches):
+        list(fold.handleInputRows(("a",), iter([shuffled[n * i:n * (i + 1)]]), None))
+    assert states.read == 0 and states.written < 200 * len(rows)
+    list(fold.handleInputRows(("a",), iter([shuffled[:n]]), None))      # delivered again
+    at = SimpleNamespace(getExpiryTimeInMs=lambda: states.timers.pop())
+    out = pd.concat(fold.handleExpiredTimer(("a",), None, at))
+    now, want = {}, []
+    for r in rows.itertuples():
+        a, b = now.get(r.home_id, 1500.0), now.get(r.away_id, 1500.0)
+        move = 20.0 * (r.outcome - 1.0 / (1.0 + 10.0 ** (-(a - b + 65.0) / 400.0)))
+        now[r.home_id], now[r.away_id] = a + move, b - move
+        want.append((r.contest_id, a + move, b - move))
+    assert list(out[["contest_id", "home_rating", "away_rating"]].itertuples(index=False, name=None)) == want
