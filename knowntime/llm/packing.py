@@ -85,7 +85,7 @@ def binary_pieces(n: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 1, cache: int = 150_000,
+def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 1, cache: int = 300_000,
          run_bytes: int = 1 << 20) -> DataFrame:
     """Cut the ids of every text (doc_id, text), closed by ``end_id``, into power-of-two sequences of at most ``most`` ids.
 
