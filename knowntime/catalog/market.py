@@ -124,19 +124,26 @@ labelled AS (
        LEFT JOIN later la ON la.contest_id = d.contest_id AND la.decision_at = d.decision_at AND la.book = o.a.b)"""
 
 
+def consensus_rows(spark, sf_dir):
+    """Every decision with its number of earlier ones and the consensus of the reference books."""
+    key = ["contest_id", "decision_at"]
+    d, q = V.quote_decisions(spark, sf_dir), V.quotes(spark, sf_dir)
+    cons = Q.consensus(Q.latest_quotes(q.where(F.col("book").isin(*V.REFERENCE_BOOKS)), d, max_age_us=AGE_US), key, min_books=3)
+    past = asof_cumulative(d, d, ["contest_id"], fact_time="decision_at", probe_time="decision_at",
+                           sums={"past": F.lit(1)})
+    return past.join(cons, key, "left")
+
+
 def market_rows(spark, sf_dir):
     """Every decision with consensus, offers, later prices and an exclusion reason."""
     key = ["contest_id", "decision_at"]
     d, q = V.quote_decisions(spark, sf_dir), V.quotes(spark, sf_dir)
-    now = Q.latest_quotes(q, d, max_age_us=AGE_US)
-    cons = Q.consensus(now.where(F.col("book").isin(*V.REFERENCE_BOOKS)), key, min_books=3)
-    offers = Q.best_offers(now.where(F.col("book").isin(*V.EXECUTION_BOOKS)), key)
+    # A book's latest quote depends on no other book: each sweep gets its own books alone.
+    offers = Q.best_offers(Q.latest_quotes(q.where(F.col("book").isin(*V.EXECUTION_BOOKS)), d, max_age_us=AGE_US), key)
     later = Q.later_quotes(q, d, max_age_us=AGE_US, delay_minutes=LATER_MIN)
     side = lambda s: later.select(*key, F.col("book").alias(f"{s}_book"),
                                   F.col(f"{s}_odds").alias(f"{s}_later"))
-    past = asof_cumulative(d, d, ["contest_id"], fact_time="decision_at", probe_time="decision_at",
-                           sums={"past": F.lit(1)})
-    rows = (past.join(cons, key, "left").join(offers, key, "left")
+    rows = (consensus_rows(spark, sf_dir).join(offers, key, "left")
             .join(side("home"), [*key, "home_book"], "left").join(side("away"), [*key, "away_book"], "left"))
     return rows.withColumn("reason", Q.exclusion_reason(
         ("outside_contract", F.col("contest_id") % 10 == 9),

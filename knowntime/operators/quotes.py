@@ -61,25 +61,37 @@ def latest_quotes(quotes: DataFrame, decisions: DataFrame, *, max_age_us: int,
     shape = StructType([stack.schema["_decision"], stack.schema["book"], stack.schema["_quote"]])
 
     def sweep(batches):
-        now, books = None, {}
+        now, books, held = None, {}, None
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            plain = {n: column[n].to_pylist() for n in (*group, "_kind", "_time", "_until", "book", "_known", "_quoted", "_id", "_quote")}
+            plain = {n: column[n].to_pylist() for n in (*group, "_kind", "_time", "_until", "book", "_known", "_quoted", "_id")}
+            # Quotes stay in Arrow: books hold places in what earlier batches left, followed by this batch.
+            first = len(held) if held is not None else 0
+            pool = pa.concat_arrays([held, column["_quote"]]) if first else column["_quote"]
             who, book, quote = [], [], []
-            for i, g in enumerate(zip(*[plain[n] for n in group])):
+            rows = zip(zip(*[plain[n] for n in group]), plain["_kind"], plain["_time"], plain["_until"], plain["book"],
+                       plain["_known"], plain["_quoted"], plain["_id"])
+            for i, (g, kind, time, until, name, known_at, quoted, quote_id) in enumerate(rows):
                 if g != now:
                     now, books = g, {}
-                if plain["_kind"][i] == 0:
-                    rank = (plain["_known"][i], plain["_quoted"][i], plain["_id"][i] is not None, plain["_id"][i])
-                    books.setdefault(plain["book"][i], Standing()).add(rank, plain["_until"][i], plain["_quote"][i])
+                if kind == 0:
+                    standing = books.get(name)
+                    if standing is None:
+                        standing = books[name] = Standing()
+                    standing.add((known_at, quoted, quote_id is not None, quote_id), until, first + i)
                     continue
                 for name, standing in books.items():
-                    best = standing.latest(plain["_time"][i])
+                    best = standing.latest(time)
                     if best is not None:
                         who.append(i), book.append(name), quote.append(best)
             yield pa.RecordBatch.from_arrays(
                 [column["_decision"].take(pa.array(who, pa.int64())), pa.array(book, column["book"].type),
-                 pa.array(quote, column["_quote"].type)], names=["_decision", "book", "_quote"])
+                 pool.take(pa.array(quote, pa.int64()))], names=["_decision", "book", "_quote"])
+            kept = [at for standing in books.values() for at in standing.quotes]
+            held = pool.take(pa.array(kept, pa.int64()))
+            places = iter(range(len(kept)))
+            for standing in books.values():
+                standing.quotes = [next(places) for _ in standing.quotes]
 
     got = stack.mapInArrow(sweep, shape)
     return got.select("_decision.*", "book", "_quote.*")

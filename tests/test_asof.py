@@ -177,3 +177,37 @@ def test_a_burst_is_cut_by_rank(spark):
                    lambda c: A.asof_rolling(fd, pd_, ["k"], order=["fid"], window=7, measures=["v"], aggs={"s": F.sum("v")}, cuts=c, **kw),
                    lambda c: A.asof_cumulative(fd, pd_, ["k"], sums={"s": F.col("v")}, maxima={"m": F.col("fid")}, cuts=c, order=["fid"], **kw)):
             assert sorted(map(str, op(cuts).collect())) == sorted(map(str, op(None).collect()))
+
+
+def test_latest_quotes_stay_in_arrow_between_batches(spark):
+    """Books keep their quotes over batches of three rows, and no quote becomes a Python object."""
+    from knowntime.operators import quotes as Q
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    rng = random.Random(11)
+    rows = [(i, i % 2, f"b{rng.randrange(3)}", at(rng.randrange(600)), rng.randrange(30), 1.5 + i, None if i % 5 == 0 else 2.0) for i in range(120)]
+    rows = [(i, c, b, t, t + dt.timedelta(minutes=lag), h, a) for i, c, b, t, lag, h, a in rows]
+    asked = [(c, at(m)) for c in (0, 1) for m in range(0, 700, 9)]
+    q = spark.createDataFrame(rows, "quote_id long, contest_id long, book string, quote_at timestamp_ntz, available_at timestamp_ntz, "
+                              "home_odds double, away_odds double").coalesce(1)
+    d = spark.createDataFrame(asked, "contest_id long, decision_at timestamp_ntz")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {(x.contest_id, x.decision_at, x.book): (x.quote_id, x.home_odds, x.away_odds)
+               for x in Q.latest_quotes(q, d, max_age_us=90 * 60_000_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c, t in asked:
+        for r in sorted((r for r in rows if r[1] == c and max(r[3], r[4]) <= t <= r[3] + dt.timedelta(minutes=90)), key=lambda r: (r[4], r[3], r[0])):
+            want[c, t, r[2]] = (r[0], r[5], r[6])
+    assert got == want and len(want) > 200
+
+
+def test_residual_boosting_sweeps_quotes_once(spark, sf):
+    """Its inputs need the reference books alone, and equal those of the whole market table."""
+    from knowntime.catalog.market import consensus_rows, market_rows
+    rows = consensus_rows(spark, sf)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    names = ["contest_id", "decision_at", "q", "past", "dispersion", "age_minutes", "mean_overround"]
+    assert sorted(map(str, rows.select(names).collect())) == sorted(map(str, market_rows(spark, sf).select(names).collect()))
