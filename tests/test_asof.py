@@ -211,3 +211,40 @@ def test_residual_boosting_sweeps_quotes_once(spark, sf):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     names = ["contest_id", "decision_at", "q", "past", "dispersion", "age_minutes", "mean_overround"]
     assert sorted(map(str, rows.select(names).collect())) == sorted(map(str, market_rows(spark, sf).select(names).collect()))
+
+
+def test_expected_starter_by_plain_search_looks_up_instants_once(spark, monkeypatch):
+    """Many contests share an instant; ties, unknown teams and times. As-of passes get each (key, instant) once."""
+    from collections import Counter
+    from knowntime.operators import starter as P
+    rng = random.Random(21)
+    t0 = dt.datetime(2023, 12, 20)
+    at = lambda d: None if d is None else t0 + dt.timedelta(days=d)
+    starts = [(i, rng.choice([1, 2, 2, 2, None]), at(rng.choice([None, *range(0, 90, 9)])), i % 2, rng.choice([7, 8, 9, None]),
+               rng.choice([None, round(rng.uniform(-2, 2), 3)])) for i in range(400)]
+    asked = [(i, rng.choice(["home", "away"]), rng.choice([1, 2, 3, None]), at(rng.choice([None, *range(-5, 100, 15)]))) for i in range(300)]
+    sizes = []
+    for name in ("asof_cumulative", "asof_rolling"):
+        def seen(facts, probes, *a, _do=getattr(P, name), **k):
+            sizes.append(probes.count())
+            return _do(facts, probes, *a, **k)
+        monkeypatch.setattr(P, name, seen)
+    out = P.expected_starter(
+        spark.createDataFrame(starts, "contest_id long, team long, available_at timestamp_ntz, seq int, starter long, epa double"),
+        spark.createDataFrame(asked, "contest_id long, side string, team long, decision_at timestamp_ntz"), window=5).collect()
+    assert len(out) == len(asked)
+    got = {r.contest_id: (r.epa, r.starts, r.unknown, r.backup) for r in out}
+    known = sorted((s for s in starts if s[2] and s[4]), key=lambda s: (s[2], s[0], s[3]))
+    for c, _, team, when in asked:
+        past = [s for s in known if when and s[2] < when]
+        own = [s for s in past if s[1] == team and team]
+        want = (0.0, 0.0, 1.0, 0.0)
+        if own:
+            expected, uses = own[-1][4], Counter(s[4] for s in own)
+            most = max(uses, key=lambda p: (uses[p], -next(i for i, s in enumerate(own) if s[4] == p)))
+            every = [s for s in past if s[4] == expected]
+            epa = [s[5] for s in every if s[5] is not None][-5:]
+            if epa:
+                want = (pytest.approx(sum(epa) / len(epa)), float(len(every)), 0.0, float(expected != most))
+        assert got[c] == want, c
+    assert max(sizes) <= 3 * 8
