@@ -218,3 +218,30 @@ def test_trials_alone_refit_nothing(spark, monkeypatch):
     monkeypatch.setattr(G, "_learner", lambda *a: fits.append(a) or make(*a))
     trials = G.tune(rows, ["x"], depths=(2,), trees=(1, 2))
     assert len(fits) == 1 and [t["trees"] for t in trials] == [1, 2]
+
+
+def test_registered_boosting_runs_the_whole_grid_on_all_folds(spark, monkeypatch):
+    from knowntime.catalog import models as Q
+    from knowntime.plans import boosted as G
+    asked, folds = [], []
+
+    class Learner:
+        def __init__(self, depth, trees, seed):
+            asked.append((depth, trees))
+            self.trees = trees
+
+        def fit(self, rows):
+            return self
+
+        def evaluateEachIteration(self, rows):
+            return [1.0 / n for n in range(1, self.trees + 1)]
+
+    rows = spark.range(40).select(F.col("id").alias("contest_id"), (1997 + F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 2).cast("int").alias("y"),
+                                  F.element_at(F.array(*[F.lit(s) for s in ("train", "tune", "validation")]), (F.col("id") % 9 / 3).cast("int") + 1).alias("split"),
+                                  *[F.rand(i).alias(f) for i, f in enumerate(J.BASE)])
+    monkeypatch.setattr(G, "_learner", Learner)
+    monkeypatch.setattr(G, "predict", lambda model, rows, inputs, offset=None: folds.append(model.trees) or rows.withColumn("p_raw", F.lit(0.5)))
+    monkeypatch.setattr(Q, "fold_rows", lambda spark, sf_dir: rows)
+    trials = {(r.fold, r.depth, r.trees) for r in Q.boosted_tree_trials(spark, "x").collect()}
+    assert trials == {(f, d, n) for f in (1997, 1998, 1999) for d in (2, 3) for n in (100, 250)}
+    assert sorted(asked) == [(2, 250)] * 3 + [(3, 250)] * 3
