@@ -245,3 +245,6 @@ def test_registered_boosting_runs_the_whole_grid_on_all_folds(spark, monkeypatch
     trials = {(r.fold, r.depth, r.trees) for r in Q.boosted_tree_trials(spark, "x").collect()}
     assert trials == {(f, d, n) for f in (1997, 1998, 1999) for d in (2, 3) for n in (100, 250)}
     assert sorted(asked) == [(2, 250)] * 3 + [(3, 250)] * 3
+    held = Q.boosted_trees(spark, "x").collect()
+    assert folds == [250] * 3 and {r.fold for r in held} == {1997, 1998, 1999}
+    assert len(held) == rows.where("split = 'validation'").count()
