@@ -143,3 +143,43 @@ def test_registered_queries_take_every_row(spark, sf):
     assert len(got) == 4 * len(rows) and max(r.identity_error for r in got) < 1e-9
     mined = queries.op12_hard_negatives(spark, sf).collect()
     assert mined and all(r.anchor_id % 100 == 0 and 30 * r.positive_score <= 100 * r.negative_score <= 90 * r.positive_score for r in mined)
+
+
+@pytest.mark.parametrize("together,crowd,group", [(2, 0, 9), (512, 8, 4096)])
+def test_batches_of_anchors_by_brute_force(spark, monkeypatch, together, crowd, group):
+    for name, value in (("TOGETHER", together), ("CROWD", crowd), ("GROUP", group), ("BLOCK", 50), ("LONGEST", 3), ("FIRST_DEPTH", 2)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = vectors(200, 5, seed=8, grid=0.02)
+    rows += [(i, v, (lab + 1) % 4, 0, 0, "") for i, v, lab, *_ in rows[:60:10]]          # an anchor's id under another label
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = sorted(tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+                 for r in hard_negatives.mine(df, df.where("vec_id % 10 = 0")).collect())
+    assert got == plain_negatives(rows, 5, {i for i, *_ in rows if i % 10 == 0}) and got
+
+
+def test_what_one_block_found_stops_the_reading_of_the_next(monkeypatch):
+    r = np.random.default_rng(1)
+    a, one = np.array([[100, -50, 7], [90, -60, 1]]), np.zeros((2, 1), np.int64)
+    near, far = r.integers(100, 200, (500, 3)) * [1, -1, 1], r.integers(-20, 20, (500, 3))
+    scored, products = [], hard_negatives.Lists.products
+    monkeypatch.setattr(hard_negatives.Lists, "products", lambda self, at, a: scored.append(len(at)) or products(self, at, a))
+    best = hard_negatives.Best(2, 5)
+    for x in (near, far):
+        scored.clear()
+        lists = hard_negatives.Lists(x, np.argsort(x, axis=0, kind="stable").T)
+        hard_negatives.look(lists, np.arange(500), None, np.array([3, 4]), one[:, 0], a, one + hard_negatives.LEAST, one + hard_negatives.MOST,
+                            np.arange(2)[:, None], best)
+        assert sum(scored) == 0 if x is far else scored
+    wishes, ids, scores = best.found()
+    for w, me in enumerate((3, 4)):
+        assert list(zip((-scores[wishes == w]).tolist(), ids[wishes == w].tolist())) == sorted((-int(s), i) for i, s in enumerate(near @ a[w]) if i != me)[:5]
+
+
+@pytest.mark.parametrize("size", [1 << 8, 1 << 20, 1 << 28])
+def test_batched_products_are_exact_in_every_kind_of_number(size):
+    r = np.random.default_rng(2)
+    x, a = r.integers(-size, size, (50, 4)), r.integers(-size, size, (3, 4))
+    lists = hard_negatives.Lists(x, np.argsort(x, axis=0, kind="stable").T)
+    assert (lists.scores(np.arange(50), a) == a @ x.T).all()
+    with pytest.raises(OverflowError):
+        lists.edge(a * ((1 << 62) // size), 1)
