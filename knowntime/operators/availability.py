@@ -86,6 +86,31 @@ def snapshot_states(games: DataFrame, snaps: DataFrame, keys: Sequence[str], *,
                     (F.col("state") == "not_submitted").cast("bigint").alias("notsubmitted"))
 
 
+def nested_states(games: DataFrame, *, max_age_hours: float = 48) -> DataFrame:
+    """``snapshot_states`` of games and sides that carry their reports as an array ``reports`` (report_at, player_id, status, source).
+
+    Nothing outside the row is needed, so nothing is joined or shuffled. Adds ``listed``, the weighted player rows (player_id, status) of a
+    usable snapshot, as ``listed_players`` finds them.
+    """
+    visible = F.filter("reports", lambda r: r["report_at"] < F.col("decision_at"))
+    g = games.withColumn("snapshot_at", F.array_max(F.transform(visible, lambda r: r["report_at"])))
+    g = g.withColumn("_snap", F.filter("reports", lambda r: r["report_at"] == F.col("snapshot_at")))
+    count = lambda s: F.size(F.filter("_snap", lambda r: r["status"] == s))
+    sources = F.transform("_snap", lambda r: r["source"])
+    players = F.filter(F.transform("_snap", lambda r: r["player_id"]), lambda p: p.isNotNull())
+    conflict = (F.array_min(sources) != F.array_max(sources)) | (F.size(players) > F.size(F.array_distinct(players)))
+    age = (micros("decision_at") - micros("snapshot_at")) / F.lit(float(HOUR_US))
+    g = g.withColumn("age_hours", age).withColumn("state", F.when(F.col("snapshot_at").isNull(), "missing").when(conflict, "invalid")
+                                                  .when(F.col("age_hours") > max_age_hours, "stale")
+                                                  .when(count(NOT_SUBMITTED) > 0, "not_submitted").otherwise("usable"))
+    usable = F.col("state") == "usable"
+    listed = F.transform(F.filter("_snap", lambda r: r["status"].isin(*WEIGHTED) & r["player_id"].isNotNull()),
+                         lambda r: F.struct(r["player_id"].alias("player_id"), r["status"].alias("status")))
+    return g.select(*[c for c in games.columns if c != "reports"], "snapshot_at", "age_hours", "state",
+                    *[F.when(usable, count(s)).otherwise(0).cast("bigint").alias(c) for s, c in zip(STATUSES, COUNTS)],
+                    (F.col("state") == "not_submitted").cast("bigint").alias("notsubmitted"), F.when(usable, listed).alias("listed"))
+
+
 def availability_features(states: DataFrame, key: Sequence[str] = ("game_id",)) -> DataFrame:
     """Home minus away counts (the Available status excluded), coverage and state flags."""
     counted = [s.lower() for s in WEIGHTED] + ["notsubmitted"]

@@ -151,3 +151,48 @@ def test_history_over_small_batches_ties_and_unknown_scores(spark, sf):
         assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_nested_reports_give_the_states_of_the_as_of_join(spark):
+    import datetime as dt
+    import random
+    from knowntime.operators import availability as A
+    r, day = random.Random(5), dt.datetime(2024, 1, 1)
+    names = [*A.STATUSES, A.NOT_SUBMITTED, None, "Odd"]
+    games, reports = [], []
+    for g in range(150):
+        for side, team in (("home", g % 7), ("away", g % 7 + 1 if g % 11 else None)):
+            games.append((g, side, team, day + dt.timedelta(hours=g) if g % 13 else None))
+            for _ in range(r.randrange(6)):
+                at = day + dt.timedelta(hours=g - r.choice((-1, 0, 1, 2, 49, 49)))
+                reports.append((g, team, at if r.random() < 0.9 else None, r.choice([1, 2, 3, 4, 5, 6, None]), r.choice(names[:4] * 3 + names), r.choice(["a"] * 9 + ["b"])))
+    keys = ["contest_id", "team_id"]
+    g = spark.createDataFrame(games, "contest_id long, side string, team_id long, decision_at timestamp_ntz")
+    f = spark.createDataFrame(reports, "contest_id long, team_id long, report_at timestamp_ntz, player_id long, status string, source string")
+    want = A.snapshot_states(g, A.snapshots(f, keys), keys)
+    nested = f.groupBy(*keys).agg(F.collect_list(F.struct("report_at", "player_id", "status", "source")).alias("reports"))
+    got = A.nested_states(g.join(nested, keys, "left").select(*g.columns, "reports"))
+    plain = lambda d: sorted(map(repr, d.select(*want.columns).collect()))
+    assert plain(got) == plain(want) and {x.state for x in got.collect()} == {"missing", "invalid", "stale", "not_submitted", "usable"}
+    listed = got.select("contest_id", "side", F.explode_outer("listed").alias("l")).where("l IS NOT NULL").select("contest_id", "side", "l.player_id", "l.status")
+    old = A.listed_players(want, f, keys).select("contest_id", "side", "player_id", "status")
+    assert sorted(map(repr, listed.collect())) == sorted(map(repr, old.collect())) and listed.count()
+
+
+def test_contest_lines_are_dealt_once_and_keep_every_line(spark, sf):
+    from knowntime import views as V
+    from knowntime.catalog import models as Q
+    from knowntime.operators import availability as A
+    contests = V.contests(spark, sf)
+    lines = Q.contest_lines(spark, sf, contests)
+    plan = lines._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("RoundRobin") == 0 and lines._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    li = V.table(spark, sf, "lineitem").join(contests.select(F.col("contest_id").alias("l_orderkey")), "l_orderkey")
+    each = lines.select("contest_id", F.explode("players").alias("p")).select("contest_id", "p.*")
+    want = li.groupBy(F.col("l_orderkey").alias("contest_id"), (F.col("l_partkey") % 300).alias("player_id")).agg(
+        F.sum("l_quantity").alias("minutes"), F.sum(F.floor("l_quantity") % 7).cast("double").alias("points"), F.count("*").cast("int").alias("n"))
+    got = each.select("contest_id", F.col("player_id").cast("long").alias("player_id"), "minutes", "points", F.size("rows").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sides = Q.contest_sides(lines)
+    assert sides.count() == 2 * contests.count() and sides.agg(F.sum(F.size("reports"))).first()[0] == li.count()
+    assert A.nested_states(sides)._jdf.queryExecution().executedPlan().toString().count("Exchange") == lines._jdf.queryExecution().executedPlan().toString().count("Exchange")
